@@ -36,7 +36,7 @@ LENGTH, KGRAM = 200, 32
 GROUP_CLASSES = 2048
 #: Bytes of strings that go into one suffix array, besides a single group.
 BUFFER_BYTES = 1 << 20
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 512 << 10
 _NO_ID = -(1 << 63)
 
 
