@@ -6,8 +6,9 @@ MinHash samples in bands, and an odd sketch: the samples folded into a parity bi
 one has a population count that tells a high similarity precisely.
 
 Links are found in three steps, so that no bucket emits all of its pairs:
-1. every class and the smallest class of the bucket that it shares most bands with;
-2. the other (class, bucket's smallest) pairs whose ends are not connected yet;
+1. every class and the head of the buckets that it shares most bands with, the head of a bucket being the
+   member that has met most others;
+2. the other (class, bucket's head) pairs whose ends are not connected yet;
 3. in buckets that still hold several components, members outside the largest component against all members,
    in blocks, pairs of one component skipped.
 Candidates pass the odd sketch (a bound far below the threshold) and are confirmed on full sets. Components
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import flat, is_small, pieces, ragged, saved, text_bytes
 
-BANDS, ROWS, BITS = 32, 5, 512
+BANDS, ROWS = 32, 5
+#: MinHash samples of a sketch (those of the bands come first), and bits of its parity bitmap.
+SAMPLES, BITS = 480, 2048
 #: Tables up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Members of a block in step 3.
@@ -35,8 +38,8 @@ BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULTIPLY = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_MULTIPLY = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -101,31 +104,32 @@ def signatures(sets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Of each non-empty set: MinHash samples, band keys, odd sketch (as 64-bit words)."""
     x = (sets >> np.uint64(20)).astype(np.uint32)
     heads = edges[:-1]
-    samples = np.empty((len(heads), BANDS * ROWS), np.uint32)
-    for i in range(BANDS * ROWS):
+    samples = np.empty((len(heads), SAMPLES), np.uint32)
+    for i in range(SAMPLES):
         samples[:, i] = np.minimum.reduceat((x ^ _FLIP[i]) * _MULTIPLY[i], heads)
     with np.errstate(over="ignore"):
         key = np.zeros((len(heads), BANDS), np.uint64)
         for r in range(ROWS):
-            key = mix(key * np.uint64(_BASE) + samples[:, r::ROWS].astype(np.uint64) + np.uint64(1))
+            key = mix(key * np.uint64(_BASE) + samples[:, r : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(1))
         key = mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * _M1)
-        bit = mix(samples.astype(np.uint64) * _M2 + np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(55)
+        bit = mix(samples.astype(np.uint64) * _M2 + np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(64 - (BITS - 1).bit_length())
     sketch, rows = np.zeros((len(heads), BITS // 64), np.uint64), np.arange(len(heads))
-    for i in range(BANDS * ROWS):
+    for i in range(SAMPLES):
         sketch[rows, bit[:, i] >> np.uint64(6)] ^= np.uint64(1) << (bit[:, i] & np.uint64(63))
     return samples, key.view(np.int64), sketch
 
 
 def most_odd(threshold: int) -> int:
-    """The XOR's population count that pairs at the threshold stay under: expectation at six deviations more differing samples."""
-    k, j = BANDS * ROWS, threshold / 100
-    differ = k * (1 - j) + 7 * np.sqrt(k * j * (1 - j))
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ)) + 5 * np.sqrt(BITS) / 2)
+    """The XOR's population count that pairs at the threshold stay under: five deviations above its mean, of sampling and of parity together."""
+    differ, j = SAMPLES * (1 - threshold / 100), threshold / 100
+    fade = (1 - 2 / BITS) ** (2 * differ)
+    sampling, parity = 2 * fade * np.sqrt(SAMPLES * j * (1 - j)), 2 * differ * np.sqrt(2 / BITS)
+    return int(BITS / 2 * (1 - fade) + 5 * np.hypot(sampling, parity))
 
 
 def estimate(odd: np.ndarray) -> np.ndarray:
     """Similarity that a population count stands for."""
-    return 1 + BITS / (4 * BANDS * ROWS) * np.log(np.maximum(1e-9, 1 - 2 * odd / BITS))
+    return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * odd / BITS))
 
 
 def sketched(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -255,20 +259,25 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     some = rows.where("n > 0 and id is not null")
     classes = saved(some.groupBy("c1", "c2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-classes")
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = saved(banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1").select("bucket", "head"), "near-buckets")
-    members = saved(banded.join(shared, "bucket"), "near-members")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    joined = saved(banded.join(shared, "bucket"), "near-joined")
+    # the original of a group meets most others: what has met most is its buckets' head
+    met = joined.groupBy("id").agg(F.sum("m").alias("met"))
+    heads = joined.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("h")).select("bucket", (-F.col("h.back")).alias("head"))
+    members = saved(joined.select("bucket", "id").join(heads, "bucket"), "near-members")
     limit = most_odd(threshold)
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias(text))
-    stars = members.where("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("m"))
-    stars = saved(_near(stars.select("a", "b"), classes, limit), "near-stars")
-    # 1. each class and its smallest head; the same for all members of a group in most cases
-    first = saved(stars.groupBy("a").agg(F.min("b").alias("b")), "near-first")
+    stars = members.where("id <> head").groupBy(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"), F.col("id").alias("of")).agg(F.count("*").alias("m"))
+    # 1. each class and the head that it shares most buckets with
+    first = stars.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    first = saved(_near(first, classes, limit), "near-first")
     links = _confirmed(first, docs, text, width, threshold)
     label = components(links)
     # 2. the other heads, where they would connect something
     side = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
-    apart = stars.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = saved(apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-apart")
+    apart = stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    apart = saved(_near(apart, classes, limit), "near-apart")
     links = saved(links.unionByName(_confirmed(apart, docs, text, width, threshold)), "near-links")
     label = components(links)
     # 3. buckets that still hold several components
