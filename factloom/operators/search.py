@@ -33,9 +33,9 @@ def parse(query: str) -> list[list[Term]]:
 
 
 def stem(word: str) -> str:
-    """Plural, -ing and -ed endings go where a stem of three letters stays."""
-    for ending, least in (("ies", 3), ("ing", 3), ("ed", 3), ("es", 3), ("s", 3)):
-        if word.endswith(ending) and len(word) - len(ending) >= least and not word.endswith("ss"):
+    """Plural, -ing, -ed and -e endings go where a stem of three letters stays."""
+    for ending in ("ies", "ing", "ed", "es", "s", "e"):
+        if word.endswith(ending) and len(word) - len(ending) >= 3 and not word.endswith("ss"):
             return word[: -len(ending)] + ("y" if ending == "ies" else "")
     return word
 
@@ -43,7 +43,7 @@ def stem(word: str) -> str:
 def stems(text: Column) -> Column:
     """The text's words by the same rule, in order."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.transform(words, lambda w: F.when(w.endswith("ss"), w).otherwise(F.regexp_replace(F.regexp_replace(w, "^(.{3,})ies$", "$1y"), "^(.{3,}?)(?:ing|ed|es|s)$", "$1")))
+    return F.transform(words, lambda w: F.when(w.endswith("ss"), w).otherwise(F.regexp_replace(F.regexp_replace(w, "^(.{3,})ies$", "$1y"), "^(.{3,}?)(?:ing|ed|es|s|e)$", "$1")))
 
 
 def matches(query: str, words: Column) -> Column:
@@ -79,7 +79,7 @@ def search(evidence: DataFrame, query: str, text: str = "text", order: tuple[str
 def snippet(text: Column, wanted: list[str], most: int = 28) -> Column:
     """Up to ``most`` words from a little before the first hit, hits between [[ and ]]."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    pattern = r"(?i)\b((?:" + "|".join(map(re.escape, wanted)) + r")(?:y|ies|ing|ed|es|s)?)\b"
+    pattern = r"(?i)\b((?:" + "|".join(map(re.escape, wanted)) + r")(?:y|ies|ing|ed|es|s|e)?)\b"
     first = F.aggregate(F.transform(words, lambda w, i: F.when(w.rlike(pattern), i)), F.lit(None).cast("int"), lambda a, i: F.coalesce(a, i))
     part = F.slice(words, F.greatest(F.coalesce(first, F.lit(0)) - 4, F.lit(0)) + 1, F.lit(most))
     return F.regexp_replace(F.array_join(part, " "), pattern, "[[$1]]")

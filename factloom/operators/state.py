@@ -111,7 +111,7 @@ def register(documents: DataFrame, registry: DataFrame) -> DataFrame:
 def set_state(documents: DataFrame, events: DataFrame) -> DataFrame:
     """``events``: document_id, seq, state, stage, reason, progress (map). The last state holds, failures are cleared unless it failed, progress maps merge in order."""
     last = events.groupBy("document_id").agg(
-        F.max_by(F.struct("state", "stage", "reason"), "seq").alias("_e"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "progress"))), lambda x: x.progress).alias("_p")
+        F.max_by(F.struct("state", "stage", "reason"), "seq").alias("_e"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "progress")), lambda a, b: F.sign(a.seq - b.seq).cast("int")), lambda x: x.progress).alias("_p")
     )
     merged = F.aggregate("_p", F.coalesce("stage_progress", F.create_map().cast("map<string,string>")), lambda a, b: F.map_from_entries(F.concat(F.filter(F.map_entries(a), lambda e: ~F.map_contains_key(b, e.key)), F.map_entries(b))))
     failed = F.col("_e.state") == "failed"

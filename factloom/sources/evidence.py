@@ -33,7 +33,7 @@ def inspect(files: DataFrame) -> DataFrame:
     import pandas as pd
 
     @F.pandas_udf("string")
-    def archive(content: pd.Series, kind: pd.Series) -> pd.Series:
+    def archive(content, kind):
         return pd.Series([archive_fault(c) if k == "zip" else None for c, k in zip(content, kind, strict=True)], dtype=object)
 
     base = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too_large").when(F.col("kind").isin("unknown", "ole"), "unsupported")
