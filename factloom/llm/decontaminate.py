@@ -8,7 +8,7 @@ slot in the item must map one to one to what fills it in the document. Equal slo
 other ones a re-parameterised question, inconsistent ones are let go.
 
 Items of four to seven tokens are matched by windows of four; shorter ones cannot be told from chance and are
-left out. A window counts with at least five (of four: three) tokens that are no placeholder.
+left out. A window counts with at least four (of four: three) tokens that are no placeholder.
 
 Defined results: null and empty texts match nothing; an empty table on either side gives an empty result;
 repeated rows of either table give one row for each distinct pair; other columns are ignored.
@@ -73,7 +73,7 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
         if form:
             rows = rows.where(F.exists("t", lambda x: x == NAME))
         for size, where in ((8, "size(t) >= 8"), (4, "size(t) between 4 and 7")):
-            literal = F.expr(f"size(filter(slice(t, pos + 1, {size}), x -> x not in ('{NAME}', '{NUMBER}', '{UNIT}'))) >= {5 if size == 8 else 3}")
+            literal = F.expr(f"size(filter(slice(t, pos + 1, {size}), x -> x not in ('{NAME}', '{NUMBER}', '{UNIT}'))) >= {4 if size == 8 else 3}")
             w = rows.where(where).select("iid", F.lit(form).alias("form"), F.lit(size).alias("wsize"), "t", F.posexplode(windows(F.col("t"), size)).alias("pos", "w")).where(literal)
             w = w.select("iid", "form", "wsize", "pos", "w")
             out = w if out is None else out.unionByName(w)
