@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import is_small, saved
 
 # The base patterns; lower-case letters of the key words stand for either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +28,8 @@ BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]{10,}"
 KINDS = ("assign", "access", "hex", "reuse")
 #: Values of at least so many owners are examples.
 EXAMPLE_OWNERS = 3
+#: Spans up to so many bytes are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 4 << 20
 
 _SPAN = "array<struct<s:int,k:int,e:int,v:bigint>>"
 _NONE = f"cast(array() as {_SPAN})"
@@ -98,6 +100,9 @@ def report(df: DataFrame) -> DataFrame:
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with live-looking credentials (assignments, access keys, bare reuses) replaced by ``mark``; n_chars follows if there."""
     found = find(df, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.expr("filter(spans, x -> x.live and x.k <> 2)").alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_id", "_th"])
+    # few documents hold any: their spans go to the texts, not the texts to them
+    found = saved(found, "secret-live")
+    found = F.broadcast(found) if is_small(found, BROADCAST_BYTES) else found
     rows = df.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._id")) & (F.col("d._th") == F.col("f._th")), "left")
     clean = F.expr(f"""aggregate(_live, struct(0 as at, '' as out),
