@@ -591,3 +591,70 @@ def queue_enqueue(spark, d):
 @query(f"WITH {JOBS} SELECT document_id, min(queue) AS failed_stage FROM jobs WHERE state = 'dead' GROUP BY 1")
 def queue_failures(spark, d):
     return jobs.failed_documents(driver.jobs(spark, d))
+
+
+# ---- vocabularies: strings made from keys, their readings as a list of values
+
+
+def _listed(names, rows) -> str:
+    value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({i}, " + ", ".join(map(value, r)) + ")" for i, r in enumerate(rows)) + f") v(i, {', '.join(names)})"
+
+
+def _picked(spark, d, strings, name):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.get(F.array(*map(F.lit, strings)), (F.col("l_orderkey") % len(strings)).cast("int")).alias(name))
+
+
+UNIT_STRINGS = [("lakh tonnes", "t", 1e5), ("Rs crore", "inr", 1e7), ("M.Cum", "m3", 1e6), ("TPD", "t/yr", 365.0), ("wibbles", None, None), ("MT", "t", 1e6), ("%", "fraction", 0.01), ("Figs in Mill Te", "t", 1e6), ("tonnes per month", "t/yr", 12.0), ("tonnes/hectare", None, None)]
+PERIOD_STRINGS = [("FY2024-25", "FY2024-25", "FY2024-25"), ("Q3 2023-24", "Q3 FY2023-24", "FY2023-24"), ("APR'23 - AUG'23", "Apr 2023 - Aug 2023", "FY2023-24"), ("2024", "2024", None), ("as on 31.03.2025", "as on 2025-03-31", "FY2024-25"), ("AUG'23 - APR'23", None, None), ("Mar 2024", "Mar 2024", "FY2023-24"), ("Apr 2024 to Sep 2024", "H1 FY2024-25", "FY2024-25")]
+ENTITY_STRINGS = [("S.E.C.L.", "secl"), ("Mahanadi Coalfeilds Limited", "mcl"), ("Coal India Ltd", "cil"), ("Atlantis Coal Corp", None), ("Bharat Coking Coal", "bccl"), ("NLC India", "nlcil")]
+METRIC_STRINGS = [("Production (Million Tonnes)", "coal_production"), ("Total despatch", "coal_offtake"), ("OB removal during the year", "overburden_removal"), ("production cost", None), ("Turnover", "revenue")]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, unit, CAST(round(l_quantity * factor, 6) AS DOUBLE) AS value FROM lineitem JOIN {_listed(['raw', 'unit', 'factor'], UNIT_STRINGS)} ON l_orderkey % {len(UNIT_STRINGS)} = i")
+def normalize_units(spark, d):
+    from ..functions import units
+
+    rows = _picked(spark, d, [s for s, *_ in UNIT_STRINGS], "raw_unit")
+    return units.normalize(rows, "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "unit", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, label, fiscal_year FROM lineitem JOIN {_listed(['raw', 'label', 'fiscal_year'], PERIOD_STRINGS)} ON l_orderkey % {len(PERIOD_STRINGS)} = i")
+def normalize_periods(spark, d):
+    from ..functions import periods
+
+    rows = _picked(spark, d, [s for s, *_ in PERIOD_STRINGS], "raw")
+    return rows.join(periods.lookup(rows, "raw"), "raw", "left").select("l_orderkey", "l_linenumber", "l_partkey", "label", "fiscal_year")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, e.id AS entity_id, m.id AS metric FROM lineitem JOIN {_listed(['raw', 'id'], ENTITY_STRINGS).replace(' v(', ' e(')} ON l_orderkey % {len(ENTITY_STRINGS)} = e.i JOIN {_listed(['raw', 'id'], METRIC_STRINGS).replace(' v(', ' m(')} ON l_orderkey % {len(METRIC_STRINGS)} = m.i")
+def resolve_names(spark, d):
+    from ..functions import names
+
+    rows = _picked(spark, d, [s for s, _ in ENTITY_STRINGS], "e").withColumn("m", _array_pick([s for s, _ in METRIC_STRINGS]))
+    entity = names.lookup(rows, "e").select(F.col("raw").alias("e"), F.col("id").alias("entity_id"))
+    metric = names.lookup(rows, "m", "metric").select(F.col("raw").alias("m"), F.col("id").alias("metric"))
+    return rows.join(entity, "e", "left").join(metric, "m", "left").select("l_orderkey", "l_linenumber", "l_partkey", "entity_id", "metric")
+
+
+def _array_pick(strings):
+    return F.get(F.array(*map(F.lit, strings)), (F.col("l_orderkey") % len(strings)).cast("int"))
+
+
+@query("SELECT 'doc_' || doc_id AS document_id, CASE c WHEN 1 THEN 'secl' ELSE 'mcl' END AS entity_id, CASE y WHEN 1 THEN 'FY2023-24' ELSE 'FY2024-25' END AS fiscal_year, (doc_id + c * 10 + y) * 1000000.0::DOUBLE AS value FROM documents, (VALUES (1), (2)) a(c), (VALUES (1), (2)) b(y)")
+def extract_tables(spark, d):
+    """A table of two companies and two years for each document, read back into facts."""
+    from ..operators import grid
+
+    cells = [(0, 0, "'Coal production by subsidiary'"), (1, 0, "'(Figures in Million Tonnes)'"), (2, 0, "'Subsidiary'"), (2, 1, "'FY2023-24'"), (2, 2, "'FY2024-25'"), (3, 0, "'SECL'"), (3, 1, "concat(doc_id + 11, '.0')"), (3, 2, "concat(doc_id + 12, '.0')"), (4, 0, "'Mahanadi Coalfields'"), (4, 1, "concat(doc_id + 21, '.0')"), (4, 2, "concat(doc_id + 22, '.0')"), (5, 0, "'Total'"), (5, 1, "'9'")]
+    rows = table(spark, d, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("document_id"), F.explode(F.expr("array(" + ", ".join(f"struct({r} as row_idx, {c} as col_idx, {t} as text)" for r, c, t in cells) + ")")).alias("c"))
+    extra = {"table_id": "t1", "extraction_method": "table_lattice", "publisher_entity_id": "cil"}
+    rows = rows.select("document_id", "c.*", *[F.lit(v).alias(k) for k, v in extra.items()], F.lit(1).alias("page"), F.lit(False).alias("text_layer_recognised"), F.lit(None).cast("string").alias("fiscal_year"))
+    return grid.extract(rows)[0].select("document_id", "entity_id", "fiscal_year", "value")
+
+
+@query("SELECT starts, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS starts, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def windowed_events(spark, d):
+    from ..streaming import ingest
+
+    return ingest.event_counts(table(spark, d, "events"), "1 hour")
