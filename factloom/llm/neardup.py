@@ -10,7 +10,7 @@ Links are found in three steps, so that no bucket emits all of its pairs:
    member that has met most others;
 2. the other (class, bucket's head) pairs whose ends are not connected yet;
 3. in buckets that still hold several components, members outside the largest component against all members,
-   in blocks, pairs of one component skipped.
+   in blocks, pairs of one component skipped: first each member's closest partners, then all that is left.
 Candidates pass the odd sketch (a bound far below the threshold) and are confirmed on full sets. Components
 are labelled by their smallest id through iterated joins.
 
@@ -225,8 +225,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _blocks(buckets: DataFrame, limit: int) -> DataFrame:
-    """Pairs of different components in the buckets (bucket, id, label, n, sketch), from members outside the largest one."""
+def _closest(odd: np.ndarray, labels: np.ndarray, best: int) -> np.ndarray:
+    """Places of the ``best`` least counts of each label."""
+    order = np.lexsort((odd, labels))
+    named = labels[order]
+    first = np.append(True, named[1:] != named[:-1])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[place < best]
+
+
+def _blocks(buckets: DataFrame, limit: int, best: int | None = None) -> DataFrame:
+    """Pairs of different components in the buckets (bucket, id, label, sketch), from members outside the largest one;
+    with ``best``, only the closest partners of each member in each component of a block."""
     sizes = buckets.groupBy("bucket", "label").agg(F.count("*").alias("m"))
     spread = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("top")).where("parts > 1")
     spread = spread.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("out"))
@@ -245,7 +255,11 @@ def _blocks(buckets: DataFrame, limit: int) -> DataFrame:
                 sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 for i in left:
-                    hit = right[(labels[right] != labels[i]) & (np.bitwise_count(sketches[right] ^ sketches[i]).sum(axis=1) <= limit)]
+                    odd = np.bitwise_count(sketches[right] ^ sketches[i]).sum(axis=1)
+                    near = np.flatnonzero((labels[right] != labels[i]) & (odd <= limit))
+                    if best and len(near):
+                        near = near[_closest(odd[near], labels[right[near]], best)]
+                    hit = right[near]
                     a += np.maximum(ids[hit], ids[i]).tolist()
                     b += np.minimum(ids[hit], ids[i]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -280,14 +294,16 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     apart = saved(_near(apart, classes, limit), "near-apart")
     links = saved(links.unionByName(_confirmed(apart, docs, text, width, threshold)), "near-links")
     label = components(links)
-    # 3. buckets that still hold several components
-    named = members.join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    open_ = saved(named.join(mixed, "bucket").join(classes.select("id", "sketch"), "id"), "near-open")
-    rest = _blocks(open_, limit).join(first, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")
-    rest = saved(rest, "near-rest")
-    links = saved(links.unionByName(_confirmed(rest, docs, text, width, threshold)), "near-links")
-    label = components(links)
+    # 3. buckets that still hold several components: first the closest pairs, which join most, then all that are left
+    tried = saved(first.unionByName(apart), "near-tried")
+    for best in (2, None):
+        named = members.join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        open_ = saved(named.join(mixed, "bucket").join(classes.select("id", "sketch"), "id"), "near-open")
+        rest = saved(_blocks(open_, limit, best).join(tried, ["a", "b"], "left_anti"), "near-rest")
+        links = saved(links.unionByName(_confirmed(rest, docs, text, width, threshold)), "near-links")
+        label = components(links)
+        tried = saved(tried.unionByName(rest), "near-tried")
     named = classes.select("c1", "c2", "n", F.col("id").alias("class_id")).join(label, F.col("class_id") == F.col("id"), "left").select("c1", "c2", "n", "class_id", F.coalesce("label", "class_id").alias("label"))
     out = rows.join(named, ["c1", "c2", "n"], "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
