@@ -29,6 +29,7 @@ TRAIN_PER_LANGUAGE = 300
 #: A gap between the two least losses under this is ambiguous.
 AMBIGUOUS_GAP = 0.08
 
+_BYTES = "__langid_bytes"
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 for _c in range(97, 123):
@@ -157,31 +158,35 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return fit(x, np.array([languages.index(r["lang"]) for r in got]), languages)
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``df`` (default all) with lang_pred, score, ambiguous, bit_errors."""
+RESULTS = ("lang_pred", "score", "ambiguous", "bit_errors")
+
+
+def predict(df: DataFrame, model: Model | None, text: str = "text", columns: list[str] | None = None, results: tuple[str, ...] = RESULTS) -> DataFrame:
+    """``columns`` of ``df`` (default all) with language, score, ambiguity and bit errors, named by ``results``."""
     columns = df.columns if columns is None else columns
     kept = [F.col(c) for c in columns]
     if model is None:
-        return df.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"), F.lit(0).alias("bit_errors"))
+        return df.select(*kept, *[F.lit(v).alias(n) for v, n in zip(("und", 0.0, True, 0), results, strict=True)])
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    source = df.select(*kept, F.when(letters, F.lower(F.col(text)).cast("binary")).otherwise(F.lit(bytearray())).alias("_bytes"), letters.alias("_letters"))
+    source = df.select(*kept, F.when(letters, F.lower(F.col(text)).cast("binary")).otherwise(F.lit(bytearray())).alias(_BYTES), letters.alias("_letters"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # DIMS x bits floats: a fixed size
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
-        for batch in pieces(batches, "_bytes"):
+        for batch in pieces(batches, _BYTES):
             at = len(columns)
             best, score, gap, differ = decode(m, features(*flat(batch.column(at))))
             has = batch.column(at + 1).to_numpy(zero_copy_only=False).astype(bool)
             best = np.where(has, best, len(m.languages))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array(names[best], pa.string()), pa.array(np.where(has, score, 0.0).astype(np.float64)), pa.array(~has | (gap < AMBIGUOUS_GAP)), pa.array(np.where(has, differ, 0).astype(np.int32))],
-                names=[*columns, "lang_pred", "score", "ambiguous", "bit_errors"],
+                names=[*columns, *results],
             )
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean, bit_errors int")
+    kinds = ", ".join(f"`{n}` {k}" for n, k in zip(results, ("string", "double", "boolean", "int"), strict=True))
+    return source.mapInArrow(run, f"{fields}, {kinds}")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -198,5 +203,6 @@ def identify(df: DataFrame) -> DataFrame:
 def keep_identified(df: DataFrame) -> DataFrame:
     """Documents whose language is known: those without a letter, or that no codeword fits clearly, go."""
     model = train(df)
-    seen = predict(df, model)
-    return seen.where((F.col("lang_pred") != "und") & ~(F.col("ambiguous") & (F.col("score") < 0.4))).select(*df.columns)
+    lang, score, ambiguous, _ = own = tuple(f"__langid_{n}" for n in RESULTS)  # columns of these plain names may be there
+    seen = predict(df, model, results=own)
+    return seen.where((F.col(lang) != "und") & ~(F.col(ambiguous) & (F.col(score) < 0.4))).select(*df.columns)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import audio, bpe, decontaminate, idstore, langid, neardup, perplexity, repeats, secrets, sharding
 from factloom.llm.queries import vocabulary
@@ -35,6 +36,8 @@ def test_language(spark, docs, nothing):
     assert all(0 <= r.score <= 1 for rs in got.values() for r in rs)
     kept = {r.doc_id for r in langid.keep_identified(df).collect()}
     assert kept >= {i for i, _, _ in rows} and not kept & {1000, 1001}
+    named_alike = df.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    assert langid.keep_identified(named_alike).columns == named_alike.columns and langid.keep_identified(named_alike).where("score = 'x'").count() == len(kept)
     assert langid.identify(nothing).collect() == []
     assert langid.identify(docs).count() == docs.count()
     assert {r.lang_pred for r in langid.identify(df.where("doc_id >= 1000 and lang is null")).collect()} == {"und"}
