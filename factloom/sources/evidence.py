@@ -22,7 +22,7 @@ MOST_BYTES, MOST_RATIO, MOST_ENTRIES = 512 << 20, 100, 2000
 
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content, content_hash, document_id, kind of every file below a path."""
+    """path, length, content, content_hash, document_id, kind of every file below a path; Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     hashed = files.withColumn("content_hash", F.sha2("content", 256))
     return hashed.select("path", "length", "content", "content_hash", new_id("doc_", "content_hash").alias("document_id"), F.coalesce(sniff(F.col("content")), F.lit("unknown")).alias("kind"))

@@ -16,9 +16,11 @@ from ..scope import Scope
 
 
 def process(evidence: DataFrame, buckets: int = 64) -> DataFrame:
-    """Facts of a set of evidence: tables read, states set by confidence and rules; with the bucket of their document."""
-    taken = statement.statements(evidence)
-    facts, _ = grid.extract(evidence, refused=taken)
+    """Facts of a set of evidence: tables read, states set by confidence and rules; with the bucket of their document.
+
+    What is read off the tables is kept while the rules look at it, as each rule would read the tables again."""
+    facts, _ = grid.extract(evidence, refused=statement.statements(evidence))
+    facts = facts.persist()
     facts = facts.withColumn("conf_ocr", F.lit(None).cast("double")).withColumn("conf_answer", F.lit(None).cast("double")).withColumn("notes", F.lit(None).cast("string"))
     facts = state.flag_low(facts)
     found = rules.run(facts, facts).select("fact_id", F.col("rule").alias("note"))
@@ -30,7 +32,9 @@ def ingest(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
     """Read evidence files as they arrive and keep the facts of each document at ``out``."""
 
     def batch(evidence: DataFrame, number: int) -> None:
-        state.write_partitions(process(evidence), out, ["bucket", "document_id"])
+        kept = evidence.persist()
+        state.write_partitions(process(kept), out, ["bucket", "document_id"])
+        evidence.sparkSession.catalog.clearCache()  # the stream's own session
 
     writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
