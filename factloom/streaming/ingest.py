@@ -15,17 +15,17 @@ from ..operators import grid, rules, state, statement
 from ..scope import Scope
 
 
-def process(evidence: DataFrame, buckets: int = 64) -> DataFrame:
-    """Facts of a set of evidence: tables read, states set by confidence and rules; with the bucket of their document.
-
-    What is read off the tables is kept while the rules look at it, as each rule would read the tables again."""
+def read_tables(evidence: DataFrame) -> DataFrame:
+    """Facts as read off the tables that no statement reader takes."""
     facts, _ = grid.extract(evidence, refused=statement.statements(evidence))
-    facts = facts.persist()
-    facts = facts.withColumn("conf_ocr", F.lit(None).cast("double")).withColumn("conf_answer", F.lit(None).cast("double")).withColumn("notes", F.lit(None).cast("string"))
-    facts = state.flag_low(facts)
+    return facts.withColumn("conf_ocr", F.lit(None).cast("double")).withColumn("conf_answer", F.lit(None).cast("double")).withColumn("notes", F.lit(None).cast("string"))
+
+
+def judge(facts: DataFrame, buckets: int = 64) -> DataFrame:
+    """States set by confidence and rules; with the bucket of the document. Keep ``facts`` before: each rule reads them."""
     found = rules.run(facts, facts).select("fact_id", F.col("rule").alias("note"))
-    facts = state.promote_high(state.flag_for_review(facts, found))
-    return facts.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
+    out = state.promote_high(state.flag_for_review(state.flag_low(facts), found))
+    return out.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
 
 
 def ingest(spark: SparkSession, source: str, schema, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -33,8 +33,10 @@ def ingest(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
 
     def batch(evidence: DataFrame, number: int) -> None:
         kept = evidence.persist()
-        state.write_partitions(process(kept), out, ["bucket", "document_id"])
-        evidence.sparkSession.catalog.clearCache()  # the stream's own session
+        facts = read_tables(kept).persist()
+        state.write_partitions(judge(facts), out, ["bucket", "document_id"])
+        facts.unpersist()
+        kept.unpersist()
 
     writer = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
