@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, periods, units
 from ..functions.text import is_null_token, new_id, parse_number, unit_in
+from ..shared import saved
 
 TABLE = ["document_id", "table_id"]
 # Labels of rows that repeat others, parse confidence by method, and reasons someone can act on.
@@ -62,15 +63,17 @@ def extract(evidence: DataFrame, page_lines: DataFrame | None = None, refused: D
     grid = cells(evidence)
     if refused is not None:
         grid = grid.join(refused.select(*TABLE).distinct(), TABLE, "left_anti")
-    shape = layout(grid)
-    said = captions(grid, shape, page_lines)
+    # cells are read by six branches, and what is below is joined again and again: both end their plans here
+    grid = saved(grid, "grid-cells")
+    shape = saved(layout(grid), "grid-layout")
+    said = saved(captions(grid, shape, page_lines), "grid-captions")
     inside = grid.join(shape, TABLE)
     header = inside.where((F.col("row_idx") == F.col("header")) & (F.col("text") != "")).select(*TABLE, "col_idx", F.col("text").alias("raw"))
     labels = inside.where((F.col("row_idx") > F.col("header")) & (F.col("col_idx") == F.col("label")) & (F.col("text") != "")).select(*TABLE, "row_idx", F.col("text").alias("raw"))
-    strings = header.select("raw").union(labels.select("raw")).union(said.select(F.col("caption").alias("raw"))).union(evidence.select(F.col("fiscal_year").alias("raw"))).distinct()
-    metric = names.lookup(strings, "raw", "metric").select("raw", F.col("id").alias("metric"))
-    entity = names.lookup(labels, "raw").select("raw", F.col("id").alias("entity_id"), "score")
-    period = periods.lookup(strings, "raw").where("kind is not null").select("raw", F.struct("kind", "start", "end", "label", "fiscal_year").alias("period"))
+    strings = header.select("raw").union(labels.select("raw")).union(said.select(F.col("caption").alias("raw"))).union(grid.select(F.col("fiscal_year").alias("raw"))).distinct()
+    metric = saved(names.lookup(strings, "raw", "metric").select("raw", F.col("id").alias("metric")), "grid-metrics")
+    entity = saved(names.lookup(labels, "raw").select("raw", F.col("id").alias("entity_id"), "score"), "grid-entities")
+    period = saved(periods.lookup(strings, "raw").where("kind is not null").select("raw", F.struct("kind", "start", "end", "label", "fiscal_year").alias("period")), "grid-periods")
 
     column = header.join(metric, "raw", "left").join(period, "raw", "left").select(*TABLE, "col_idx", F.col("metric").alias("c_metric"), F.col("period").alias("c_period"), unit_in(F.col("raw")).alias("c_unit"))
     row = labels.join(metric, "raw", "left").join(entity, "raw", "left").join(period, "raw", "left")
@@ -83,6 +86,7 @@ def extract(evidence: DataFrame, page_lines: DataFrame | None = None, refused: D
     rows = body.join(row, [*TABLE, "row_idx"]).join(column, [*TABLE, "col_idx"], "left").join(table, TABLE, "left").join(period.select(F.col("raw").alias("fiscal_year"), F.col("period").alias("d_period")), "fiscal_year", "left")
     rows = rows.withColumn("metric", F.coalesce("r_metric", "c_metric", "t_metric")).withColumn("period", F.coalesce("c_period", "r_period", "d_period"))
     rows = rows.withColumn("entity", F.coalesce("entity_id", F.when(F.col("r_metric").isNotNull(), F.col("publisher_entity_id")))).withColumn("raw_unit", F.coalesce("c_unit", "r_unit", "t_unit"))
+    rows = saved(rows, "grid-joined")
     read = units.lookup(rows, "raw_unit").select(F.col("raw").alias("raw_unit"), "unit", "dimension", "factor", "ambiguous")
     kinds = F.create_map(*[F.lit(x) for m in names.METRICS for x in (m.key, m.dimension)])
     rows = rows.join(read, "raw_unit", "left")
@@ -92,7 +96,7 @@ def extract(evidence: DataFrame, page_lines: DataFrame | None = None, refused: D
         .when(F.coalesce("text_layer_recognised", F.lit(False)), "unverifiable_ocr_layer").when(F.col("metric").isNull(), "no_metric").when(F.col("period").isNull(), "no_period")
         .when(F.col("entity").isNull(), "no_entity").when(F.col("raw_unit").isNull(), "no_unit").when(F.col("unit").isNull(), "ambiguous_unit").when(F.element_at(kinds, F.col("metric")) != F.col("dimension"), "wrong_dimension")
     )
-    rows = rows.withColumn("reason", reason)
+    rows = saved(rows.withColumn("reason", reason), "grid-judged")
     # a total row is skipped once, not once a cell
     first = F.row_number().over(Window.partitionBy(*TABLE, "row_idx", "reason").orderBy("col_idx"))
     skips = rows.where("reason is not null").withColumn("_n", F.when(F.col("reason") == "total_row", first).otherwise(1)).where("_n = 1")
