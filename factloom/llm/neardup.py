@@ -225,46 +225,39 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _closest(odd: np.ndarray, labels: np.ndarray, best: int) -> np.ndarray:
-    """Places of the ``best`` least counts of each label."""
-    order = np.lexsort((odd, labels))
-    named = labels[order]
-    first = np.append(True, named[1:] != named[:-1])
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order[place < best]
-
-
 def _blocks(buckets: DataFrame, limit: int, best: int | None = None) -> DataFrame:
-    """Pairs of different components in the buckets (bucket, id, label, sketch), from members outside the largest one;
-    with ``best``, only the closest partners of each member in each component of a block."""
+    """Pairs of different components in the buckets (bucket, id, label, sketch, bands), from members outside the largest
+    one, each pair in the first bucket that it shares; with ``best``, only the closest partners of each member in a block."""
     sizes = buckets.groupBy("bucket", "label").agg(F.count("*").alias("m"))
     spread = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("top")).where("parts > 1")
     spread = spread.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("out"))
     rows = buckets.join(spread, "bucket")
     place = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    minor = rows.where("label <> top").select("bucket", place("out").alias("i"), F.explode(F.expr("sequence(0, all - 1)")).alias("j"), F.lit(0).alias("side"), "id", "label", "sketch")
-    every = rows.select("bucket", F.explode(F.expr("sequence(0, out - 1)")).alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "id", "label", "sketch")
-    cells = minor.unionByName(every).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "id", "label", "sketch")).alias("rows"))
+    minor = rows.where("label <> top").select("bucket", place("out").alias("i"), F.explode(F.expr("sequence(0, all - 1)")).alias("j"), F.lit(0).alias("side"), "id", "label", "sketch", "bands")
+    every = rows.select("bucket", F.explode(F.expr("sequence(0, out - 1)")).alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "id", "label", "sketch", "bands")
+    cells = minor.unionByName(every).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "id", "label", "sketch", "bands")).alias("rows"))
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for rows in batch.column(0).to_pylist():
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 side = np.array([r["side"] for r in rows])
                 ids, labels = (np.array([r[c] for r in rows], np.int64) for c in ("id", "label"))
                 sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
+                bands = np.array([r["bands"] for r in rows], np.int64)
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 for i in left:
                     odd = np.bitwise_count(sketches[right] ^ sketches[i]).sum(axis=1)
                     near = np.flatnonzero((labels[right] != labels[i]) & (odd <= limit))
-                    if best and len(near):
-                        near = near[_closest(odd[near], labels[right[near]], best)]
+                    if best:
+                        near = near[np.argsort(odd[near], kind="stable")[:best]]
                     hit = right[near]
+                    hit = hit[bands[i][np.argmax(bands[hit] == bands[i], axis=1)] == bucket] if len(hit) else hit
                     a += np.maximum(ids[hit], ids[i]).tolist()
                     b += np.minimum(ids[hit], ids[i]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cells.select("rows").mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.select("bucket", "rows").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: int = 80) -> DataFrame:
@@ -296,10 +289,10 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     label = components(links)
     # 3. buckets that still hold several components: first the closest pairs, which join most, then all that are left
     tried = saved(first.unionByName(apart), "near-tried")
-    for best in (2, None):
+    for best in (4, None):
         named = members.join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        open_ = saved(named.join(mixed, "bucket").join(classes.select("id", "sketch"), "id"), "near-open")
+        open_ = saved(named.join(mixed, "bucket").join(classes.select("id", "sketch", "bands"), "id"), "near-open")
         rest = saved(_blocks(open_, limit, best).join(tried, ["a", "b"], "left_anti"), "near-rest")
         links = saved(links.unionByName(_confirmed(rest, docs, text, width, threshold)), "near-links")
         label = components(links)
