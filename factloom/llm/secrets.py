@@ -3,8 +3,10 @@
 Base spans come from three patterns. Positions come from the text between the matches: ``split`` gives it,
 ``regexp_extract_all`` the matches, and running lengths the offsets in code points. The value of every
 candidate is hashed and counted over the corpus by distinct repository and owner. A value that many owners
-hold is a copied example; one of few owners is live-looking. The method adds ``reuse`` spans: a token that
-stands bare in one text, and in a credential's place in another.
+hold is a copied example; one of few owners is live-looking, whatever pattern found it. A value is strong if it
+stands in a credential's place (an assignment, an access key) somewhere. The method adds ``reuse`` spans: a run
+of token characters that stands bare in one text, and whose value is strong. Values are equal if they differ by
+punctuation at their ends only. Live spans of strong values are masked, hexadecimal ones too.
 
 Defined results: null text counts as empty and has no span; an empty table gives an empty result; repeated
 rows give repeated results and count once for ownership; a null owner counts as one owner; other columns
@@ -23,8 +25,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_HINT = r"(?i:pass(?:word|wd)|secret|token|api_?key)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: A bare token: at least a digit, and letters before or after it.
-BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]{10,}"
+#: A bare token: a whole run of token characters, not of punctuation alone.
+BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[+/_.=-]*+[A-Za-z0-9])[A-Za-z0-9+/_.=-]{12,}+"
+#: What may stand at a value's ends without being part of it.
+ENDS = "+/_.=-"
 KINDS = ("assign", "access", "hex", "reuse")
 #: Values of at least so many owners are examples.
 EXAMPLE_OWNERS = 3
@@ -45,7 +49,7 @@ def _spans(text: str, pattern: str, kind: int, value: int = 0, least: int = 0) -
     return f"""aggregate({rows}, struct(0 as at, {_NONE} as out),
         (a, x) -> struct(cast(a.at + char_length({between}) + coalesce(char_length({match}), 0) as int) as at,
             if({match} is null or char_length({v}) < {least}, a.out, concat(a.out, array(struct(cast(a.at + char_length({between}) as int) as s, {kind} as k,
-                cast(a.at + char_length({between}) + char_length({match}) as int) as e, xxhash64({v}) as v)))) as out), a -> a.out)"""
+                cast(a.at + char_length({between}) + char_length({match}) as int) as e, xxhash64(trim(BOTH '{ENDS}' FROM {v})) as v)))) as out), a -> a.out)"""
 
 
 def _guarded(hint: str, spans: str, text: str = "t") -> Column:
@@ -56,7 +60,7 @@ def _guarded(hint: str, spans: str, text: str = "t") -> Column:
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str | None = None) -> DataFrame:
     """key, th (hash of the text), owner, repository, base and bare spans; each pattern reads a text once if it has no match."""
     t = df.select(F.col(key).alias(key), F.col(owner).alias("owner"), F.col(repository or owner).alias("repository"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bare = _guarded("[0-9][A-Za-z0-9+/_.=-]{10}", _spans("t", BARE, 3, least=12))
+    bare = _guarded("[A-Za-z0-9+/_.=-]{12}", _spans("t", BARE, 3))
     return t.select(
         key, "owner", "repository", F.xxhash64("t").alias("th"),
         F.concat(_guarded(ASSIGN_HINT, _spans("t", ASSIGN, 0, value=2, least=12)), _guarded("AKIA", _spans("t", ACCESS, 1)), _guarded(HEX, _spans("t", HEX, 2))).alias("base"),
@@ -64,24 +68,33 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "s
     )
 
 
-def ownership(scanned: DataFrame) -> DataFrame:
-    """v, owners, repositories, strong (seen in a credential's place) for every candidate value; distinct pairs are counted first."""
-    every = scanned.select("owner", "repository", F.explode(F.concat("base", "bare")).alias("x")).select("owner", "repository", "x.v", (F.col("x.k") < 2).alias("strong"))
+def reuses(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, th, owner, repository, x, covered (a base span tells of it): the bare spans of strong values, saved."""
+    known = saved(scanned.select(F.explode("base").alias("x")).where("x.k < 2").select("x.v").distinct(), "secret-values")
+    known = F.broadcast(known) if is_small(known, BROADCAST_BYTES) else known
+    covered = "exists(base, b -> b.s <= x.s and x.e <= b.e or b.s < x.e and x.s < b.e and b.v = x.v)"
+    bare = scanned.select(key, "th", "owner", "repository", F.expr(f"explode(transform(bare, x -> struct(x as x, {covered} as covered)))").alias("y"))
+    return saved(bare.select(key, "th", "owner", "repository", "y.x", "y.covered", "y.x.v").join(known, "v", "left_semi").drop("v"), "secret-reuses")
+
+
+def ownership(scanned: DataFrame, bare: DataFrame) -> DataFrame:
+    """v, owners, repositories, strong (seen in a credential's place) for every value of base spans; distinct pairs are counted first."""
+    every = scanned.select("owner", "repository", F.explode("base").alias("x")).unionByName(bare.select("owner", "repository", "x")).select("owner", "repository", "x.v", (F.col("x.k") < 2).alias("strong"))
     pairs = every.groupBy("v", "owner", "repository").agg(F.bool_or("strong").alias("strong"))
     return pairs.groupBy("v").agg(F.countDistinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.countDistinct(F.coalesce("repository", F.lit(""))).alias("repositories"), F.bool_or("strong").alias("strong"))
 
 
 def find(df: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", repository: str | None = None) -> DataFrame:
-    """key, th, base, spans: array of (s, k, e, v, live) of all kinds, by start and kind."""
+    """key, th, base, spans: array of (s, k, e, v, live, strong) of all kinds, by start and kind."""
     scanned = saved(scan(df, text, key, owner, repository), "secret-scan")
-    values = ownership(scanned)
-    overlaps = "exists(base, b -> b.s < x.e and x.s < b.e)"
-    loose = scanned.select(key, "th", F.expr(f"explode(concat(base, filter(bare, x -> not {overlaps})))").alias("x"))
-    judged = loose.select(key, "th", "x.*").distinct().join(values, "v").where("k < 3 or strong")
-    live = (F.col("owners") < EXAMPLE_OWNERS) & F.col("strong")
-    by_doc = judged.groupBy(key, "th").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "v", live.alias("live")))).alias("spans"))
+    bare = reuses(scanned, key)
+    values = ownership(scanned, bare)
+    loose = scanned.select(key, "th", F.explode("base").alias("x")).unionByName(bare.where("not covered").select(key, "th", "x"))
+    judged = loose.select(key, "th", "x.*").distinct().join(values, "v")
+    live = F.col("owners") < EXAMPLE_OWNERS
+    by_doc = judged.groupBy(key, "th").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "v", live.alias("live"), "strong"))).alias("spans"))
     same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l.th") == F.col("r.th"))
-    return scanned.alias("l").join(by_doc.alias("r"), same, "left").select(f"l.{key}", "l.th", "l.base", F.coalesce("r.spans", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:bigint,live:boolean>>)")).alias("spans"))
+    return scanned.alias("l").join(by_doc.alias("r"), same, "left").select(f"l.{key}", "l.th", "l.base", F.coalesce("r.spans", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:bigint,live:boolean,strong:boolean>>)")).alias("spans"))
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -93,13 +106,13 @@ def report(df: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", count("x.k = 0").alias("n_assign"), count("x.k = 1").alias("n_access"), count("x.k = 2").alias("n_hex"),
         F.sha2(joined("filter(spans, y -> y.k < 3)").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
-        count("x.k = 3").alias("n_reuse"), count("x.live").alias("n_live"), count("x.k < 2 and not x.live").alias("n_example"),
+        count("x.k = 3").alias("n_reuse"), count("x.live").alias("n_live"), count("not x.live").alias("n_example"),
     )
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with live-looking credentials (assignments, access keys, bare reuses) replaced by ``mark``; n_chars follows if there."""
-    found = find(df, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.expr("filter(spans, x -> x.live and x.k <> 2)").alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_id", "_th"])
+    """``df`` with live-looking values that stand in a credential's place somewhere replaced, wherever they stand, by ``mark``; n_chars follows if there."""
+    found = find(df, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.expr("filter(spans, x -> x.live and x.strong)").alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_id", "_th"])
     # few documents hold any: their spans go to the texts, not the texts to them
     found = saved(found, "secret-live")
     found = F.broadcast(found) if is_small(found, BROADCAST_BYTES) else found

@@ -202,6 +202,20 @@ def test_ownership_and_redaction(spark):
     assert clean[10].text == "token: example12345example" and clean[3].text is None and clean[4].text == "clean" and len(clean) == len(rows)
 
 
+def test_live_values_are_masked_wherever_they_stand(spark):
+    values = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "24be64439e3e49cf46b2d7c90f3602a3d0b907fe-x", "abcdefghijklmnop", "QwErTyUiOpAs12"]  # hex, hex and more, letters only, digits at the end only
+    rows = [(i, f"password = {v}", "a") for i, v in enumerate(values)] + [(10 + i, f"é {v} here, and {v}.", "b") for i, v in enumerate(values)]
+    rows += [(20, "commit 00112233445566778899aabbccddeeff", "a"), (21, "password: ------------", "a"), (22, "title\n------------\nadministrator", "b")]
+    rows += [(30 + i, "see ffeeddccbbaa99887766554433221100", f"o{i}") for i in range(3)] + [(40 + i, f"{'secret = ' if i else ''}administrator", f"o{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(clean[i] == "[SECRET]" for i in range(4))
+    assert clean[10] == "é [SECRET] here, and [SECRET]." and all(clean[10 + i] == "é [SECRET] here, and [SECRET]" for i in (1, 2, 3))
+    assert clean[20] == rows[8][1] and clean[22] == rows[10][1] and clean[30] == rows[11][1]  # never in a credential's place; three owners
+    report = by_id(secrets.report(df))
+    assert [(report[i][0].n_live, report[i][0].n_example) for i in (20, 30)] == [(1, 0), (0, 1)]
+
+
 # ---- 7 BPE
 
 
