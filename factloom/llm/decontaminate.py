@@ -7,8 +7,10 @@ of document and item with enough of the item's windows is aligned, and its slots
 slot in the item must map one to one to what fills it in the document. Equal slots are a copy, consistent
 other ones a re-parameterised question, inconsistent ones are let go.
 
-Items of four to seven tokens are matched by windows of four; shorter ones cannot be told from chance and are
-left out. A window counts with at least four (of four: three) tokens that are no placeholder.
+Items of four to seven tokens are matched by windows of four. A window counts with at least four (of four:
+three) tokens that are no placeholder. Items without any such window (short ones, arithmetic, lists of
+quantities) are matched as they stand: literal words, numbers, units and operators, the whole item if it has
+fewer than eight tokens, else windows of eight. So a very short item takes every document that holds its words.
 
 Defined results: null and empty texts match nothing; an empty table on either side gives an empty result;
 repeated rows of either table give one row for each distinct pair; other columns are ignored.
@@ -26,6 +28,9 @@ UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "ms", "min
 NAMES = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 TOKENS = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+|" + NAME
+#: Tokens of an item that is matched as it stands: numbers, words, operators.
+LITERAL_TOKENS = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+|[+*/=<>^%×÷−-]"
+LITERAL = 2  # beside the forms 0 and 1
 #: The share of an item's windows that a document must hold.
 COVERAGE = 0.5
 #: Benchmark windows up to so many bytes are broadcast; more are joined by shuffle.
@@ -65,32 +70,49 @@ def windows(ts: Column, size: int) -> Column:
     return _let(w, lambda x: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - (size - 1))))
 
 
+def literal(text: Column) -> Column:
+    """Lower-case words, numbers and operators, without placeholders."""
+    return F.regexp_extract_all(F.lower(text), F.lit(LITERAL_TOKENS), F.lit(0))
+
+
+def literal_windows(ts: Column, size: int) -> Column:
+    """Hashes of all windows of ``size`` tokens, in order; empty if there are fewer tokens."""
+    starts = lambda x: F.when(F.size(x) >= size, F.sequence(F.lit(1), F.size(x) - (size - 1)))
+    every = lambda x: F.transform(F.coalesce(starts(x), F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(x, i, F.lit(size))))
+    return _let(ts, every)
+
+
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """iid, form, size, pos, w, need: the windows of every item in both forms."""
-    out = None
+    """iid, form, size, pos, w, need: the windows of every item in both forms, literal ones of items without any."""
+    out, texts = None, saved(benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("iid"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).distinct(), "benchmark-texts")
     for form in (0, 1):
-        rows = saved(benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("iid"), canonical(tokens(F.col(text), bool(form))).alias("t")).distinct(), "benchmark-items")
+        rows = saved(texts.select("iid", "th", canonical(tokens(F.col("text"), bool(form))).alias("t")), "benchmark-items")
         if form:
             rows = rows.where(F.exists("t", lambda x: x == NAME))
         for size, where in ((8, "size(t) >= 8"), (4, "size(t) between 4 and 7")):
-            literal = F.expr(f"size(filter(slice(t, pos + 1, {size}), x -> x not in ('{NAME}', '{NUMBER}', '{UNIT}'))) >= {4 if size == 8 else 3}")
-            w = rows.where(where).select("iid", F.lit(form).alias("form"), F.lit(size).alias("wsize"), "t", F.posexplode(windows(F.col("t"), size)).alias("pos", "w")).where(literal)
-            w = w.select("iid", "form", "wsize", "pos", "w")
+            plain = F.expr(f"size(filter(slice(t, pos + 1, {size}), x -> x not in ('{NAME}', '{NUMBER}', '{UNIT}'))) >= {4 if size == 8 else 3}")
+            w = rows.where(where).select("iid", "th", F.lit(form).alias("form"), F.lit(size).alias("wsize"), "t", F.posexplode(windows(F.col("t"), size)).alias("pos", "w")).where(plain)
+            w = w.select("iid", "th", "form", "wsize", "pos", "w")
             out = w if out is None else out.unionByName(w)
-    return out
+    out = saved(out, "benchmark-templates")
+    rest = saved(texts.join(out, ["iid", "th"], "left_anti").select("iid", "th", literal(F.col("text")).alias("t")).where(F.size("t") > 0), "benchmark-literal")
+    for size in [r["n"] for r in rest.select(F.least(F.size("t"), F.lit(8)).alias("n")).distinct().collect()]:  # eight rows at most
+        w = rest.where(F.least(F.size("t"), F.lit(8)) == size).select("iid", "th", F.lit(LITERAL).alias("form"), F.lit(size).alias("wsize"), F.posexplode(literal_windows(F.col("t"), size)).alias("pos", "w"))
+        out = out.unionByName(w)
+    return out.drop("th").distinct()
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: str, item_text: str) -> DataFrame:
     """key, iid, form, shift, hits, coverage of the pairs with enough common windows."""
     items = saved(_items(benchmark, item, item_text), "benchmark-windows")
     need = items.groupBy("iid", "form", "wsize").agg(F.countDistinct("pos").alias("need"))
-    forms = [(r["form"], r["wsize"]) for r in items.select("form", "wsize").distinct().collect()]  # four rows at most
+    forms = [(r["form"], r["wsize"]) for r in items.select("form", "wsize").distinct().collect()]  # twelve rows at most
     small = is_small(items, BROADCAST_BYTES)
     hits = None
     for form in sorted({f for f, _ in forms}):
         rows = docs.where(F.col(text).isNotNull())
         for size in sorted({s for f, s in forms if f == form}):
-            seen = rows.select(F.col(key).alias("_id"), F.posexplode(windows(tokens(F.col(text), bool(form)), size)).alias("at", "w"))
+            seen = rows.select(F.col(key).alias("_id"), F.posexplode(literal_windows(literal(F.col(text)), size) if form == LITERAL else windows(tokens(F.col(text), bool(form)), size)).alias("at", "w"))
             known = items.where((F.col("form") == form) & (F.col("wsize") == size))
             found = seen.join(F.broadcast(known) if small else known, "w").select("_id", "iid", "form", "wsize", "pos", (F.col("at") - F.col("pos")).alias("shift"))
             hits = found if hits is None else hits.unionByName(found)
@@ -113,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     # what stands in each number slot of both, where the two agree that it is one
     zipped = lambda s: F.transform(s["i"], lambda x, k: F.struct(x.alias("a"), F.get(s["d"], k + F.col("shift")).alias("b")))
     slots = lambda names: F.array_distinct(F.filter(_let(both(names), zipped), lambda p: (p["a"] < ":") & (p["b"] < ":")))
-    rows = saved(aligned.select("_id", "iid", "hits", "coverage", F.when(F.col("form") == 0, slots(False)).otherwise(slots(True)).alias("p")), "benchmark-slots")
+    rows = saved(aligned.select("_id", "iid", "hits", "coverage", F.when(F.col("form") == 0, slots(False)).when(F.col("form") == 1, slots(True)).otherwise(F.expr("filter(array(struct('' as a, '' as b)), x -> false)")).alias("p")), "benchmark-slots")
     one_to_one = F.expr("size(p) = size(array_distinct(transform(p, x -> x.a))) and size(p) = size(array_distinct(transform(p, x -> x.b)))")
     kind = F.when(F.expr("forall(p, x -> x.a = x.b)"), "copy").otherwise("reparameterised")
     kept = rows.where(one_to_one).select("_id", "iid", "hits", "coverage", kind.alias("kind"))

@@ -116,6 +116,14 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contaminated(nothing, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_items_without_a_template_window(spark):
+    items = {1: "What is 12 + 35?", 2: "Compute 3 + 4 * 5 - 6 + 7 + 8", 3: "Add 3 kg, 4 kg, 5 kg and 6 kg", 4: "two words", 5: "1 2 3 4 5 6 7 8 9 10 11 12"}
+    rows = [(i, f"before that. {t} after") for i, t in items.items()] + [(11, "What is 12 + 36?"), (12, "Compute 3 + 4 * 5 + 6 - 7 - 8"), (13, "Add 3 km, 4 kg, 5 kg and 6 kg"), (14, "words two"), (15, ""), (16, "1 2 3 4 5 6 7 8")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i): "copy" for i in items}
+
+
 # ---- 5 repeats
 
 
