@@ -118,9 +118,13 @@ def candidates(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item:
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], f"_id {docs.schema[key].dataType.simpleString()}, iid {benchmark.schema[item].dataType.simpleString()}, form int, wsize int, shift int, hits bigint, coverage double")
+    pair = ["_id", "iid", "form", "wsize"]
+    hits = saved(hits.distinct(), "benchmark-hits")
+    # places of the item, however often the document repeats them
+    covered = hits.select(*pair, "pos").distinct().groupBy(*pair).agg(F.count("*").alias("total"))
     along = hits.groupBy("_id", "iid", "form", "wsize", "shift").agg(F.countDistinct("pos").alias("hits"))
-    best = along.groupBy("_id", "iid", "form", "wsize").agg(F.sum("hits").alias("total"), F.max(F.struct(F.col("hits"), (-F.col("shift")).alias("back"))).alias("m"))
-    joined = best.join(F.broadcast(need) if small else need, ["iid", "form", "wsize"]).withColumn("coverage", F.least(F.lit(1.0), F.col("total") / F.col("need")))
+    best = along.groupBy("_id", "iid", "form", "wsize").agg(F.max(F.struct(F.col("hits"), (-F.col("shift")).alias("back"))).alias("m"))
+    joined = best.join(covered, pair).join(F.broadcast(need) if small else need, ["iid", "form", "wsize"]).withColumn("coverage", F.col("total") / F.col("need"))
     return joined.where(F.col("coverage") >= COVERAGE).select("_id", "iid", "form", "wsize", (-F.col("m.back")).alias("shift"), F.col("m.hits").alias("hits"), "coverage")
 
 

@@ -124,6 +124,15 @@ def test_items_without_a_template_window(spark):
     assert got == {(i, i): "copy" for i in items}
 
 
+def test_a_repeated_line_covers_its_places_once(spark):
+    rng = random.Random(12)
+    item = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25)]
+    rows = [(1, "\n".join([" ".join(item[4:12])] * 30)), (2, " ".join(item[4:20])), (3, " ".join(item[:12]) + " between " + " ".join(item[12:]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.coverage for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {2: 0.5, 3: 11 / 18}
+
+
 # ---- 5 repeats
 
 
