@@ -3,9 +3,10 @@
 A text becomes words and numbers; numbers, units after a number, and names (capitalised words inside a
 sentence) become typed placeholders. Windows of eight tokens are hashed in three doublings (pairs, fours,
 eights) in two forms, with and without name placeholders, and hash-joined to the benchmark's windows. A pair
-of document and item with enough of the item's windows is aligned, and its slots are compared: what fills a
-slot in the item must map one to one to what fills it in the document. Equal slots are a copy, consistent
-other ones a re-parameterised question, inconsistent ones are let go.
+of document and item with enough of the item's windows is aligned at every shift that has any, and the slots in
+the windows found there are compared: numbers, units and names of the item must map one to one to those of the
+document, each kind by itself. Alignments where they do not are let go; the others must hold enough of the item's
+windows, each counted once. Equal numbers and units are a copy, others a re-parameterised question.
 
 Items of four to seven tokens are matched by windows of four. A window counts with at least four (of four:
 three) tokens that are no placeholder. Items without any such window (short ones, arithmetic, lists of
@@ -25,8 +26,10 @@ from .common import is_small, saved
 
 # Units that count as one after a number.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "meters", "miles", "percent", "usd", "eur", "dollars", "euros", "c", "f", "k", "w", "kw", "v", "a", "hz", "gb", "mb")
+AMOUNT = r"(\p{N}) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 NAMES = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+NAME, NUMBER, UNIT, END = "\ue000", "\ue001", "\ue002", "\ue003"
+_SLOTS = "array<struct<kind:string,a:string,b:string>>"
 TOKENS = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+|" + NAME
 #: Tokens of an item that is matched as it stands: numbers, words, operators.
 LITERAL_TOKENS = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+|[+*/=<>^%×÷−-]"
@@ -41,8 +44,17 @@ def tokens(text: Column, names: bool) -> Column:
     """Lower-case words, numbers, and placeholders for units after a number; with ``names``, for each run of names."""
     if names:
         text = F.regexp_replace(text, NAMES, NAME)
-    units = r"(\p{N}) ?(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), units, "$1 " + UNIT + " "), F.lit(TOKENS), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), AMOUNT, "$1 " + UNIT + " "), F.lit(TOKENS), F.lit(0))
+
+
+def valued(text: Column, names: bool) -> Column:
+    """The same tokens, with the unit behind its number and each run of names behind its placeholder."""
+    text = F.translate(text, UNIT + END, "\ue004\ue004")
+    if names:
+        text = F.regexp_replace(F.replace(text, F.lit(NAME), F.lit(NAME + END)), NAMES, NAME + "$0" + END)
+    text = F.regexp_replace(F.lower(text), AMOUNT, "$1 " + UNIT + "$2" + END + " ")
+    number = rf"\p{{N}}+(?:[.,]\p{{N}}+)*(?: {UNIT}[^{END}]*{END})?"
+    return F.regexp_extract_all(text, F.lit(rf"{number}|{NAME}[^{END}]*{END}|\p{{L}}+" if names else rf"{number}|\p{{L}}+|{NAME}"), F.lit(0))
 
 
 def _let(value: Column, then) -> Column:
@@ -103,7 +115,7 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: str, item_text: str) -> DataFrame:
-    """key, iid, form, shift, hits, coverage of the pairs with enough common windows."""
+    """key, iid, form, wsize, need, along (shift, places of the item's windows there) of the pairs with enough common windows."""
     items = saved(_items(benchmark, item, item_text), "benchmark-windows")
     need = items.groupBy("iid", "form", "wsize").agg(F.countDistinct("pos").alias("need"))
     forms = [(r["form"], r["wsize"]) for r in items.select("form", "wsize").distinct().collect()]  # twelve rows at most
@@ -117,15 +129,23 @@ def candidates(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item:
             found = seen.join(F.broadcast(known) if small else known, "w").select("_id", "iid", "form", "wsize", "pos", (F.col("at") - F.col("pos")).alias("shift"))
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], f"_id {docs.schema[key].dataType.simpleString()}, iid {benchmark.schema[item].dataType.simpleString()}, form int, wsize int, shift int, hits bigint, coverage double")
+        return docs.sparkSession.createDataFrame([], f"_id {docs.schema[key].dataType.simpleString()}, iid {benchmark.schema[item].dataType.simpleString()}, form int, wsize int, need bigint, along array<struct<shift:int,at:array<int>>>")
     pair = ["_id", "iid", "form", "wsize"]
     hits = saved(hits.distinct(), "benchmark-hits")
     # places of the item, however often the document repeats them
     covered = hits.select(*pair, "pos").distinct().groupBy(*pair).agg(F.count("*").alias("total"))
-    along = hits.groupBy("_id", "iid", "form", "wsize", "shift").agg(F.countDistinct("pos").alias("hits"))
-    best = along.groupBy("_id", "iid", "form", "wsize").agg(F.max(F.struct(F.col("hits"), (-F.col("shift")).alias("back"))).alias("m"))
-    joined = best.join(covered, pair).join(F.broadcast(need) if small else need, ["iid", "form", "wsize"]).withColumn("coverage", F.col("total") / F.col("need"))
-    return joined.where(F.col("coverage") >= COVERAGE).select("_id", "iid", "form", "wsize", (-F.col("m.back")).alias("shift"), F.col("m.hits").alias("hits"), "coverage")
+    joined = covered.join(F.broadcast(need) if small else need, ["iid", "form", "wsize"]).where(F.col("total") / F.col("need") >= COVERAGE)
+    along = hits.join(joined, pair).groupBy(*pair, "need", "shift").agg(F.collect_list("pos").alias("at"))
+    return along.groupBy(*pair, "need").agg(F.collect_list(F.struct("shift", "at")).alias("along"))
+
+
+def _slot(a: Column, b: Column) -> Column:
+    """kind (number, unit, name), a, b of what fills a place in the item and in the document, if it is a slot in both."""
+    number = lambda v: F.substring_index(v, " " + UNIT, 1)
+    unit = lambda v: F.regexp_extract(v, f"{UNIT}([^{END}]*)", 1)
+    row = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("a"), y.alias("b"))
+    amount = F.filter(F.array(row("number", number(a), number(b)), row("unit", unit(a), unit(b))), lambda z: (z["a"] != "") & (z["b"] != ""))
+    return F.when((a < ":") & (b < ":"), amount).when(a.startswith(NAME) & b.startswith(NAME), F.array(row("name", a, b))).otherwise(F.expr(f"cast(array() as {_SLOTS})"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -135,14 +155,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     small = is_small(pairs, BROADCAST_BYTES)
     few = F.broadcast(pairs) if small else pairs
     aligned = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_dt")).join(few, "_id").join(F.broadcast(sides) if is_small(sides, BROADCAST_BYTES) else sides, "iid")
-    both = lambda names: F.struct(tokens(F.col("_dt"), names).alias("d"), tokens(F.col("_it"), names).alias("i"))
-    # what stands in each number slot of both, where the two agree that it is one
-    zipped = lambda s: F.transform(s["i"], lambda x, k: F.struct(x.alias("a"), F.get(s["d"], k + F.col("shift")).alias("b")))
-    slots = lambda names: F.array_distinct(F.filter(_let(both(names), zipped), lambda p: (p["a"] < ":") & (p["b"] < ":")))
-    rows = saved(aligned.select("_id", "iid", "hits", "coverage", F.when(F.col("form") == 0, slots(False)).when(F.col("form") == 1, slots(True)).otherwise(F.expr("filter(array(struct('' as a, '' as b)), x -> false)")).alias("p")), "benchmark-slots")
-    one_to_one = F.expr("size(p) = size(array_distinct(transform(p, x -> x.a))) and size(p) = size(array_distinct(transform(p, x -> x.b)))")
-    kind = F.when(F.expr("forall(p, x -> x.a = x.b)"), "copy").otherwise("reparameterised")
-    kept = rows.where(one_to_one).select("_id", "iid", "hits", "coverage", kind.alias("kind"))
+    both = lambda names: F.struct(valued(F.col("_dt"), names).alias("d"), valued(F.col("_it"), names).alias("i"))
+    # what fills each slot of both in the windows that they share, for each alignment
+    window = lambda s, shift, pos: F.flatten(F.transform(F.sequence(pos, pos + F.col("wsize") - 1), lambda k: _slot(F.get(s["i"], k), F.get(s["d"], k + shift))))
+    filled = lambda s: lambda x: F.struct(x["at"].alias("at"), F.array_distinct(F.flatten(F.transform(x["at"], lambda pos: window(s, x["shift"], pos)))).alias("p"))
+    slots = lambda names: _let(both(names), lambda s: F.transform("along", filled(s)))
+    bare = F.transform("along", lambda x: F.struct(x["at"].alias("at"), F.expr(f"cast(array() as {_SLOTS})").alias("p")))
+    rows = saved(aligned.select("_id", "iid", "need", F.when(F.col("form") == 0, slots(False)).when(F.col("form") == 1, slots(True)).otherwise(bare).alias("along")), "benchmark-slots")
+    one_to_one = "size(y.p) = size(array_distinct(transform(y.p, x -> struct(x.kind, x.a)))) and size(y.p) = size(array_distinct(transform(y.p, x -> struct(x.kind, x.b))))"
+    share = lambda along: f"size(array_distinct(flatten(transform({along}, y -> y.at)))) / need"
+    kept = rows.withColumn("along", F.expr(f"filter(along, y -> {one_to_one})")).withColumn("coverage", F.expr(share("along"))).where(F.col("coverage") >= COVERAGE)
+    same = share("filter(along, y -> forall(y.p, x -> x.kind = 'name' or x.a = x.b))")
+    kind = F.when(F.expr(same) >= COVERAGE, "copy").otherwise("reparameterised")
+    kept = kept.select("_id", "iid", F.expr("array_max(transform(along, y -> size(y.at)))").cast("bigint").alias("hits"), "coverage", kind.alias("kind"))
     return kept.groupBy(F.col("_id").alias(key), F.col("iid").alias(item)).agg(F.max("hits").alias("hits"), F.max("coverage").alias("coverage"), F.min("kind").alias("kind"))
 
 

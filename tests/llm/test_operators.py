@@ -133,6 +133,20 @@ def test_a_repeated_line_covers_its_places_once(spark):
     assert got == {2: 0.5, 3: 11 / 18}
 
 
+def test_every_alignment_counts(spark):
+    item = "A train leaves London with 120 people and after 45 minutes it has covered 60 km while another Paris train needs 90 minutes for 80 km in all"
+    mixed = item.replace("90 minutes", "45 hours")
+    late = item.replace("90 minutes for 80", "45 minutes for 45")
+    rows = [(1, mixed + ". So it went on for long. " + item), (2, item[: item.index("90 min")] + "up to 45 chairs"), (3, item.replace("60 km", "60 minutes").replace("80 km", "80 seconds")), (4, item.replace("London", "Rome").replace("Paris", "Rome")), (5, late)]
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = {r.doc_id: r.kind for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: "copy", 2: "copy"}  # units and names that two of the item's map to, or one to two, are no question of its kind
+    odd = spark.createDataFrame([("By 5 km and 7\ue000 kg in Rome Town, Oslo 1,5 h\ue002 \ue003 l\ue0004 l x",)], "t string")
+    for names in (False, True):
+        plain, full = odd.select(decontaminate.tokens(F.col("t"), names), decontaminate.valued(F.col("t"), names)).first()
+        assert len(plain) == len(full) and all(y[0] == x[0] for x, y in zip(plain, full, strict=True))
+
+
 # ---- 5 repeats
 
 
