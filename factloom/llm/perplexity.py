@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import flat, is_small, pieces, saved, text_bytes
@@ -127,8 +127,13 @@ def log_probabilities(tables: dict, g: np.ndarray, order: int = ORDER) -> np.nda
     return out
 
 
+def row_key(*columns: str) -> Column:
+    """A key of a row's values; a null is a value of its own."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("binary"), F.lit(bytearray())) if c == "bytes" else F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
+
+
 def score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataFrame:
-    """doc, perplexity for (doc, bytes); doc need not be unique only where the model is sent to the workers."""
+    """doc, perplexity for each row of (doc, bytes); doc may be null or repeated."""
     rows = every.count() + weights.count()
     spark = df.sparkSession
     if 0 < rows <= MODEL_ROWS:
@@ -151,7 +156,8 @@ def score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _sharded_score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataFrame:
     """The same by shuffle joins: distinct grams get their probability, documents' grams are joined to them."""
-    pairs = saved(_counted(df, True), "kn-pairs")
+    keyed = df.select("doc", "bytes", row_key("doc", "bytes").alias("row"))
+    pairs = saved(_counted(keyed.select(F.col("row").alias("doc"), "bytes"), True), "kn-pairs")
     todo, parts = pairs.select("g").distinct().withColumn("l", F.lit(0.0)), None
     for n in range(ORDER, 0, -1):
         s = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
@@ -162,8 +168,8 @@ def _sharded_score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataF
         parts = done if parts is None else parts.unionByName(done)
         todo = both.where("lp is null").select("g", (F.col("l") + F.coalesce("lw", F.lit(0.0))).alias("l"))
     parts = parts.unionByName(todo.select("g", (F.col("l") + float(np.log(1 / 256))).alias("l")))
-    sums = pairs.join(parts, "g").groupBy("doc").agg((F.sum(F.col("l") * F.col("c")) / F.sum("c")).alias("m"))
-    return df.select("doc").join(sums, "doc", "left").select("doc", F.exp(-F.col("m")).alias("perplexity"))
+    sums = pairs.join(parts, "g").groupBy(F.col("doc").alias("row")).agg((F.sum(F.col("l") * F.col("c")) / F.sum("c")).alias("m"))
+    return keyed.select("doc", "row").join(sums, "row", "left").select("doc", F.exp(-F.col("m")).alias("perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -172,9 +178,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     good = F.broadcast(good) if is_small(good, BROADCAST_BYTES) else good
     source = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_bytes(text).alias("bytes"))
     every, weights = train(source.join(good, "doc", "left_semi"))
-    scored = score(source, every, weights)
-    names = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    rows = saved(scored.join(names.dropDuplicates(["doc"]), "doc", "left").join(good, "doc", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
+    # ids can be null or repeated: rows carry a key of id, language and text
+    source = source.withColumn("row", row_key("doc", "lang", "bytes"))
+    scored = score(source.select(F.col("row").alias("doc"), "bytes"), every, weights).withColumnRenamed("doc", "row")
+    names = source.select("row", "doc", "lang")
+    rows = saved(scored.join(names.dropDuplicates(["row"]), "row").drop("row").join(good, "doc", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
     sure = rows.where("trusted and perplexity is not null")
     limits = sure.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("threshold"))
     overall = sure.agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("overall"))  # one row

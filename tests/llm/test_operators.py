@@ -76,6 +76,20 @@ def test_kneser_ney(spark):
     assert perplexity.classify(docs, labels.limit(0)).where("kept").count() == 0
 
 
+def test_both_ways_score_every_row(spark, monkeypatch):
+    good = "the cat sat on the mat and the dog ran "
+    rows = [(i, good * (i % 3 + 1), "en") for i in range(12)] + [(None, good, "en"), (None, "zq9 &&& xx", "fr"), (50, good, "en"), (50, "#!%& ZZ qq", "fr"), (50, good, "fr"), (None, None, "en"), (50, good, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    ways = []
+    for most in (perplexity.MODEL_ROWS, 0):
+        monkeypatch.setattr(perplexity, "MODEL_ROWS", most)
+        ways.append(Counter((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 6), r.trusted, r.kept) for r in perplexity.classify(docs, labels).collect()))
+    assert ways[0] == ways[1] and sum(ways[0].values()) == len(rows)
+    assert Counter((i, k) for i, k, *_ in ways[0].elements()) == Counter((i, k) for i, _, k in rows)
+    assert {k: (p is not None, kept) for i, k, p, _, kept in ways[0] if i is None and p} == {"en": (True, True), "fr": (True, False)}
+
+
 # ---- 3 shards
 
 
