@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time; a longer document is handled alone.
 CHUNK_BYTES = 1 << 21
+#: Folders that the running operators have written, a list for each of them.
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -28,16 +33,52 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is saved, and whose other saved tables are removed then."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        _open.append([])
+        try:
+            out = operator(*args, **options)
+        finally:
+            folders = _open.pop()
+        out = saved(out, operator.__name__.replace("_", "-"))
+        for folder in folders:
+            remove(out.sparkSession, folder)
+        return out
+
+    return run
+
+
 def is_small(df: DataFrame, limit: int) -> bool:
     """Whether a saved table has at most ``limit`` bytes on disk by the optimizer's own count."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit
 
 
+def whole_number(df: DataFrame, key: str) -> None:
+    """Refuse a key that is no integer column."""
+    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be an integer column, not {df.schema[key].dataType.simpleString()}")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, and its offsets from 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,17 +5,18 @@ shingles as 52-bit hashes. Texts with equal sets form a class, and classes go on
 MinHash samples in bands, and an odd sketch: the samples folded into a parity bitmap, whose XOR with another
 one has a population count that tells a high similarity precisely.
 
-Links are found in three steps, so that no bucket emits all of its pairs:
+Links are found in two steps, neither of which emits the pairs of a bucket:
 1. every class and the head of the buckets that it shares most bands with, the head of a bucket being the
-   member that has met most others;
-2. the other (class, bucket's head) pairs whose ends are not connected yet;
-3. in buckets that still hold several components, members outside the largest component against all members,
-   in blocks, pairs of one component skipped: first each member's closest partners, then all that is left.
-Candidates pass the odd sketch (a bound far below the threshold) and are confirmed on full sets. Components
-are labelled by their smallest id through iterated joins.
+   member that has met most others: one pair a class;
+2. buckets that still hold several components: members outside the largest one against all members, in cells
+   of bounded bytes that carry the full sets. A cell compares the sketches of pairs of different components,
+   confirms what they leave on the full sets at once, and emits a spanning forest of what it found.
+Both pass the odd sketch (a bound far below the threshold) and confirm on full sets. Components are labelled
+by their smallest id through iterated joins.
 
 Defined results: null, empty and blank texts have no shingle and stay alone; fewer words than w make one
-shingle; repeated rows are copies of one another; null ids are never linked; an empty table gives an empty
+shingle; repeated rows are copies of one another; an id that stands on several texts links what they link
+with; null ids are never linked; keys that are no integers are refused; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, is_small, pieces, ragged, saved, text_bytes
+from .common import flat, is_small, pieces, ragged, saved, text_bytes, tidy, whole_number
 
 BANDS, ROWS = 32, 5
 #: MinHash samples of a sketch (those of the bands come first), and bits of its parity bitmap.
 SAMPLES, BITS = 480, 2048
 #: Tables up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-#: Members of a block in step 3.
-BLOCK = 256
+#: Bytes of the members on either side of a cell in step 2; a longer member stands there alone.
+CELL_BYTES = 6 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,8 +133,22 @@ def estimate(odd: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * odd / BITS))
 
 
+def _keys(sets: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
+    """Sixteen bytes that stand for each set; None for an empty one."""
+    size = np.diff(edges)
+    some = np.flatnonzero(size)
+    out: list[bytes | None] = [None] * len(size)
+    if len(some):
+        heads = edges[:-1][some]
+        with np.errstate(over="ignore"):
+            both = np.stack([np.bitwise_xor.reduceat(mix(sets + np.uint64(1)), heads), np.add.reduceat(mix(sets * _M2 + np.uint64(3)), heads)], axis=1)
+        for i, row in zip(some.tolist(), both, strict=True):
+            out[i] = row.tobytes()
+    return out
+
+
 def sketched(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """key, n (set size), c1 and c2 (hash of the set), sketch, bands for each row."""
+    """key, n (set size), k (the set's key), sketch, bands for each row; the last three are null for empty sets."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -143,165 +158,210 @@ def sketched(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 sets, edges = shingle_sets(*flat(part.column(1)), width)
                 size = np.diff(edges)
                 some = np.flatnonzero(size)
-                n = len(size)
-                c1, c2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                sketches, bands = np.zeros((n, BITS // 64), np.uint64), np.zeros((n, BANDS), np.int64)
+                sketches, bands = [None] * len(size), np.zeros((0, BANDS), np.int64)
                 if len(some):
-                    heads = edges[:-1][some]
-                    c1[some] = np.bitwise_xor.reduceat(mix(sets + np.uint64(1)), heads)
-                    with np.errstate(over="ignore"):
-                        c2[some] = np.add.reduceat(mix(sets * _M2 + np.uint64(3)), heads)
-                    _, bands[some], sketches[some] = signatures(sets, np.append(heads, len(sets)))
+                    _, bands, rows = signatures(sets, np.append(edges[:-1][some], len(sets)))
+                    for i, row in zip(some.tolist(), rows, strict=True):
+                        sketches[i] = row.tobytes()
                 offsets = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([r.tobytes() for r in sketches], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[some].reshape(-1)))],
-                    names=[key, "n", "c1", "c2", "sketch", "bands"],
-                )
+                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands.reshape(-1)))
+                columns = [part.column(0), pa.array(size, pa.int64()), pa.array(_keys(sets, edges), pa.binary()), pa.array(sketches, pa.binary()), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "k", "sketch", "bands"])
 
-    return df.select(key, text_bytes(text).alias("bytes")).mapInArrow(run, f"`{key}` {kind}, n bigint, c1 bigint, c2 bigint, sketch binary, bands array<bigint>")
+    return df.select(key, text_bytes(text).alias("bytes")).mapInArrow(run, f"`{key}` {kind}, n bigint, k binary, sketch binary, bands array<bigint>")
 
 
 def full_sets(df: DataFrame, text: str, width: int) -> DataFrame:
-    """id, s: the sorted hashes of the set, eight bytes each, for each row of (id, text)."""
+    """k, s: key and sorted hashes of the set, eight bytes each, for each row of ``df`` that has any."""
 
     def run(batches):
         for batch in pieces(batches, "bytes"):
             for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                sets, edges = shingle_sets(*flat(part.column(1)), width)
+                sets, edges = shingle_sets(*flat(batch.slice(at, 4000).column(0)), width)
                 raw = memoryview(sets.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], names=["id", "s"])
+                rows = [raw[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(sets, edges), pa.binary()), pa.array(rows, pa.binary())], names=["k", "s"])
+
+    return df.select(text_bytes(text).alias("bytes")).mapInArrow(run, "k binary, s binary").where("k is not null")
+
 
-    return df.select("id", text_bytes(text).alias("bytes")).mapInArrow(run, "id bigint, s binary")
+def _sets_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """k, s of ``classes`` (k, id), made from the texts of (id, text), saved."""
+    few = saved(classes.select("k", "id").distinct(), "near-needed")
+    small = is_small(few, BROADCAST_BYTES)
+    texts = docs.join(F.broadcast(few.select("id").distinct()) if small else few.select("id").distinct(), "id", "left_semi")
+    sets = full_sets(texts, "text", width).join(F.broadcast(few.select("k")) if small else few.select("k"), "k", "left_semi")
+    return saved(sets.dropDuplicates(["k"]), "near-sets")
+
+
+def _reaches(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether each of the sorted sets that ``many`` holds one after the other is at the threshold with the set ``one``."""
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    common = np.add.reduceat((one[at] == many).astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+    return 100 * common >= threshold * (len(one) + sizes - common)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
-    """The pairs (a, b) that odd sketches leave."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs (a, b) that odd sketches leave, saved."""
+    side = lambda x: classes.select(F.col("k").alias(x), F.col("sketch").alias(f"s{x}"))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = np.bitwise_count(a ^ b).sum(axis=1) <= limit
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+            a, b = (flat(batch.column(i))[0].copy().view(np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= limit)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    return saved(both.mapInArrow(run, "a binary, b binary"), "near-first")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, width: int, threshold: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold; ``pairs`` is saved, ``docs`` has a row for each class at least."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-needed")
-    needed = F.broadcast(ids) if is_small(ids, BROADCAST_BYTES) else ids
-    sets = saved(full_sets(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), text, width), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold, saved."""
+    side = lambda x, s: sets.select(F.col("k").alias(x), F.col("s").alias(s))
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
+                keep.append(bool(_reaches(x, y, np.array([len(y)]), threshold)[0]))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near-links")
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return saved(both.mapInArrow(run, "a binary, b binary"), "near-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, label (the smallest id reachable) for the ends of the links (a, b)."""
+def components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """k, label (the smallest id reachable) for the ends of the links (a, b); ``classes`` has k and the id to start from."""
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
+    ends = both.select(F.col("a").alias("k")).distinct()
+    labels = saved(classes.join(ends, "k").select("k", F.col("id").alias("start"), F.col("id").alias("label")), "near-labels")
     while True:
-        heard = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "heard").alias("mid"))
-        jump = labels.select(F.col("id").alias("at"), F.col("label").alias("far"))
-        new = saved(new.join(jump, F.col("mid") == F.col("at"), "left").select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "near-labels")
+        heard = both.join(labels, F.col("b") == F.col("k")).groupBy("a").agg(F.min("label").alias("heard"))
+        new = labels.join(heard, F.col("k") == F.col("a")).select("k", "start", F.col("label").alias("old"), F.least("label", "heard").alias("mid"))
+        jump = labels.groupBy(F.col("start").alias("at")).agg(F.min("label").alias("far"))
+        new = new.join(jump, F.col("mid") == F.col("at"), "left")
+        new = saved(new.select("k", "start", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "near-labels")
         if not new.where("old <> label").limit(1).count():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
-
-def _blocks(buckets: DataFrame, limit: int, best: int | None = None) -> DataFrame:
-    """Pairs of different components in the buckets (bucket, id, label, sketch, bands), from members outside the largest
-    one, each pair in the first bucket that it shares; with ``best``, only the closest partners of each member in a block."""
-    sizes = buckets.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    spread = sizes.groupBy("bucket").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("top")).where("parts > 1")
-    spread = spread.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all"), F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("out"))
-    rows = buckets.join(spread, "bucket")
-    place = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    minor = rows.where("label <> top").select("bucket", place("out").alias("i"), F.explode(F.expr("sequence(0, all - 1)")).alias("j"), F.lit(0).alias("side"), "id", "label", "sketch", "bands")
-    every = rows.select("bucket", F.explode(F.expr("sequence(0, out - 1)")).alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "id", "label", "sketch", "bands")
-    cells = minor.unionByName(every).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("side", "id", "label", "sketch", "bands")).alias("rows"))
+            return new.select("k", "label")
+        labels = new.select("k", "start", "label")
+
+
+def _compare(side, label, sketches, bands, sets, edges, bucket: int, limit: int, threshold: int) -> list[tuple[int, int]]:
+    """Links of a cell's rows, a spanning forest over their labels: side 0 against side 1, each pair in the first bucket
+    that it shares."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    group = np.unique(label, return_inverse=True)[1]
+    size = np.diff(edges)
+    out = []
+    for i in left.tolist():
+        apart = right[group[right] != group[i]]
+        near = apart[np.bitwise_count(sketches[apart] ^ sketches[i]).sum(axis=1) <= limit]
+        if not len(near):
+            continue
+        near = near[bands[i][np.argmax(bands[near] == bands[i], axis=1)] == bucket]
+        if not len(near):
+            continue
+        hit = near[_reaches(sets[edges[i] : edges[i + 1]], sets[ragged(edges[near], size[near])], size[near], threshold)]
+        for j in hit.tolist():
+            if group[i] != group[j]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _cells(members: DataFrame, payload: DataFrame, limit: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components in the buckets of ``members`` (bucket, k, label, w: bytes); ``payload`` has what
+    stands behind k. Members outside a bucket's largest component meet all members, in cells of bounded bytes."""
+    sizes = members.groupBy("bucket", "label").agg(F.sum("w").alias("w"))
+    spread = sizes.groupBy("bucket").agg(F.sum("w").alias("w"), F.max(F.struct("w", "label")).alias("top"))
+    cut = lambda w: F.ceil(w / CELL_BYTES).cast("int")
+    spread = spread.select("bucket", F.col("top.label").alias("top"), cut(F.col("w")).alias("all"), cut(F.col("w") - F.col("top.w")).alias("out"))
+    rows = members.join(spread, "bucket")
+    place = lambda of: F.pmod(F.xxhash64("k"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    minor = rows.where("label <> top").select("bucket", place("out").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "k", "label")
+    all_ = rows.select("bucket", every("out").alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "k", "label")
+    cells = minor.unionByName(all_).join(payload, "k").select("bucket", "i", "j", "side", "label", "k", "sketch", "bands", "s")
+    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        side, label = (t.column(c).to_numpy() for c in (3, 4))
+        sketches = flat(t.column(6))[0].copy().view(np.uint64).reshape(t.num_rows, -1)
+        bands = t.column(7).flatten().to_numpy().reshape(t.num_rows, BANDS)
+        sets, edges = flat(t.column(8))
+        found = _compare(side, label, sketches, bands, sets.copy().view(np.uint64), edges // 8, t.column(0)[0].as_py(), limit, threshold)
+        ends = [pa.array([x[e] for x in found], pa.int64()) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays([t.column(5).take(e) for e in ends], names=["a", "b"])
 
     def run(batches):
+        held, at = [], None
         for batch in batches:
-            a, b = [], []
-            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                side = np.array([r["side"] for r in rows])
-                ids, labels = (np.array([r[c] for r in rows], np.int64) for c in ("id", "label"))
-                sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
-                bands = np.array([r["bands"] for r in rows], np.int64)
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                for i in left:
-                    odd = np.bitwise_count(sketches[right] ^ sketches[i]).sum(axis=1)
-                    near = np.flatnonzero((labels[right] != labels[i]) & (odd <= limit))
-                    if best:
-                        near = near[np.argsort(odd[near], kind="stable")[:best]]
-                    hit = right[near]
-                    hit = hit[bands[i][np.argmax(bands[hit] == bands[i], axis=1)] == bucket] if len(hit) else hit
-                    a += np.maximum(ids[hit], ids[i]).tolist()
-                    b += np.minimum(ids[hit], ids[i]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.select("bucket", "rows").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))).tolist()
+            for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
+                here = key[a].tolist()
+                if held and here != at:
+                    yield links(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                at = here
+        if held:
+            yield links(held)
+
+    return cells.mapInArrow(run, "a binary, b binary")
+
+
+@tidy
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: int = 80) -> DataFrame:
     """key, n_shingles, component_id, kept, class_id for every row."""
-    rows = saved(sketched(df, text, key, width), "near-rows").withColumnRenamed(key, "id").withColumn("id", F.col("id").cast("bigint"))
-    some = rows.where("n > 0 and id is not null")
-    classes = saved(some.groupBy("c1", "c2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-classes")
-    banded = classes.select("id", F.explode("bands").alias("bucket"))
+    whole_number(df, key)
+    rows = saved(sketched(df, text, key, width).withColumnRenamed(key, "id").withColumn("id", F.col("id").cast("bigint")), "near-rows")
+    some = rows.where("k is not null and id is not null")
+    first = [F.first(c).alias(c) for c in ("n", "sketch", "bands")]
+    classes = saved(some.groupBy("k").agg(F.min("id").alias("id"), *first), "near-classes")
+    banded = classes.select("k", "id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     joined = saved(banded.join(shared, "bucket"), "near-joined")
     # the original of a group meets most others: what has met most is its buckets' head
-    met = joined.groupBy("id").agg(F.sum("m").alias("met"))
-    heads = joined.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("h")).select("bucket", (-F.col("h.back")).alias("head"))
-    members = saved(joined.select("bucket", "id").join(heads, "bucket"), "near-members")
+    met = joined.groupBy("k").agg(F.sum("m").alias("met"))
+    heads = joined.join(met, "k").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"), "k")).alias("h")).select("bucket", F.col("h.k").alias("head"))
     limit = most_odd(threshold)
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias(text))
-    stars = members.where("id <> head").groupBy(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"), F.col("id").alias("of")).agg(F.count("*").alias("m"))
+    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     # 1. each class and the head that it shares most buckets with
-    first = stars.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    first = saved(_near(first, classes, limit), "near-first")
-    links = _confirmed(first, docs, text, width, threshold)
-    label = components(links)
-    # 2. the other heads, where they would connect something
-    side = lambda x: label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
-    apart = stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    apart = saved(_near(apart, classes, limit), "near-apart")
-    links = saved(links.unionByName(_confirmed(apart, docs, text, width, threshold)), "near-links")
-    label = components(links)
-    # 3. buckets that still hold several components: first the closest pairs, which join most, then all that are left
-    tried = saved(first.unionByName(apart), "near-tried")
-    for best in (4, None):
-        named = members.join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        open_ = saved(named.join(mixed, "bucket").join(classes.select("id", "sketch", "bands"), "id"), "near-open")
-        rest = saved(_blocks(open_, limit, best).join(tried, ["a", "b"], "left_anti"), "near-rest")
-        links = saved(links.unionByName(_confirmed(rest, docs, text, width, threshold)), "near-links")
-        label = components(links)
-        tried = saved(tried.unionByName(rest), "near-tried")
-    named = classes.select("c1", "c2", "n", F.col("id").alias("class_id")).join(label, F.col("class_id") == F.col("id"), "left").select("c1", "c2", "n", "class_id", F.coalesce("label", "class_id").alias("label"))
-    out = rows.join(named, ["c1", "c2", "n"], "left")
-    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    met_heads = joined.join(heads, "bucket").where("k <> head").groupBy("k", "head").agg(F.count("*").alias("m"))
+    stars = met_heads.groupBy("k").agg(F.max_by("head", F.struct("m", "head")).alias("head"))
+    stars = stars.select(F.greatest("k", "head").alias("a"), F.least("k", "head").alias("b")).distinct()
+    stars = _near(stars, classes, limit)
+    ends = stars.select(F.col("a").alias("k")).union(stars.select("b")).distinct()
+    found = _confirmed(stars, _sets_of(classes.join(ends, "k"), docs, width), threshold)
+    # texts under one id stand for one document
+    under = some.groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("id", "a")
+    alike = some.join(under, "id").where("k <> a").select("a", F.col("k").alias("b")).distinct()
+    found = saved(found.unionByName(alike), "near-links")
+    label = components(classes, found)
+    # 2. buckets that still hold several components
+    named = joined.join(label, "k", "left").select("bucket", "k", "id", F.coalesce("label", "id").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    open_ = saved(named.join(mixed, "bucket"), "near-open")
+    payload = _sets_of(open_, docs, width).join(classes.select("k", "sketch", "bands"), "k")
+    payload = saved(payload, "near-payload")
+    weights = payload.select("k", (F.octet_length("s") + F.octet_length("sketch") + 8 * BANDS).cast("bigint").alias("w"))
+    links = _cells(open_.select("bucket", "k", "label").join(weights, "k"), payload, limit, threshold)
+    label = components(classes, saved(found.unionByName(links), "near-links"))
+    named = classes.select("k", F.col("id").alias("class_id")).join(label, "k", "left").select("k", "class_id", F.coalesce("label", "class_id").alias("label"))
+    out = rows.select("id", "n", "k").join(named, "k", "left")
+    linked = F.col("k").isNotNull() & F.col("id").isNotNull()
     component = F.when(linked, F.col("label")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.when(linked, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    return out.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.when(linked, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+    )
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: int = 80) -> DataFrame:
