@@ -4,30 +4,41 @@ Trusted text is counted once, at the highest order; lower orders get their conti
 the order above, three discounts for each order come from its counts of counts, and probabilities from joins
 of the sharded count tables with their contexts' totals and with the order below. A document's perplexity is
 the geometric mean of its bytes' inverse probabilities; it is kept if that is at most its language's quantile
-among trusted documents, times a margin.
+among trusted documents that were not counted (one text in HELD, by its hash).
 
-The model has a row for each distinct n-gram. Up to MODEL_ROWS of them it is sent to the workers, which look
-grams up by binary search; beyond that every document's distinct grams are joined to the tables by shuffle.
+Documents are scored by joins alone, at every size: texts are packed into pieces of about PIECE_BYTES, a piece's
+distinct grams are joined to the count tables, and what they get goes back to the piece, where each document's
+bytes look theirs up. So a common gram moves once a piece, not once a document, and rows keep their identity
+without a key: null and repeated ids are scored by their own texts.
 
-Defined results: null and empty texts have perplexity null and are not kept; a language without trusted
-documents uses the quantile of all of them; without any trusted text nothing has a perplexity and nothing is
-kept; an empty table gives an empty result; repeated rows repeat; other columns are ignored.
+Defined results: null and empty texts have perplexity null and are not kept; a language without held-out
+trusted documents uses the quantile of all of them, and without any the counted ones are used; without any
+trusted text nothing has a perplexity and nothing is kept; an empty table gives an empty result; repeated rows
+repeat; ids of any type are matched with the labels' as text; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, is_small, pieces, saved, text_bytes
+from .common import flat, is_small, pieces, saved, text_bytes, tidy
 
 ORDER = 5
-QUANTILE, MARGIN = 0.99, 1.15
-#: Rows of the model's tables that may be sent to every worker.
-MODEL_ROWS = 6_000_000
+QUANTILE = 0.99
+#: One trusted text in so many is not counted, but tells the threshold.
+HELD = 5
+PIECE_BYTES = 16 << 20
+#: Bytes of a text that are worked on at a time, and of a stored part of a piece.
+STEP_BYTES, PART_BYTES = 1 << 20, 1 << 18
 BROADCAST_BYTES = 8 << 20
+#: Kinds of stored rows.
+_TEXTS, _GRAMS, _COUNTS = 0, 1, 2
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -44,31 +55,63 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarr
     return out
 
 
-def _counted(df: DataFrame, per_doc: bool) -> DataFrame:
-    """g, c over all of (doc, bytes), summed in each chunk first; ``per_doc``: doc, g, c."""
+def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the last column of ``batch`` and their counts, summed over steps."""
+    found = []
+    for step in pieces([batch], batch.schema.names[-1], STEP_BYTES):
+        found.append(np.unique(grams(*flat(step.column(step.num_columns - 1))), return_counts=True))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    g, inverse = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return g, np.bincount(inverse, np.concatenate([c for _, c in found]), len(g)).astype(np.int64)
+
+
+def _parts(data: bytes):
+    for at in range(0, max(1, len(data)), PART_BYTES):
+        yield data[at : at + PART_BYTES]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """piece, kind, seq, data of (doc, lang, trusted, counted, bytes), saved: a piece's rows, its distinct grams, and
+    grams with counts of those rows that are counted."""
 
     def run(batches):
-        for batch in pieces(batches, "bytes", 1 << 19 if per_doc else 1 << 21):
-            data, offsets = flat(batch.column(1))
-            g = grams(data, offsets)
-            if not per_doc:
-                g, c = np.unique(g, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c, pa.int64())], names=["g", "c"])
-                continue
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            order = np.lexsort((g, owner))
-            g, owner = g[order], owner[order]
-            head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1]))) if len(g) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[head])), pa.array(g[head]), pa.array(np.diff(np.append(head, len(g))), pa.int64())], names=["doc", "g", "c"])
+        for batch in pieces(batches, "bytes", PIECE_BYTES):
+            piece = uuid.uuid4().int >> 65  # this attempt's own; only one attempt's rows are committed
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            every, few = _counted(batch), batch.filter(batch.column(3))
+            counted = _counted(few) if few.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for kind, data in ((_TEXTS, sink.getvalue()), (_GRAMS, every[0].tobytes()), (_COUNTS, np.stack(counted, axis=1).tobytes())):
+                parts = list(_parts(data))
+                columns = [[piece] * len(parts), [kind] * len(parts), list(range(len(parts))), parts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["piece", "kind", "seq", "data"])
+
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    rows = df.select("doc", "lang", "trusted", "counted", "bytes").mapInArrow(run, "piece bigint, kind int, seq int, data binary")
+    return saved(rows, "kn-pieces")
+
+
+def _numbers(rows: DataFrame, kind: int, schema: str) -> DataFrame:
+    """The stored numbers of a kind, a row for each: (piece, g) or (g, c)."""
 
-    if per_doc:
-        return df.select("doc", "bytes").mapInArrow(run, "doc bigint, g bigint, c bigint")
-    return df.select("doc", "bytes").mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    def run(batches):
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(data, np.int64)
+                if kind == _COUNTS:
+                    x = x.reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["g", "c"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), piece)), pa.array(x)], names=["piece", "g"])
 
+    return rows.where(F.col("kind") == kind).select("piece", "data").mapInArrow(run, schema)
 
-def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """From (doc, bytes): probabilities (n, g, p) and back-off weights (n, h, w) of all orders, saved."""
-    counts = {order: saved(_counted(trusted, False), "kn-counts")}
+
+def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """From (g, c) of the highest order, in any number of parts: probabilities (n, g, p) and back-off weights (n, h, w) of all orders."""
+    counts = {order: saved(counted.groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")}
     for n in range(order - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
         counts[n] = saved(counts[n + 1].groupBy(suffix.alias("g")).agg(F.count("*").alias("c")), "kn-counts")
@@ -93,73 +136,10 @@ def train(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     return every, saved(weights, "kn-weights")
 
 
-def _tables(every: DataFrame, weights: DataFrame) -> dict:
-    out = {}
-    for name, df, key, value in (("p", every, "g", "p"), ("w", weights, "h", "w")):
-        t = df.toArrow()
-        n, k, v = t.column("n").to_numpy(), t.column(key).to_numpy(), t.column(value).to_numpy()
-        for i in np.unique(n):
-            rows = np.flatnonzero(n == i)
-            rows = rows[np.argsort(k[rows])]
-            out[name, int(i)] = (k[rows], np.log(v[rows]))
-    return out
-
-
-def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, v = table
-    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-    return k[at] == keys, v[at]
-
-
-def log_probabilities(tables: dict, g: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Natural logarithms for packed grams: the longest one seen, times the weights of the longer contexts."""
-    out, open_ = np.zeros(len(g)), np.arange(len(g))
+def log_probabilities(wanted: DataFrame, every: DataFrame, weights: DataFrame, order: int = ORDER) -> DataFrame:
+    """g, l for the distinct grams of ``wanted``: of the longest end that was counted, times the weights of the longer contexts."""
+    todo, parts = wanted.select("g").distinct().withColumn("l", F.lit(0.0)), None
     for n in range(order, 0, -1):
-        key = g[open_] & ((1 << 8 * n) - 1)
-        seen, value = _found(tables["p", n], key)
-        out[open_[seen]] += value[seen]
-        open_, key = open_[~seen], key[~seen]
-        if not len(open_):
-            return out
-        known, weight = _found(tables["w", n], key >> 8)
-        out[open_[known]] += weight[known]
-    out[open_] += np.log(1 / 256)
-    return out
-
-
-def row_key(*columns: str) -> Column:
-    """A key of a row's values; a null is a value of its own."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("binary"), F.lit(bytearray())) if c == "bytes" else F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
-
-
-def score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataFrame:
-    """doc, perplexity for each row of (doc, bytes); doc may be null or repeated."""
-    rows = every.count() + weights.count()
-    spark = df.sparkSession
-    if 0 < rows <= MODEL_ROWS:
-        shared = spark.sparkContext.broadcast(_tables(every, weights))
-
-        def run(batches):
-            for batch in pieces(batches, "bytes"):
-                data, offsets = flat(batch.column(1))
-                size = np.diff(offsets)
-                g, inverse = np.unique(grams(data, offsets), return_inverse=True)
-                total = np.append(0.0, np.cumsum(log_probabilities(shared.value, g)[inverse])) if len(g) else np.zeros(1)
-                mean = -(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(1, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.exp(mean), pa.float64(), mask=size == 0)], names=["doc", "perplexity"])
-
-        return df.select("doc", "bytes").mapInArrow(run, "doc bigint, perplexity double")
-    if not rows:
-        return df.select("doc", F.lit(None).cast("double").alias("perplexity"))
-    return _sharded_score(df, every, weights)
-
-
-def _sharded_score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataFrame:
-    """The same by shuffle joins: distinct grams get their probability, documents' grams are joined to them."""
-    keyed = df.select("doc", "bytes", row_key("doc", "bytes").alias("row"))
-    pairs = saved(_counted(keyed.select(F.col("row").alias("doc"), "bytes"), True), "kn-pairs")
-    todo, parts = pairs.select("g").distinct().withColumn("l", F.lit(0.0)), None
-    for n in range(ORDER, 0, -1):
         s = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
         p = every.where(F.col("n") == n).select(F.col("g").alias("s"), F.log("p").alias("lp"))
         w = weights.where(F.col("n") == n).select(F.col("h").alias("hh"), F.log("w").alias("lw"))
@@ -167,24 +147,78 @@ def _sharded_score(df: DataFrame, every: DataFrame, weights: DataFrame) -> DataF
         done = both.where("lp is not null").select("g", (F.col("l") + F.col("lp")).alias("l"))
         parts = done if parts is None else parts.unionByName(done)
         todo = both.where("lp is null").select("g", (F.col("l") + F.coalesce("lw", F.lit(0.0))).alias("l"))
-    parts = parts.unionByName(todo.select("g", (F.col("l") + float(np.log(1 / 256))).alias("l")))
-    sums = pairs.join(parts, "g").groupBy(F.col("doc").alias("row")).agg((F.sum(F.col("l") * F.col("c")) / F.sum("c")).alias("m"))
-    return keyed.select("doc", "row").join(sums, "row", "left").select("doc", F.exp(-F.col("m")).alias("perplexity"))
+    return parts.unionByName(todo.select("g", (F.col("l") + float(np.log(1 / 256))).alias("l")))
+
+
+def _piece_scores(g: np.ndarray, l: np.ndarray, data: bytes) -> pa.RecordBatch:
+    """The stored rows of a piece with their perplexities, from its distinct grams."""
+    order = np.argsort(g)
+    g, l = g[order], l[order]
+    rows = pa.ipc.open_stream(data).read_next_batch()
+    out = []
+    for step in pieces([rows], "bytes", STEP_BYTES):
+        text, offsets = flat(step.column(4))
+        size = np.diff(offsets)
+        found = l[np.searchsorted(g, grams(text, offsets))] if len(text) else np.zeros(0)
+        total = np.append(0.0, np.cumsum(found))
+        mean = -(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(1, size)
+        out.append(pa.array(np.exp(mean), pa.float64(), mask=size == 0))
+    perplexity = pa.chunked_array(out, pa.float64()).combine_chunks()
+    return pa.RecordBatch.from_arrays([*rows.columns[:4], perplexity], names=["doc", "lang", "trusted", "counted", "perplexity"])
+
+
+def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> DataFrame:
+    """doc, lang, trusted, counted, perplexity of every packed row; doc has the type ``kind``."""
+    wanted = saved(_numbers(rows, _GRAMS, "piece bigint, g bigint"), "kn-wanted")
+    known = wanted.join(log_probabilities(wanted, *model), "g")
+    none = lambda t: F.lit(None).cast(t)
+    sent = known.select("piece", F.lit(0).alias("seq"), "g", "l", none("binary").alias("data"))
+    sent = sent.unionByName(rows.where(F.col("kind") == _TEXTS).select("piece", (F.col("seq") + 1).alias("seq"), none("bigint").alias("g"), none("double").alias("l"), "data"))
 
-
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    def run(batches):
+        at, g, l, parts = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])).tolist()
+            for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
+                if parts and piece[a] != at:
+                    yield _piece_scores(np.concatenate(g), np.concatenate(l), b"".join(parts))
+                    g, l, parts = [], [], []
+                at, run = piece[a], batch.slice(a, b - a)
+                numbers = int(np.searchsorted(run.column(1).to_numpy(), 1))
+                g.append(run.column(2).slice(0, numbers).to_numpy(zero_copy_only=False).astype(np.int64))
+                l.append(run.column(3).slice(0, numbers).to_numpy(zero_copy_only=False).astype(np.float64))
+                parts += run.column(4).slice(numbers).to_pylist()
+        if parts:
+            yield _piece_scores(np.concatenate(g), np.concatenate(l), b"".join(parts))
+
+    dealt = sent.repartition("piece").sortWithinPartitions("piece", "seq")
+    return dealt.select("piece", "seq", "g", "l", "data").mapInArrow(run, f"doc {kind}, lang string, trusted boolean, counted boolean, perplexity double")
+
+
+@tidy
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """key, lang, perplexity, threshold, trusted, kept for every document; trusted are those labelled good and not toxic."""
-    good = saved(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("doc")).distinct().withColumn("trusted", F.lit(True)), "kn-trusted")
-    good = F.broadcast(good) if is_small(good, BROADCAST_BYTES) else good
-    source = docs.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_bytes(text).alias("bytes"))
-    every, weights = train(source.join(good, "doc", "left_semi"))
-    # ids can be null or repeated: rows carry a key of id, language and text
-    source = source.withColumn("row", row_key("doc", "lang", "bytes"))
-    scored = score(source.select(F.col("row").alias("doc"), "bytes"), every, weights).withColumnRenamed("doc", "row")
-    names = source.select("row", "doc", "lang")
-    rows = saved(scored.join(names.dropDuplicates(["row"]), "row").drop("row").join(good, "doc", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scores")
-    sure = rows.where("trusted and perplexity is not null")
-    limits = sure.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("threshold"))
-    overall = sure.agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("overall"))  # one row
-    out = rows.join(limits, "lang", "left").join(F.broadcast(overall), F.lit(True), "left").withColumn("threshold", F.coalesce("threshold", "overall"))
-    return out.select(F.col("doc").alias(key), "lang", "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    good = saved(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("string").alias("good")).distinct(), "kn-trusted")
+    good = good.withColumn("trusted", F.lit(True))
+    source = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_bytes(text).alias("bytes"))
+    source = source.join(F.broadcast(good) if is_small(good, BROADCAST_BYTES) else good, F.col("doc").cast("string") == F.col("good"), "left")
+    trusted = F.coalesce("trusted", F.lit(False))
+    rows = packed(source.select("doc", "lang", trusted.alias("trusted"), (trusted & (F.crc32("bytes") % HELD != 0)).alias("counted"), "bytes"))
+    model = train(_numbers(rows, _COUNTS, "g bigint, c bigint"))
+    kind = docs.schema[key].dataType.simpleString()
+    if model[0].limit(1).count():
+        scored = saved(score(rows, model, kind), "kn-scores")
+    else:
+        scored = source.select("doc", "lang", trusted.alias("trusted"), F.lit(False).alias("counted"), F.lit(None).cast("double").alias("perplexity"))
+    sure = scored.where("trusted and perplexity is not null")
+    limit = F.percentile_approx("perplexity", quantile, 10000)
+    limits = saved(sure.where("not counted").groupBy("lang").agg(limit.alias("threshold")), "kn-limits")
+    held = F.percentile_approx(F.when(~F.col("counted"), F.col("perplexity")), quantile, 10000)
+    overall = sure.agg(F.coalesce(held, limit).alias("overall"))  # one row
+    out = scored.join(F.broadcast(limits) if is_small(limits, BROADCAST_BYTES) else limits, "lang", "left")
+    out = out.join(F.broadcast(overall), F.lit(True), "left").withColumn("threshold", F.coalesce("threshold", "overall"))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
+    return out.select(F.col("doc").alias(key), "lang", "perplexity", "threshold", "trusted", kept.alias("kept"))

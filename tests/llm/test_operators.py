@@ -53,41 +53,90 @@ def test_codewords_are_apart():
 # ---- 2 perplexity
 
 
-def test_kneser_ney(spark):
+def brute_perplexities(counted, texts, order=perplexity.ORDER):
+    """Interpolated modified Kneser-Ney by its definition, a byte at a time."""
+
+    def folded(t):
+        return bytes(x + 32 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x for x in t.encode())
+
+    def ends(t):
+        b = b"\0" * (order - 1) + folded(t)
+        return [b[k : k + order] for k in range(len(b) - order + 1)]
+
+    counts = {order: Counter(g for t in counted for g in ends(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discounts, totals, taken = {}, Counter(), Counter()
+    for n, c in counts.items():
+        m = Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.5
+        d = [min(0.95 * k, max(0.05, k - (k + 1) * y * m[k + 1] / m[k] if m[k] else 0.5 * k)) for k in (1, 2, 3)]
+        discounts[n] = lambda k, d=d: d[min(k, 3) - 1]
+        for g, k in c.items():
+            totals[n, g[:-1]] += k
+            taken[n, g[:-1]] += discounts[n](k)
+
+    def probability(g):
+        n = len(g)
+        if not n:
+            return 1 / 256
+        lower = probability(g[1:])
+        if not totals[n, g[:-1]]:
+            return lower
+        k = counts[n][g]
+        own = (k - discounts[n](k)) / totals[n, g[:-1]] if k else 0.0
+        return own + taken[n, g[:-1]] / totals[n, g[:-1]] * lower
+
+    return [np.exp(-np.mean([np.log(probability(g)) for g in ends(t)])) if t else None for t in texts]
+
+
+@pytest.fixture(scope="session")
+def judged(spark):
+    """Documents with null, repeated and shared ids, clashing columns, null, empty and long texts; the labels of some."""
     rng = random.Random(2)
-    good = [(i, "the cat sat on the mat and the dog ran " * rng.randint(1, 4)) for i in range(30)]
-    bad = [(100 + i, "".join(chr(rng.randint(33, 126)) for _ in range(120))) for i in range(10)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in good + bad] + [(200, None, "en"), (201, "", None), (202, "the cat", "xx")], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100, 0, 0), (101, 1, 1)], "doc_id long, quality int, toxic int")
-    got = by_id(perplexity.classify(docs, labels))
-    assert len(got) == 43
-    assert all(got[i][0].kept for i, _ in good) and not any(got[i][0].kept for i, _ in bad)
-    assert got[200][0].perplexity is None and not got[200][0].kept and got[202][0].threshold is not None
-    source = docs.selectExpr("doc_id as doc", "cast(coalesce(text, '') as binary) as bytes")
-    every, weights = perplexity.train(source.where("doc < 20"))
-    # probabilities of all bytes after a context sum to one
-    tables = perplexity._tables(every, weights)
+    say = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "dog", "ran", "far"]) for _ in range(n))
+    rows = [(i, say(rng.randint(5, 40)), "en" if i % 3 else "fr") for i in range(60)]
+    rows += [(100 + i, "".join(chr(rng.randint(33, 126)) for _ in range(120)), "en") for i in range(10)]
+    rows += [(200, None, "en"), (201, "", None), (202, "the cat", "xx"), (None, "the cat sat on", "en"), (None, "zq9 &&& xx", "fr"), (50, "#!%& ZZ qq", "fr"), (50, rows[50][1], rows[50][2]), (None, None, "en"), (300, say(30000), "en"), (301, "Ünïcode Çat 漢字", None)]
+    labels = [(i, 1, 0) for i in range(40)] + [(100, 0, 0), (101, 1, 1), (50, 1, None), (None, 1, 0), (7, 1, 0)]
+    docs = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, text string, lang string, perplexity double, trusted int").repartition(3)
+    return rows, docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_kneser_ney(judged, nothing, monkeypatch):
+    rows, docs, labels = judged
+    good = set(range(40)) | {50}
+    trusted = [i in good for i, *_ in rows]
+    counted = [t and zlib.crc32((text or "").encode()) % perplexity.HELD != 0 for t, (_, text, _) in zip(trusted, rows, strict=True)]
+    brute = brute_perplexities([text or "" for c, (_, text, _) in zip(counted, rows, strict=True) if c], [text for _, text, _ in rows])
+    key = lambda i, lang, p, t: (i, lang, None if p is None else f"{p:.7g}", t)
+    want = Counter(key(i, lang or "und", p, t) for (i, _, lang), p, t in zip(rows, brute, trusted, strict=True))
+    for size in (perplexity.PIECE_BYTES, 3000):
+        monkeypatch.setattr(perplexity, "PIECE_BYTES", size)
+        monkeypatch.setattr(perplexity, "STEP_BYTES", 1 << 20 if size > 3000 else 700)
+        monkeypatch.setattr(perplexity, "PART_BYTES", 1 << 18 if size > 3000 else 64)
+        got = perplexity.classify(docs, labels).collect()
+        assert Counter(key(r.doc_id, r.lang, r.perplexity, r.trusted) for r in got) == want
+        assert all(r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got)
+    held = {lang: [p for (_, _, x), p, t, c in zip(rows, brute, trusted, counted, strict=True) if t and not c and x == lang] for lang in ("en", "fr")}
+    limits = {r.lang: r.threshold for r in got}
+    assert all(abs(limits[lang] - max(held[lang])) < 1e-6 for lang in held) and abs(limits["xx"] - max(held["en"] + held["fr"])) < 1e-6
+    assert not any(r.kept for r in got if r.doc_id in range(100, 110)) and sum(r.kept for r in got if r.doc_id in range(60)) > 45
+    words = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named = perplexity.classify(words, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
+    assert Counter(key(r.doc_id and int(r.doc_id[1:]), r.lang, r.perplexity, r.trusted) for r in named) == want
+    unknown = perplexity.classify(docs, labels.limit(0)).collect()
+    assert len(unknown) == len(rows) and not any(r.kept or r.trusted or r.perplexity for r in unknown)
+    assert perplexity.classify(nothing, labels).collect() == []
+
+
+def test_probabilities_sum_to_one(spark):
+    text = np.frombuffer(b"the cat sat on the mat and the dog ran far " * 3, np.uint8)
+    g, c = np.unique(perplexity.grams(text, np.array([0, len(text)])), return_counts=True)
+    model = perplexity.train(spark.createDataFrame(list(zip(g.tolist(), c.tolist(), strict=True)), "g long, c long"))
     for context in (b"the ", b"zzzz", b"cat "):
-        g = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
-        assert abs(np.exp(perplexity.log_probabilities(tables, g)).sum() - 1) < 1e-6
-    a = {r.doc: r.perplexity for r in perplexity.score(source, every, weights).collect()}
-    b = {r.doc: r.perplexity for r in perplexity._sharded_score(source, every, weights).collect()}
-    assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-6 * a[k]) for k in a)
-    assert perplexity.classify(docs, labels.limit(0)).where("kept").count() == 0
-
-
-def test_both_ways_score_every_row(spark, monkeypatch):
-    good = "the cat sat on the mat and the dog ran "
-    rows = [(i, good * (i % 3 + 1), "en") for i in range(12)] + [(None, good, "en"), (None, "zq9 &&& xx", "fr"), (50, good, "en"), (50, "#!%& ZZ qq", "fr"), (50, good, "fr"), (None, None, "en"), (50, good, "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
-    ways = []
-    for most in (perplexity.MODEL_ROWS, 0):
-        monkeypatch.setattr(perplexity, "MODEL_ROWS", most)
-        ways.append(Counter((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 6), r.trusted, r.kept) for r in perplexity.classify(docs, labels).collect()))
-    assert ways[0] == ways[1] and sum(ways[0].values()) == len(rows)
-    assert Counter((i, k) for i, k, *_ in ways[0].elements()) == Counter((i, k) for i, _, k in rows)
-    assert {k: (p is not None, kept) for i, k, p, _, kept in ways[0] if i is None and p} == {"en": (True, True), "fr": (True, False)}
+        every = spark.range(256).select((F.col("id") + F.lit(int.from_bytes(context + b"\0", "big"))).alias("g"))
+        assert abs(sum(np.exp(r.l) for r in perplexity.log_probabilities(every, *model).collect()) - 1) < 1e-6
 
 
 # ---- 3 shards
