@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 5
 SAMPLES, BITS = 480, 2048
 #: Tables up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of text that are hashed at a time.
+STEP_BYTES = 1 << 19
 #: Bytes of the members on either side of a cell in step 2; a longer member stands there alone.
 CELL_BYTES = 6 << 20
 
@@ -152,7 +154,7 @@ def sketched(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in pieces(batches, "bytes"):
+        for batch in pieces(batches, "bytes", STEP_BYTES):
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 sets, edges = shingle_sets(*flat(part.column(1)), width)
@@ -175,7 +177,7 @@ def full_sets(df: DataFrame, text: str, width: int) -> DataFrame:
     """k, s: key and sorted hashes of the set, eight bytes each, for each row of ``df`` that has any."""
 
     def run(batches):
-        for batch in pieces(batches, "bytes"):
+        for batch in pieces(batches, "bytes", STEP_BYTES):
             for at in range(0, batch.num_rows, 4000):
                 sets, edges = shingle_sets(*flat(batch.slice(at, 4000).column(0)), width)
                 raw = memoryview(sets.tobytes())
