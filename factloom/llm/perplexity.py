@@ -8,8 +8,9 @@ among trusted documents that were not counted (one text in HELD, by its hash).
 
 Documents are scored by joins alone, at every size: texts are packed into pieces of about PIECE_BYTES, a piece's
 distinct grams are joined to the count tables, and what they get goes back to the piece, where each document's
-bytes look theirs up. So a common gram moves once a piece, not once a document, and rows keep their identity
-without a key: null and repeated ids are scored by their own texts.
+bytes look theirs up. So a gram moves once a piece, not once a document, and the HOT most counted ones, which
+nearly every piece holds, go to the workers beforehand instead. Rows keep their identity without a key: null
+and repeated ids are scored by their own texts.
 
 Defined results: null and empty texts have perplexity null and are not kept; a language without held-out
 trusted documents uses the quantile of all of them, and without any the counted ones are used; without any
@@ -33,7 +34,9 @@ ORDER = 5
 QUANTILE = 0.99
 #: One trusted text in so many is not counted, but tells the threshold.
 HELD = 5
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
+#: The most counted grams that every worker gets, about, and at most twice as many: four megabytes.
+HOT = 1 << 18
 #: Bytes of a text that are worked on at a time, and of a stored part of a piece.
 STEP_BYTES, PART_BYTES = 1 << 20, 1 << 18
 BROADCAST_BYTES = 8 << 20
@@ -66,14 +69,20 @@ def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return g, np.bincount(inverse, np.concatenate([c for _, c in found]), len(g)).astype(np.int64)
 
 
-def _parts(data: bytes):
-    for at in range(0, max(1, len(data)), PART_BYTES):
-        yield data[at : at + PART_BYTES]
+def _shrunk(x: np.ndarray) -> bytes:
+    """Numbers, the last axis ascending, as compressed differences behind their count."""
+    raw = np.diff(x, prepend=0).astype(np.int64).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.int64))
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """piece, kind, seq, data of (doc, lang, trusted, counted, bytes), saved: a piece's rows, its distinct grams, and
-    grams with counts of those rows that are counted."""
+    """piece, kind, seq, data, more of (doc, lang, trusted, counted, bytes), saved: a piece's rows, its distinct grams,
+    and grams with their counts in those rows that are counted."""
 
     def run(batches):
         for batch in pieces(batches, "bytes", PIECE_BYTES):
@@ -83,34 +92,46 @@ def packed(df: DataFrame) -> DataFrame:
                 out.write_batch(batch)
             every, few = _counted(batch), batch.filter(batch.column(3))
             counted = _counted(few) if few.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for kind, data in ((_TEXTS, sink.getvalue()), (_GRAMS, every[0].tobytes()), (_COUNTS, np.stack(counted, axis=1).tobytes())):
-                parts = list(_parts(data))
-                columns = [[piece] * len(parts), [kind] * len(parts), list(range(len(parts))), parts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["piece", "kind", "seq", "data"])
+            texts = sink.getvalue()
+            rows = [(piece, _TEXTS, n, texts[at : at + PART_BYTES], None) for n, at in enumerate(range(0, len(texts), PART_BYTES))]
+            rows += [(piece, _GRAMS, 0, _shrunk(every[0]), None), (piece, _COUNTS, 0, _shrunk(counted[0]), pa.compress(counted[1].tobytes(), codec="zstd", asbytes=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["piece", "kind", "seq", "data", "more"])
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    rows = df.select("doc", "lang", "trusted", "counted", "bytes").mapInArrow(run, "piece bigint, kind int, seq int, data binary")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    rows = df.select("doc", "lang", "trusted", "counted", "bytes").mapInArrow(run, "piece bigint, kind int, seq int, data binary, more binary")
     return saved(rows, "kn-pieces")
 
 
-def _numbers(rows: DataFrame, kind: int, schema: str) -> DataFrame:
-    """The stored numbers of a kind, a row for each: (piece, g) or (g, c)."""
+def _train_counts(rows: DataFrame) -> DataFrame:
+    """(g, c) of every piece."""
+
+    def run(batches):
+        for batch in batches:
+            for data, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = _grown(data)
+                c = np.frombuffer(pa.decompress(more, decompressed_size=8 * len(g), codec="zstd", asbytes=True), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
+
+    return rows.where(F.col("kind") == _COUNTS).select("data", "more").mapInArrow(run, "g bigint, c bigint")
+
+
+def _wanted(rows: DataFrame, hot) -> DataFrame:
+    """(piece, g) of every piece's distinct grams outside the broadcast ``hot`` ones."""
 
     def run(batches):
+        known = hot.value[0]
         for batch in batches:
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, np.int64)
-                if kind == _COUNTS:
-                    x = x.reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["g", "c"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), piece)), pa.array(x)], names=["piece", "g"])
+                g = _grown(data)
+                if len(known):
+                    g = g[known[np.minimum(np.searchsorted(known, g), len(known) - 1)] != g]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), piece)), pa.array(g)], names=["piece", "g"])
 
-    return rows.where(F.col("kind") == kind).select("piece", "data").mapInArrow(run, schema)
+    return rows.where(F.col("kind") == _GRAMS).select("piece", "data").mapInArrow(run, "piece bigint, g bigint")
 
 
 def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """From (g, c) of the highest order, in any number of parts: probabilities (n, g, p) and back-off weights (n, h, w) of all orders."""
+    """From (g, c) of the highest order, in any number of parts: probabilities (n, g, c, p) and back-off weights (n, h, w) of all orders."""
     counts = {order: saved(counted.groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")}
     for n in range(order - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
@@ -125,12 +146,13 @@ def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
         context = t.groupBy("h").agg(F.sum("c").alias("total"), F.sum(off).alias("taken")).select("h", "total", (F.col("taken") / F.col("total")).alias("w"))
         p = t.join(context, "h").withColumn("own", (F.col("c") - off) / F.col("total"))
         if below is None:
-            p = p.select("g", (F.col("own") + F.col("w") / 256.0).alias("p"))
+            p = p.select("g", "c", (F.col("own") + F.col("w") / 256.0).alias("p"))
         else:
             lower = below.select(F.col("g").alias("s"), F.col("p").alias("q"))
-            p = p.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower, "s").select("g", (F.col("own") + F.col("w") * F.col("q")).alias("p"))
+            p = p.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower, "s")
+            p = p.select("g", "c", (F.col("own") + F.col("w") * F.col("q")).alias("p"))
         below = saved(p, "kn-probabilities")
-        rows, w = below.select(F.lit(n).alias("n"), "g", "p"), context.select(F.lit(n).alias("n"), "h", "w")
+        rows, w = below.select(F.lit(n).alias("n"), "g", "c", "p"), context.select(F.lit(n).alias("n"), "h", "w")
         every = rows if every is None else every.unionByName(rows)
         weights = w if weights is None else weights.unionByName(w)
     return every, saved(weights, "kn-weights")
@@ -150,10 +172,22 @@ def log_probabilities(wanted: DataFrame, every: DataFrame, weights: DataFrame, o
     return parts.unionByName(todo.select("g", (F.col("l") + float(np.log(1 / 256))).alias("l")))
 
 
+def most_counted(every: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the highest order with their log probabilities, by gram: about HOT of the most counted, never more than twice that."""
+    top = every.where(F.col("n") == order)
+    total = top.count()
+    if total > HOT:
+        top = top.join(F.broadcast(top.agg(F.percentile_approx("c", 1 - HOT / total, 100_000).alias("least"))), F.col("c") > F.col("least"))
+    t = top.select("g", "p").limit(2 * HOT).toArrow()
+    g, p = t.column("g").to_numpy(), t.column("p").to_numpy()
+    rank = np.argsort(g)
+    return g[rank], np.log(p[rank])
+
+
 def _piece_scores(g: np.ndarray, l: np.ndarray, data: bytes) -> pa.RecordBatch:
-    """The stored rows of a piece with their perplexities, from its distinct grams."""
-    order = np.argsort(g)
-    g, l = g[order], l[order]
+    """The stored rows of a piece with their perplexities, from its grams."""
+    rank = np.argsort(g, kind="stable")
+    g, l = g[rank], l[rank]
     rows = pa.ipc.open_stream(data).read_next_batch()
     out = []
     for step in pieces([rows], "bytes", STEP_BYTES):
@@ -169,7 +203,8 @@ def _piece_scores(g: np.ndarray, l: np.ndarray, data: bytes) -> pa.RecordBatch:
 
 def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> DataFrame:
     """doc, lang, trusted, counted, perplexity of every packed row; doc has the type ``kind``."""
-    wanted = saved(_numbers(rows, _GRAMS, "piece bigint, g bigint"), "kn-wanted")
+    hot = rows.sparkSession.sparkContext.broadcast(most_counted(model[0]))
+    wanted = _wanted(rows, hot)
     known = wanted.join(log_probabilities(wanted, *model), "g")
     none = lambda t: F.lit(None).cast(t)
     sent = known.select("piece", F.lit(0).alias("seq"), "g", "l", none("binary").alias("data"))
@@ -177,6 +212,10 @@ def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> Dat
 
     def run(batches):
         at, g, l, parts = None, [], [], []
+
+        def done():
+            return _piece_scores(np.concatenate([hot.value[0], *g]), np.concatenate([hot.value[1], *l]), b"".join(parts))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -184,7 +223,7 @@ def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> Dat
             first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])).tolist()
             for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
                 if parts and piece[a] != at:
-                    yield _piece_scores(np.concatenate(g), np.concatenate(l), b"".join(parts))
+                    yield done()
                     g, l, parts = [], [], []
                 at, run = piece[a], batch.slice(a, b - a)
                 numbers = int(np.searchsorted(run.column(1).to_numpy(), 1))
@@ -192,7 +231,7 @@ def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> Dat
                 l.append(run.column(3).slice(0, numbers).to_numpy(zero_copy_only=False).astype(np.float64))
                 parts += run.column(4).slice(numbers).to_pylist()
         if parts:
-            yield _piece_scores(np.concatenate(g), np.concatenate(l), b"".join(parts))
+            yield done()
 
     dealt = sent.repartition("piece").sortWithinPartitions("piece", "seq")
     return dealt.select("piece", "seq", "g", "l", "data").mapInArrow(run, f"doc {kind}, lang string, trusted boolean, counted boolean, perplexity double")
@@ -207,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     source = source.join(F.broadcast(good) if is_small(good, BROADCAST_BYTES) else good, F.col("doc").cast("string") == F.col("good"), "left")
     trusted = F.coalesce("trusted", F.lit(False))
     rows = packed(source.select("doc", "lang", trusted.alias("trusted"), (trusted & (F.crc32("bytes") % HELD != 0)).alias("counted"), "bytes"))
-    model = train(_numbers(rows, _COUNTS, "g bigint, c bigint"))
+    model = train(_train_counts(rows))
     kind = docs.schema[key].dataType.simpleString()
     if model[0].limit(1).count():
         scored = saved(score(rows, model, kind), "kn-scores")
