@@ -115,6 +115,7 @@ def test_kneser_ney(judged, nothing, monkeypatch):
         monkeypatch.setattr(perplexity, "PIECE_BYTES", size)
         monkeypatch.setattr(perplexity, "STEP_BYTES", 1 << 20 if size > 3000 else 700)
         monkeypatch.setattr(perplexity, "PART_BYTES", 1 << 18 if size > 3000 else 64)
+        monkeypatch.setattr(perplexity, "HOT", 1 << 18 if size > 3000 else 40)  # the rest by joins
         got = perplexity.classify(docs, labels).collect()
         assert Counter(key(r.doc_id, r.lang, r.perplexity, r.trusted) for r in got) == want
         assert all(r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) for r in got)
@@ -173,7 +174,7 @@ def test_decontamination(spark, docs, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (10, item), (13, "two words"), (14, "five small words stand here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {(1, 10): "copy", (2, 10): "reparameterised", (3, 10): "copy", (8, 10): "copy"}
+    assert got == {(1, 10): "copy", (2, 10): "reparameterised", (3, 10): "copy", (8, 10): "reparameterised"}
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {4, 5, 6, 7}
     assert decontaminate.contaminated(spark.createDataFrame([(1, "and five small words stand here too")], "doc_id long, text string"), bench).count() == 1
     assert decontaminate.contaminated(nothing, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
@@ -210,6 +211,98 @@ def test_every_alignment_counts(spark):
         assert len(plain) == len(full) and all(y[0] == x[0] for x, y in zip(plain, full, strict=True))
 
 
+def test_decontamination_judges_each_text(spark, docs):
+    item, other = "A train leaves London with 120 people and after 45 minutes it has covered 60 km in all", "five small words stand here and some more of them follow"
+    rows = [(None, item), (None, "clean text of no item"), (None, None), (50, "nothing to see"), (50, "so " + item), (50, item), (60, other), (60, other), (61, other.upper())]
+    df = spark.createDataFrame([(i, t, f"x{n}", 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, item_id string, th int")
+    bench = spark.createDataFrame([(10, item), (10, other), (None, other), (11, "words that no document has at all in this table")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(df.drop("item_id"), bench).collect())
+    assert got == Counter([(None, 10, "copy"), (50, 10, "copy"), *((i, k, "copy") for i in (60, 61) for k in (10, None))])
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and {r.item_id for r in left.collect()} == {"x1", "x2", "x3"}
+    words = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert decontaminate.drop_contaminated(words, bench).count() == 3
+
+
+def canonical_tokens(t, names):
+    """Word-wise reading of a text: (placeholder or word, value) in the two template forms."""
+    out, after, at = [], "", 0
+    pattern = re.compile(r"(?P<n>[0-9]+(?:[.,][0-9]+)*)(?: ?(?P<u>km|kg|minutes|h)(?![A-Za-z0-9]))?|(?P<w>[A-Za-z]+)")
+    found = list(pattern.finditer(t))
+    while at < len(found):
+        m = found[at]
+        if m["n"]:
+            out.append(("#", (m["n"], m["u"] or "")))
+        elif names and m["w"][0].isupper() and m["w"][1:].islower() and re.search(r"[A-Za-z0-9,;:] $", t[: m.start()]):
+            run = out and out[-1][0] == "name" and found[at - 1].end() == m.start() - 1  # names side by side are one
+            out[len(out) - bool(run) :] = [("name", f"{out[-1][1]} {m['w'].lower()}" if run else m["w"].lower())]
+        else:
+            out.append((m["w"].lower(), None))
+        at += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_against_brute_force(spark, seed):
+    """Random items and documents: every pair that holds half of an item's windows at one-to-one slots, and no other."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu") for b in ("ra", "nt", "sk", "mo")]
+    names = ["Rome", "Oslo", "Lima", "Bern"]
+
+    def sentence(n):
+        out = ["start"]
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(names) if x < 0.1 and out[-1] not in names else f"{rng.randint(2, 99)} {rng.choice(['km', 'kg', 'chairs'])}" if x < 0.25 else rng.choice(words))
+        return " ".join(out)
+
+    def refill(t):
+        """The same template with other fillers, sometimes inconsistent ones."""
+        t = re.sub(r"[0-9]+", lambda m: str((int(m[0]) * 7 + rng.choice([0, 0, 0, 1])) % 101), t)
+        moved = dict(zip(names, rng.sample(names, 4), strict=True))
+        return re.sub("|".join(names), lambda m: moved[m[0]], t)
+
+    items = {i: sentence(rng.randint(12, 24)) for i in range(12)}
+    docs = {}
+    for d in range(60):
+        t = rng.choice([items[rng.randrange(12)], refill(items[rng.randrange(12)])]).split()
+        cut = rng.randrange(max(1, len(t) // 2))
+        docs[d] = " ".join([sentence(4), *(t[cut:] if rng.random() < 0.4 else t), sentence(5), *(rng.choice(list(items.values())).split()[:9])])
+    want = set()
+    for i, it in items.items():
+        for form in (0, 1):
+            a = canonical_tokens(it, form)
+            if form and not any(k == "name" for k, _ in a):
+                continue
+            usable = [p for p in range(len(a) - 7) if sum(k not in ("#", "name") for k, _ in a[p : p + 8]) >= 4]
+            for d, t in docs.items():
+                b = canonical_tokens(t, form)
+                kinds = lambda x: [k for k, _ in x]
+                shifts = {}
+                for p in usable:
+                    for q in range(len(b) - 7):
+                        if kinds(a[p : p + 8]) == kinds(b[q : q + 8]):
+                            shifts.setdefault(q - p, []).append(p)
+                held = set()
+                for shift, places in shifts.items():
+                    pairs = set()
+                    for k in {p + j for p in places for j in range(8)}:
+                        (kind, x), (_, y) = a[k], b[k + shift]
+                        if kind == "#":
+                            pairs.add(("#", x[0], y[0]))
+                            if x[1] and y[1]:
+                                pairs.add(("unit", x[1], y[1]))
+                        elif kind == "name":
+                            pairs.add(("name", x, y))
+                    if len(pairs) == len({(k, x) for k, x, _ in pairs}) == len({(k, y) for k, _, y in pairs}):
+                        held |= set(places)
+                if usable and len(held) / len(usable) >= decontaminate.COVERAGE:
+                    want.add((d, i))
+    df, bench = (spark.createDataFrame(list(x.items()), f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == want and len(want) > 30
+
+
 # ---- 5 repeats
 
 
