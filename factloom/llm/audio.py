@@ -1,8 +1,9 @@
 """Telephony audio columns: G.711 mu-law and A-law, IMA ADPCM blocks, resampled PCM, in WAV containers.
 
 Companded samples expand by 256-entry tables; ADPCM decodes step by step within a block and across all
-blocks of a batch at once. ``store`` puts payload bytes into a WAV file column, ``read`` takes them out
-again and measures them.
+blocks of a batch at once. ``store`` puts payload bytes into a WAV file column beside the resampled PCM that
+they expand to, ``telephony`` writes both as Parquet to the shared folder, and ``read`` takes the stored bytes
+out again and measures them.
 
 Defined results: null text counts as empty and gives one block of padding; equal texts give equal files
 and features; an empty table gives an empty result; very long texts become long files, never cut.
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, text_bytes
+from .common import flat, pieces, saved, text_bytes
 
 #: Bytes of an ADPCM block: 4 of state and 572 of nibbles; payloads are multiples of it.
 BLOCK = 576
 RATE, RESAMPLED = 8000, 16000
+#: Bytes of payload that a worker handles at a time; a longer text is handled alone.
+STEP_BYTES = 1 << 19
 
 # Fixed values of the IMA ADPCM format: how the step index moves.
 INDEX_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -112,47 +115,66 @@ def pad(data: bytes, block: int = BLOCK) -> bytes:
     return data + b"\xff" * (max(1, -(-len(data) // block)) * block - len(data))
 
 
+def _sound(payload: bytes, tag: int, rate: int) -> np.ndarray:
+    """The samples of companded bytes, at RESAMPLED a second."""
+    return resample((ALAW if tag == 6 else MULAW)[np.frombuffer(payload, np.uint8)], rate, RESAMPLED)
+
+
+def _energy(x: np.ndarray) -> int:
+    return int(np.einsum("i,i->", x, x, dtype=np.float64) / max(1, len(x)))
+
+
 def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, media: each text's padded bytes as the samples of a mu-law WAV file."""
+    """key, n_bytes, media, pcm: each text's padded bytes as the samples of a mu-law WAV file, and the resampled sound of
+    these as a 16-bit PCM WAV file."""
 
     def run(batches):
-        for batch in pieces(batches, "bytes"):
-            files = [wav(pad(b)) for b in batch.column(1).to_pylist()]
+        for batch in pieces(batches, "bytes", STEP_BYTES):
+            payloads = [pad(b) for b in batch.column(1).to_pylist()]
             sizes = np.diff(flat(batch.column(1))[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
+            files = [wav(p) for p in payloads]
+            pcm = [wav(_sound(p, 7, RATE).tobytes(), 1, RESAMPLED, 16) for p in payloads]
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(pcm, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", "media", "pcm"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text_bytes(text).alias("bytes")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, media binary")
+    return df.select(key, text_bytes(text).alias("bytes")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, media binary, pcm binary")
 
 
-def read(df: DataFrame, key: str = "doc_id", pcm: bool = False) -> DataFrame:
-    """Take the payload out of each media file and measure it; ``pcm`` also returns the resampled sound as a PCM WAV file."""
+def read(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Take the payload out of each media file and measure it; the stored PCM must be the sound of that payload."""
 
     def run(batches):
-        for batch in pieces(batches, "media"):
+        for batch in pieces(batches, "media", STEP_BYTES):
             media = batch.column(2).to_pylist()
             read_back = [unwav(m) for m in media]
             payloads = [p for _, _, p in read_back]
             adpcm = decode_adpcm(np.frombuffer(b"".join(p[: len(p) // BLOCK * BLOCK] for p in payloads), np.uint8).reshape(-1, BLOCK))
             rows, at = [], 0
-            for (tag, rate, payload), file in zip(read_back, media, strict=True):
+            for (tag, rate, payload), file, pcm in zip(read_back, media, batch.column(3).to_pylist(), strict=True):
                 raw = np.frombuffer(payload, np.uint8)
                 mu, a = MULAW[raw], ALAW[raw]
                 blocks = adpcm[at : at + len(raw) // BLOCK]
                 at += len(raw) // BLOCK
-                sound = resample(a if tag == 6 else mu, rate, RESAMPLED)
-                energy = lambda x: int(np.einsum("i,i->", x, x, dtype=np.float64) / max(1, len(x)))
+                sound = unwav(pcm)[2]
+                if sound != _sound(payload, tag, rate).tobytes():
+                    raise ValueError("the stored PCM is not the sound of the stored payload")
                 crossings = int(np.count_nonzero((mu[1:] < 0) != (mu[:-1] < 0)))
-                feature = f"tag={tag};rate={rate};n={len(raw)};mulaw_power={energy(mu)};crossings={crossings};alaw_power={energy(a)};adpcm_blocks={len(blocks)};adpcm_crc={zlib.crc32(np.ascontiguousarray(blocks).tobytes())};pcm_rate={RESAMPLED};pcm_crc={zlib.crc32(sound.tobytes())}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, wav(sound.tobytes(), 1, RESAMPLED, 16) if pcm else None))
+                feature = (
+                    f"tag={tag};rate={rate};n={len(raw)};mulaw_power={_energy(mu)};crossings={crossings};alaw_power={_energy(a)};"
+                    f"adpcm_blocks={len(blocks)};adpcm_crc={zlib.crc32(np.ascontiguousarray(blocks).tobytes())};pcm_rate={RESAMPLED};pcm_crc={zlib.crc32(sound)}"
+                )
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns[: 7 if pcm else 6]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["pcm"] * pcm]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", pcm binary" * pcm)
+    schema = f"`{key}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return df.select(key, "n_bytes", "media", "pcm").mapInArrow(run, schema)
 
 
 def telephony(df: DataFrame) -> DataFrame:
-    return read(store(df))
+    """Store every text's media and PCM in the shared folder, and read them back."""
+    return read(saved(store(df), "telephony-media", compression="zstd"))
