@@ -8,9 +8,10 @@ name, joins recipes to chunk checks, checks Merkle roots, and composes each docu
 its chunks, so that no id moves again.
 
 Files, Parquet below the store's folder: ``kind=chunk`` (key, data: zlib or raw ids, copies) and ``manifest``
-(doc_id, start, n_tokens, root, recipe) in ascending doc_id order.
+(doc_id, start, n_tokens, root, recipe), whose files, read in the order of their names, hold the documents in
+ascending doc_id order. Reading raises an error if a chunk, a recipe or a Merkle root does not fit.
 
-Defined results: null text counts as empty and is stored as the end id alone; repeated rows are stored as
+Defined results: keys that are no integers are refused; null text counts as empty and is stored as the end id alone; repeated rows are stored as
 copies and come back as often; an empty table gives empty files; null ids sort first; a text of any length
 is cut, never truncated.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LATIN, LATIN_LETTERS, LATIN_NUMBERS, _Numbered, byte_characters
-from .common import pieces, ragged, saved, shared_folder
+from .common import exists, pieces, ragged, remove, shared_folder, whole_number
 
 #: Ids that the rolling hash sees; mean and most ids of a chunk.
 WINDOW, MEAN, MOST = 16, 512, 4096
@@ -152,6 +153,7 @@ def _pack(ids: np.ndarray, wide: bool) -> bytes:
 
 def write(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", key: str = "doc_id", folder: str | None = None) -> str:
     """Encode and store every row; returns the store's folder."""
+    whole_number(df, key)
     folder = folder or f"{shared_folder(df.sparkSession)}/idstore-{uuid.uuid4().hex}"
 
     def run(batches):
@@ -182,30 +184,31 @@ def write(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", key:
     rows = df.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "kind string, key binary, doc bigint, n bigint, data binary")
     once = rows.groupBy("kind", "key").agg(F.first("doc").alias("doc"), F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"))
     once.write.partitionBy("kind").parquet(f"{folder}/once")
-    _manifest(df.sparkSession.read.parquet(f"{folder}/once/kind=doc") if _has(df, f"{folder}/once/kind=doc") else None, folder, df)
+    there = f"{folder}/once/kind=doc"
+    _manifest(df.sparkSession.read.parquet(there) if exists(df.sparkSession, there) else None, folder, df)
     return folder
 
 
-def _has(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p)
-
-
 def _manifest(docs: DataFrame | None, folder: str, df: DataFrame) -> None:
-    """Recipes in ascending doc_id order, with each document's start among all ids."""
+    """Recipes in ascending doc_id order over the files' names, with each document's start among all ids."""
     if docs is None:
         empty = df.sparkSession.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, root binary, recipe binary")
         empty.write.parquet(f"{folder}/manifest")
         return
-    each = docs.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_tokens"), F.expr("substring(data, 1, 16)").alias("root"), F.expr("substring(data, 17)").alias("recipe"), F.explode(F.expr("sequence(1, copies)")).alias("copy"))
-    ranged = saved(each.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "idstore-ranges")
-    # a row for each range partition
+    order = ["doc_id", "root", "copy"]  # equal ids can stand in several ranges
+    recipe = [F.expr("substring(data, 1, 16)").alias("root"), F.expr("substring(data, 17)").alias("recipe")]
+    each = docs.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_tokens"), *recipe, F.explode(F.expr("sequence(1, copies)")).alias("copy"))
+    ranged = each.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(f"{folder}/ranges")
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(f"{folder}/ranges")
+    # a row for each range
     sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "root", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    placed.select("doc_id", "start", "n_tokens", "root", "recipe").write.parquet(f"{folder}/manifest")
+    placed = placed.select("doc_id", "start", "n_tokens", "root", "recipe")
+    placed.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{folder}/manifest")
+    remove(df.sparkSession, f"{folder}/ranges")
 
 
 @lru_cache(maxsize=1)
@@ -255,10 +258,10 @@ def chunk_checks(df: DataFrame, wide: bool) -> DataFrame:
 
 
 def read(spark, folder: str, wide: bool = False) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens, ids_crc32, verified, n_chunks."""
+    """Read the files back: doc_id, start, n_tokens, ids_crc32, verified, n_chunks; an error where they do not fit."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     store = f"{folder}/once/kind=chunk"
-    if not _has(manifest, store):
+    if not exists(spark, store):
         return manifest.select("doc_id", "start", "n_tokens", F.lit(0).cast("bigint").alias("ids_crc32"), F.lit(True).alias("verified"), F.lit(0).alias("n_chunks"))
     checks = chunk_checks(spark.read.parquet(store), wide)
 
@@ -288,4 +291,7 @@ def read(spark, folder: str, wide: bool = False) -> DataFrame:
         return pd.Series(shift_crc(crc.to_numpy(np.int64), after.to_numpy(np.int64)).astype(np.int64))
 
     joined = recipes.join(checks, "key", "left").withColumn("part", shifted(F.coalesce("crc", F.lit(0)), "after"))
-    return joined.groupBy("doc_id", "start", "n_tokens", "n_chunks").agg(F.bit_xor("part").alias("ids_crc32"), (F.bool_and("root_ok") & F.bool_and(F.coalesce("ok", F.lit(False))) & (F.count("*") == F.first("n_chunks"))).alias("verified")).select("doc_id", "start", "n_tokens", "ids_crc32", "verified", "n_chunks")
+    fits = F.bool_and("root_ok") & F.bool_and(F.coalesce("ok", F.lit(False))) & (F.count("*") == F.first("n_chunks"))
+    whole = joined.groupBy("doc_id", "start", "n_tokens", "n_chunks").agg(F.bit_xor("part").alias("crc"), fits.alias("fits"))
+    broken = F.raise_error(F.concat(F.lit("the stored chunks do not make up the document at "), F.col("start").cast("string")))
+    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("fits"), F.col("crc")).otherwise(broken.cast("bigint")).alias("ids_crc32"), F.col("fits").alias("verified"), "n_chunks")

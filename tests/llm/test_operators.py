@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,8 +450,40 @@ def test_audio(docs, nothing, texts):
     assert all(r.media_bytes > r.payload_bytes and r.payload_bytes % 576 == 0 for r in got)
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (5, 6)}) == 1
     assert audio.telephony(nothing).collect() == []
-    pcm = audio.read(audio.store(docs), pcm=True).first()
-    assert audio.unwav(bytes(pcm.pcm))[:2] == (1, 16000) and len(audio.unwav(bytes(pcm.pcm))[2]) == 4 * pcm.payload_bytes
+    stored = audio.saved(audio.store(docs), "media")
+    for r in stored.collect():
+        tag, rate, payload = audio.unwav(bytes(r.media))
+        kind, to, sound = audio.unwav(bytes(r.pcm))
+        flat = [int(audio.MULAW[x]) for x in payload]
+        want = [y for a, b in zip(flat, [*flat[1:], flat[-1]], strict=True) for y in (a, (a + b) >> 1)]
+        assert (tag, rate, kind, to) == (7, 8000, 1, 16000) and np.frombuffer(sound, "<i2").tolist() == want
+    with pytest.raises(Exception, match="not the sound"):
+        audio.read(stored.withColumn("pcm", F.lit(bytearray(audio.wav(b"", 1, 16000, 16))))).collect()
+
+
+def brute_feature(payload):
+    """A payload's features, a sample at a time."""
+    mu, a = ([int(t[x]) for x in payload] for t in (audio.MULAW, audio.ALAW))
+    sound = [y for x, z in zip(mu, [*mu[1:], mu[-1]], strict=True) for y in (x, (x + z) >> 1)]
+    adpcm = b""
+    for k in range(0, len(payload), 576):
+        block = payload[k : k + 576]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for nibble in (n for x in block[4:] for n in (x & 15, x >> 4)):
+            change = ((2 * (nibble & 7) + 1) * int(audio.STEPS[index])) >> 3
+            value = max(-32768, min(32767, value + (-change if nibble & 8 else change)))
+            index = max(0, min(88, index + int(audio.INDEX_MOVES[nibble & 7])))
+            out.append(value)
+        adpcm += np.array(out, "<i2").tobytes()
+    power = lambda x: sum(v * v for v in x) // len(x)
+    crossings = sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:], strict=False))
+    return f"tag=7;rate=8000;n={len(payload)};mulaw_power={power(mu)};crossings={crossings};alaw_power={power(a)};adpcm_blocks={len(payload) // 576};adpcm_crc={zlib.crc32(adpcm)};pcm_rate=16000;pcm_crc={zlib.crc32(np.array(sound, '<i2').tobytes())}"
+
+
+def test_audio_features(docs, texts):
+    want = Counter((i, brute_feature(audio.pad((t or "").encode()))) for i, t in texts)
+    assert Counter((r.doc_id, r.feature) for r in audio.telephony(docs).collect()) == want
 
 
 def test_companding_and_adpcm():
@@ -493,6 +527,32 @@ def test_id_store(spark, docs, nothing, texts):
     chunks = spark.read.parquet(f"{folder}/once/kind=chunk")
     assert chunks.count() == chunks.select("key").distinct().count()
     assert idstore.read(spark, idstore.write(nothing, path, end_id=2)).collect() == []
+    with pytest.raises(TypeError):
+        idstore.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), path, end_id=2)
+
+
+def test_id_store_files_are_in_order(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(400)]), " ".join(rng.choice(["ab", "cd", "efg", "hi"]) for _ in range(rng.randint(0, 60)))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(idstore, "MEAN", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = idstore.write(df, vocabulary("word_bpe_49k.json"), end_id=2, folder=f"file://{tmp_path}/store")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "store" / "manifest").glob("part-*.parquet"))
+    stored = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 3 and [r["doc_id"] for r in stored] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in stored] == np.cumsum([0, *(r["n_tokens"] for r in stored)])[:-1].tolist()
+    assert Counter((r.doc_id, r.start) for r in idstore.read(spark, folder).collect()) == Counter((r["doc_id"], r["start"]) for r in stored)
+    chunk = sorted((tmp_path / "store" / "once" / "kind=chunk").glob("part-*.parquet"))[0]
+    t = pq.read_table(chunk)
+    ids = np.frombuffer(b"\1\0\2\0", np.uint8).tobytes()
+    pq.write_table(t.set_column(t.schema.get_field_index("data"), "data", pa.array([b"r" + ids] * t.num_rows, pa.binary())), chunk)
+    (chunk.parent / f".{chunk.name}.crc").unlink()
+    with pytest.raises(Exception, match="do not make up"):
+        idstore.read(spark, folder).collect()
 
 
 def test_cuts_follow_content():
