@@ -38,7 +38,7 @@ PIECE_BYTES = 8 << 20
 #: The most counted grams that every worker gets, about, and at most twice as many: four megabytes.
 HOT = 1 << 18
 #: Bytes of a text that are worked on at a time, and of a stored part of a piece.
-STEP_BYTES, PART_BYTES = 1 << 20, 1 << 18
+STEP_BYTES, PART_BYTES = 1 << 18, 1 << 18
 BROADCAST_BYTES = 8 << 20
 #: Kinds of stored rows.
 _TEXTS, _GRAMS, _COUNTS = 0, 1, 2
@@ -80,15 +80,24 @@ def _grown(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int64))
 
 
+def _folded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its last column as the model sees it."""
+    data, offsets = flat(batch.column(4))
+    text = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_FOLD[data])])
+    return pa.RecordBatch.from_arrays([*batch.columns[:4], text], names=batch.schema.names)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """piece, kind, seq, data, more of (doc, lang, trusted, counted, bytes), saved: a piece's rows, its distinct grams,
     and grams with their counts in those rows that are counted."""
 
     def run(batches):
+        zstd = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in pieces(batches, "bytes", PIECE_BYTES):
+            batch = _folded(batch)
             piece = uuid.uuid4().int >> 65  # this attempt's own; only one attempt's rows are committed
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=zstd) as out:
                 out.write_batch(batch)
             every, few = _counted(batch), batch.filter(batch.column(3))
             counted = _counted(few) if few.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -159,17 +168,18 @@ def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
 
 
 def log_probabilities(wanted: DataFrame, every: DataFrame, weights: DataFrame, order: int = ORDER) -> DataFrame:
-    """g, l for the distinct grams of ``wanted``: of the longest end that was counted, times the weights of the longer contexts."""
-    todo, parts = wanted.select("g").distinct().withColumn("l", F.lit(0.0)), None
+    """g, l for the distinct grams of ``wanted``: of the longest end that was counted, times the weights of the longer contexts.
+    Tables of up to two bytes, 65,536 rows at most, are broadcast; an end of three bytes has as many grams at most."""
+    few = lambda df, size: F.broadcast(df) if size < 3 else df
+    todo = wanted.select("g").distinct().withColumn("l", F.lit(0.0)).withColumn("done", F.lit(False))
     for n in range(order, 0, -1):
         s = F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
         p = every.where(F.col("n") == n).select(F.col("g").alias("s"), F.log("p").alias("lp"))
         w = weights.where(F.col("n") == n).select(F.col("h").alias("hh"), F.log("w").alias("lw"))
-        both = saved(todo.withColumn("s", s).join(p, "s", "left").withColumn("hh", F.shiftright("s", 8)).join(w, "hh", "left"), "kn-todo")
-        done = both.where("lp is not null").select("g", (F.col("l") + F.col("lp")).alias("l"))
-        parts = done if parts is None else parts.unionByName(done)
-        todo = both.where("lp is null").select("g", (F.col("l") + F.coalesce("lw", F.lit(0.0))).alias("l"))
-    return parts.unionByName(todo.select("g", (F.col("l") + float(np.log(1 / 256))).alias("l")))
+        both = todo.withColumn("s", s).join(few(p, n), "s", "left").withColumn("hh", F.shiftright("s", 8)).join(few(w, n - 1), "hh", "left")
+        more = F.when(F.col("done"), 0.0).otherwise(F.coalesce("lp", "lw", F.lit(0.0)))
+        todo = both.select("g", (F.col("l") + more).alias("l"), (F.col("done") | F.col("lp").isNotNull()).alias("done"))
+    return todo.select("g", (F.col("l") + F.when(F.col("done"), 0.0).otherwise(float(np.log(1 / 256)))).alias("l"))
 
 
 def most_counted(every: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +203,8 @@ def _piece_scores(g: np.ndarray, l: np.ndarray, data: bytes) -> pa.RecordBatch:
     for step in pieces([rows], "bytes", STEP_BYTES):
         text, offsets = flat(step.column(4))
         size = np.diff(offsets)
-        found = l[np.searchsorted(g, grams(text, offsets))] if len(text) else np.zeros(0)
-        total = np.append(0.0, np.cumsum(found))
+        here, inverse = np.unique(grams(text, offsets), return_inverse=True)
+        total = np.append(0.0, np.cumsum(l[np.searchsorted(g, here)][inverse])) if len(text) else np.zeros(1)
         mean = -(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(1, size)
         out.append(pa.array(np.exp(mean), pa.float64(), mask=size == 0))
     perplexity = pa.chunked_array(out, pa.float64()).combine_chunks()
@@ -206,9 +216,18 @@ def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> Dat
     hot = rows.sparkSession.sparkContext.broadcast(most_counted(model[0]))
     wanted = _wanted(rows, hot)
     known = wanted.join(log_probabilities(wanted, *model), "g")
-    none = lambda t: F.lit(None).cast(t)
-    sent = known.select("piece", F.lit(0).alias("seq"), "g", "l", none("binary").alias("data"))
-    sent = sent.unionByName(rows.where(F.col("kind") == _TEXTS).select("piece", (F.col("seq") + 1).alias("seq"), none("bigint").alias("g"), none("double").alias("l"), "data"))
+
+    def packs(batches):
+        for batch in batches:
+            piece, g, l = (c.to_numpy() for c in batch.columns)
+            rank = np.argsort(piece, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(piece[rank]) != 0)) if len(rank) else []
+            runs = np.split(rank, first[1:]) if len(rank) else []
+            columns = [pa.array(piece[rank[first]]) if len(rank) else pa.array([], pa.int64()), pa.array([0] * len(runs), pa.int32()), pa.array([g[x].tobytes() + l[x].tobytes() for x in runs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "seq", "data"])
+
+    sent = known.select("piece", "g", "l").mapInArrow(packs, "piece bigint, seq int, data binary")
+    sent = sent.unionByName(rows.where(F.col("kind") == _TEXTS).select("piece", (F.col("seq") + 1).alias("seq"), "data"))
 
     def run(batches):
         at, g, l, parts = None, [], [], []
@@ -226,15 +245,17 @@ def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], kind: str) -> Dat
                     yield done()
                     g, l, parts = [], [], []
                 at, run = piece[a], batch.slice(a, b - a)
-                numbers = int(np.searchsorted(run.column(1).to_numpy(), 1))
-                g.append(run.column(2).slice(0, numbers).to_numpy(zero_copy_only=False).astype(np.int64))
-                l.append(run.column(3).slice(0, numbers).to_numpy(zero_copy_only=False).astype(np.float64))
-                parts += run.column(4).slice(numbers).to_pylist()
+                for seq, data in zip(run.column(1).to_pylist(), run.column(2).to_pylist(), strict=True):
+                    if seq:
+                        parts.append(data)
+                    else:
+                        g.append(np.frombuffer(data, np.int64, len(data) // 16))
+                        l.append(np.frombuffer(data, np.float64, offset=len(data) // 2))
         if parts:
             yield done()
 
     dealt = sent.repartition("piece").sortWithinPartitions("piece", "seq")
-    return dealt.select("piece", "seq", "g", "l", "data").mapInArrow(run, f"doc {kind}, lang string, trusted boolean, counted boolean, perplexity double")
+    return dealt.select("piece", "seq", "data").mapInArrow(run, f"doc {kind}, lang string, trusted boolean, counted boolean, perplexity double")
 
 
 @tidy
