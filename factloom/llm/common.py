@@ -95,8 +95,8 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``limit`` bytes of ``column`` each; at least one row."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``limit`` bytes of ``column`` each, and ``rows`` rows at most; at least one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -104,7 +104,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), batch.num_rows, at + rows if rows else batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -7,8 +7,8 @@ the second codeword is flagged as ambiguous.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any labelled
 row every document is ``und``; with one learned language every document with a letter gets it with
-score 1. Empty tables give empty results, repeated rows are predicted alike, other columns of the
-input are ignored.
+score 1. Null ids are not held out. Empty tables give empty results, repeated rows are predicted alike
+and learned from once, ids can have any type, other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ DIMS = 4096
 TRAIN_PER_LANGUAGE = 300
 #: A gap between the two least losses under this is ambiguous.
 AMBIGUOUS_GAP = 0.08
+#: ``keep_identified`` lets an ambiguous document go if its score is under this.
+LEAST_SCORE = 0.4
+#: Documents whose features a worker holds at a time: DIMS numbers each.
+STEP_ROWS = 512
 
 _BYTES = "__langid_bytes"
 _FOLD = np.full(256, 32, np.uint8)
@@ -134,18 +138,19 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
-    """Fit on about ``per_language`` documents of each language, chosen by the hash of their key; features are made on the executors."""
+    """Fit on about ``per_language`` documents of each language, chosen by the hash of key and text; features are made on the executors."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}  # a row for each language
     if not counts:
         return None
     languages = sorted(counts)
     rate = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / counts[x]))])
-    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(point < F.element_at(rate, F.col(lang))).select(F.col(lang).alias("lang"), F.lower(F.col(text)).cast("binary").alias("bytes"))
+    chosen = chosen.distinct()  # equal rows are chosen together
 
     def featurize(batches):
-        for batch in pieces(batches, "bytes"):
+        for batch in pieces(batches, "bytes", rows=STEP_ROWS):
             x = features(*flat(batch.column(1))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -174,7 +179,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", columns: lis
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
-        for batch in pieces(batches, _BYTES):
+        for batch in pieces(batches, _BYTES, rows=STEP_ROWS):
             at = len(columns)
             best, score, gap, differ = decode(m, features(*flat(batch.column(at))))
             has = batch.column(at + 1).to_numpy(zero_copy_only=False).astype(bool)
@@ -190,7 +195,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", columns: lis
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def identify(df: DataFrame) -> DataFrame:
@@ -200,9 +205,9 @@ def identify(df: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "bit_errors")
 
 
-def keep_identified(df: DataFrame) -> DataFrame:
+def keep_identified(df: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Documents whose language is known: those without a letter, or that no codeword fits clearly, go."""
     model = train(df)
     lang, score, ambiguous, _ = own = tuple(f"__langid_{n}" for n in RESULTS)  # columns of these plain names may be there
     seen = predict(df, model, results=own)
-    return seen.where((F.col(lang) != "und") & ~(F.col(ambiguous) & (F.col(score) < 0.4))).select(*df.columns)
+    return seen.where((F.col(lang) != "und") & ~(F.col(ambiguous) & (F.col(score) < least))).select(*df.columns)
