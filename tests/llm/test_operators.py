@@ -46,6 +46,24 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in langid.identify(df.where("doc_id >= 1000 and lang is null")).collect()} == {"und"}
 
 
+def test_language_of_odd_ids(spark, docs):
+    rows = [(None, "ka to mi " * 9, "aa")] * 40 + [(i, "schu gr en " * 9, "bb") for i in range(40)] + [(None, "schu gr en gr", None), (7, "ka mi ka", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = langid.identify(df).collect()
+    assert Counter((r.doc_id, r.held_out) for r in got) == Counter((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
+    assert {(r.doc_id, r.lang_pred) for r in got if r.doc_id in (None, 3, 7)} == {(None, "aa"), (None, "bb"), (3, "bb"), (7, "aa"), (7, "bb")}
+    many = spark.createDataFrame([(i, "ka to" if i % 2 else "schu") for i in range(3000)], "doc_id long, text string").coalesce(1)  # more than a step's rows
+    model = langid.train(df)
+    assert {(r.doc_id % 2, r.lang_pred) for r in langid.predict(many, model).collect()} == {(0, "bb"), (1, "aa")}
+    assert langid.identify(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).count() == len(rows)
+
+
+def test_held_out_accuracy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 5, 9, 40):
         m = langid.codewords(k)
@@ -166,6 +184,45 @@ def test_shards(spark, docs, nothing, texts):
     assert sharding.assign(nothing).collect() == []
 
 
+def check_shards(rows, got, shards):
+    """The contract on every row, recomputed: sizes, counts one apart, gapless slots, links and cuts by text."""
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    counts = Counter(r.shard for r in got)
+    assert not got or max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+    for s, n in counts.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    groups = Counter(t for _, t in rows if t is not None)
+    crc = {zlib.crc32(t.encode()): t for t in groups}
+    here = Counter((r.text_crc32, r.shard) for r in got)
+    for r in got:
+        n = groups[crc[r.text_crc32]] if r.text_crc32 in crc and not (r.size == 16 and r.linked == 1) else 1
+        assert r.linked == n and r.cut == (n - here[r.text_crc32, r.shard] if n > 1 else 0)
+    return sum(r.cut for r in got)
+
+
+def least_cut(rows, shards):
+    """Copies that cannot all stand together even alone: groups larger than a shard."""
+    capacity = len(rows) // shards + 1
+    return sum(n * n - (n // capacity) * capacity**2 - (n % capacity) ** 2 for n in Counter(t for _, t in rows if t is not None).values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shards_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, f"text {i}") for i in range(200)] + [(1000 + i, f"c{i % rng.choice([5, 7])}") for i in range(60)] + [(2000 + i, "third") for i in range(100)] + [(None, "n"), (None, "n"), (None, None), (5, "text 5"), (9, None), (10, ""), (11, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, shard int, size string").repartition(4)
+    cut = check_shards(rows, sharding.assign(df, shards=9).collect(), 9)
+    homes = {i: n % 9 for n, (i, _) in enumerate(rows)}  # dealt in turn: what links would be cut
+    dealt = Counter((t, n % 9) for n, (_, t) in enumerate(rows) if t is not None)
+    before = sum(n * n for n in Counter(t for _, t in rows if t is not None).values()) - sum(n * n for n in dealt.values())
+    assert homes and cut <= least_cut(rows, 9) + 0.15 * before
+    few = sharding.assign(df.limit(3), shards=9).collect()
+    assert len(few) == 3 and len({r.shard for r in few}) == 3
+    words_ = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sharding.assign(words_, shards=9).count() == len(rows)
+
+
 # ---- 4 decontamination
 
 
