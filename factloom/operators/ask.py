@@ -1,14 +1,15 @@
-"""Questions: slots, route, and an answer by figure, series or passages. One string is parsed on the driver; the data work is the operators'."""
+"""Questions: what they name, the kind of answer, and an answer by figure, series or passages."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import names, periods, text
 from ..scope import Scope
+from ..shared import saved
 from . import facts as fact_ops
 from . import resolve, search
 
@@ -19,46 +20,33 @@ PERIODS = (
 )
 
 
-@dataclass(frozen=True)
-class Slots:
-    entity: str | None
-    metric: str | None
-    period: periods.Period | None
-
-
-def slots(question: str) -> Slots:
-    plain = lambda s: " " + " ".join(re.findall("[a-z0-9]+", s.lower())) + " "
-    forms = sorted(((plain(f), e.entity_id) for e in names.ENTITIES for f in (e.code, e.name, *e.aliases)), key=lambda x: -len(x[0]))
-    entity = next((i for f, i in forms if f in plain(question)), None)
-    found = [p for pattern in PERIODS for m in re.finditer(pattern, question, re.I) if (p := periods.attempt(m[0]))]
-    period = next((p for p in found if p.fiscal_year), found[0] if found else None)
-    return Slots(entity, names.metric(question), period)
-
-
-def route(question: str, s: Slots | None = None) -> str:
-    """The same ladder as ``text.intent``, for one question."""
-    s = s or slots(question)
-    pattern = lambda p: re.search(p, question.strip())
-    if pattern(text.DRAFT):
-        return "draft"
-    if pattern(text.NARRATIVE):
-        return "narrative"
-    if s.entity and s.metric and s.period:
-        return "exact_figure"
-    return "comparison" if s.metric and (pattern(text.COMPARISON) or not s.period) else "discovery"
+def slots(questions: DataFrame, question: str = "question") -> DataFrame:
+    """``questions`` with entity, metric, period (label) and kind of answer. Every question is read by columns; the periods
+    that they may name are read once for each distinct string."""
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
+    forms = {f" {' '.join(re.findall('[a-z0-9]+', form.lower()))} ": e.entity_id for e in names.ENTITIES for form in (e.code, e.name, *e.aliases)}
+    longest = sorted(forms, key=len, reverse=True)
+    asked = questions.withColumn("_q", F.monotonically_increasing_id()).withColumn("_words", spaced(F.col(question)))
+    asked = asked.withColumn("entity", F.coalesce(*[F.when(F.col("_words").contains(f), forms[f]) for f in longest]))
+    asked = saved(asked.withColumn("metric", names.metric(F.col(question))).drop("_words"), "questions")
+    mentions = F.concat(*[F.regexp_extract_all(F.lower(question), F.lit(p), F.lit(0)) for p in PERIODS])
+    said = asked.select("_q", F.posexplode(mentions).alias("at", "raw"))
+    read = said.join(periods.lookup(said, "raw").where("kind is not null"), "raw")
+    first = read.groupBy("_q").agg(F.min_by("label", F.struct(F.col("fiscal_year").isNull(), "at")).alias("period"))
+    out = asked.join(first, "_q", "left").drop("_q")
+    return out.withColumn("kind", text.intent(F.col(question), F.col("entity"), F.col("metric"), F.col("period")))
 
 
 def answer(spark: SparkSession, question: str, facts: DataFrame, evidence: DataFrame, scope: Scope) -> tuple[str, DataFrame]:
     """The kind of answer and its rows; narrative and draft questions get the passages that prose would stand on."""
-    s = slots(question)
-    kind = route(question, s)
-    if kind == "exact_figure":
-        request = spark.createDataFrame([(s.entity, s.metric, s.period.label)], "entity_id string, metric string, period_label string")
-        return kind, resolve.resolve(request, facts, scope)
-    if kind == "comparison":
+    s = slots(spark.createDataFrame([(question,)], "question string")).first()  # one question
+    if s.kind == "exact_figure":
+        request = spark.createDataFrame([(s.entity, s.metric, s.period)], "entity_id string, metric string, period_label string")
+        return s.kind, resolve.resolve(request, facts, scope)
+    if s.kind == "comparison":
         rows = fact_ops.series(facts, s.metric, scope)
-        return kind, rows if s.entity is None else rows.where(rows.entity_id == s.entity)
-    return kind, search.search(evidence, question, limit=10 if kind == "discovery" else 6)
+        return s.kind, rows if s.entity is None else rows.where(rows.entity_id == s.entity)
+    return s.kind, search.search(evidence, question, limit=10 if s.kind == "discovery" else 6)
 
 
 def suggestions(facts: DataFrame, scope: Scope, limit: int = 4) -> list[str]:

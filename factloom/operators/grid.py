@@ -88,13 +88,12 @@ def extract(evidence: DataFrame, page_lines: DataFrame | None = None, refused: D
     rows = rows.withColumn("entity", F.coalesce("entity_id", F.when(F.col("r_metric").isNotNull(), F.col("publisher_entity_id")))).withColumn("raw_unit", F.coalesce("c_unit", "r_unit", "t_unit"))
     rows = saved(rows, "grid-joined")
     read = units.lookup(rows, "raw_unit").select(F.col("raw").alias("raw_unit"), "unit", "dimension", "factor", "ambiguous")
-    kinds = F.create_map(*[F.lit(x) for m in names.METRICS for x in (m.key, m.dimension)])
     rows = rows.join(read, "raw_unit", "left")
     total = F.lower(F.trim("row_label")).isin(*TOTALS)
     reason = (
         F.when(total, "total_row").when(F.col("number").isNull() & is_null_token(F.col("text")), "null_cell").when(F.col("number").isNull(), "not_a_number")
         .when(F.coalesce("text_layer_recognised", F.lit(False)), "unverifiable_ocr_layer").when(F.col("metric").isNull(), "no_metric").when(F.col("period").isNull(), "no_period")
-        .when(F.col("entity").isNull(), "no_entity").when(F.col("raw_unit").isNull(), "no_unit").when(F.col("unit").isNull(), "ambiguous_unit").when(F.element_at(kinds, F.col("metric")) != F.col("dimension"), "wrong_dimension")
+        .when(F.col("entity").isNull(), "no_entity").when(F.col("raw_unit").isNull(), "no_unit").when(F.col("unit").isNull(), "ambiguous_unit").when(names.dimension(F.col("metric")) != F.col("dimension"), "wrong_dimension")
     )
     rows = saved(rows.withColumn("reason", reason), "grid-judged")
     # a total row is skipped once, not once a cell

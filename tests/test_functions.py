@@ -51,21 +51,40 @@ def test_comparable():
     assert not any(periods.comparable(p(a), p(b))[0] for a, b in (("2024", "FY2024-25"), ("Q1 2024-25", "FY2024-25"), ("as on 1.4.2024", "as on 1.4.2025")))
 
 
-@pytest.mark.parametrize(("raw", "key"), [("S.E.C.L.", "secl"), ("South Eastern Coalfields Ltd.", "secl"), ("MCL", "mcl"), ("Bharat Coking Coal", "bccl"), ("ccL", "ccl"), ("NLC India Limited", "nlcil"), ("Central Mine Planning & Design Institute", "cmpdi")])
-def test_entities(raw, key):
-    assert names.entity(raw) == (key, 1.0)
+def test_runs_of_months():
+    runs, rest = periods.month_runs("APR'23 - AUG'23 and Aug 2023, then apr-22 to sep-22")
+    assert [(a.label, b.label) for a, b in runs] == [("Apr 2023", "Aug 2023"), ("Apr 2022", "Sep 2022")] and periods.attempt(rest).label == "Aug 2023"
+    assert periods.month_runs("no run in Aug 2023") == ([], "no run in aug 2023")
 
 
-def test_fuzzy_entities():
-    key, score = names.entity("Mahanadi Coalfeilds Limited")
-    assert key == "mcl" and 0.87 <= score < 1
-    assert names.entity("Atlantis Coal Corp") is None and names.entity("") is None
-    assert names.in_group("secl") and not names.in_group("sccl")
+def named(spark, raws, what="entity"):
+    """Readings of names, by name."""
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    return {r.raw: (r.id, r.score) for r in names.lookup(df, "raw", what).collect()}
 
 
-@pytest.mark.parametrize(("raw", "key"), [("Production (Million Tonnes)", "coal_production"), ("Total off-take", None), ("Coal despatch during the year", "coal_offtake"), ("OB Removal", "overburden_removal"), ("production cost", None), ("Gross Sales (Rs crore)", "revenue"), ("", None)])
-def test_metrics(raw, key):
-    assert names.metric(raw) == key
+def test_entities(spark):
+    # every spelling of every organisation, also in capitals, without spaces and with a legal form
+    want = {form: e.entity_id for e in names.ENTITIES for form in (e.code, e.name, *e.aliases)}
+    want |= {form.upper(): i for form, i in want.items()} | {form.replace(" ", ""): i for form, i in want.items() if not {"&", *names.LEGAL} & set(form.lower().split())} | {f"The {form} Pvt. Ltd.": i for form, i in want.items()}
+    want |= {"S.E.C.L.": "secl", "n-l-c india": "nlcil"}
+    assert named(spark, want) == {form: (i, 1.0) for form, i in want.items()}
+
+
+def test_fuzzy_entities(spark):
+    got = named(spark, ["Mahanadi Coalfeilds Limited", "Atlantis Coal Corp", "", "Ltd", "bharat cokng coal"])
+    assert got["Mahanadi Coalfeilds Limited"][0] == "mcl" and 0.87 <= got["Mahanadi Coalfeilds Limited"][1] < 1 and got["bharat cokng coal"][0] == "bccl"
+    assert got["Atlantis Coal Corp"] == got[""] == got["Ltd"] == (None, None)
+    rows = column(spark, ["secl", "cil", "sccl", "x"], names.group_of)
+    assert rows == ["cil", "cil", None, None] and column(spark, ["secl", "moc"], names.code_of) == ["SECL", "MoC"]
+
+
+def test_metrics(spark):
+    plain = {alias: next(n.key for n in names.METRICS if alias in n.aliases) for m in names.METRICS for alias in m.aliases if alias.replace(" ", "").isalnum()}
+    want = plain | {f"  {alias.upper()} (Million Tonnes) ": key for alias, key in plain.items()} | {f"Total {alias} during the year": key for alias, key in plain.items()}
+    want |= {"Total off-take": None, "production cost": None, "Gross Sales (Rs crore)": "revenue", "": None, "(stock)": None, "Réserves géologiques": None, "Côal stóck": "coal_stock", "share of geological reserves left": "geological_reserves"}
+    assert {r: i for r, (i, _) in named(spark, want, "metric").items()} == want
+    assert column(spark, ["coal_stock", "revenue"], names.dimension) == ["mass", "money"]
 
 
 def test_lookups(spark):
