@@ -92,7 +92,7 @@ def packed(df: DataFrame) -> DataFrame:
     and grams with their counts in those rows that are counted."""
 
     def run(batches):
-        zstd = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        zstd = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=12))
         for batch in pieces(batches, "bytes", PIECE_BYTES):
             batch = _folded(batch)
             piece = uuid.uuid4().int >> 65  # this attempt's own; only one attempt's rows are committed
