@@ -29,13 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
-def saved(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

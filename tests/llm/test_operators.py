@@ -562,12 +562,21 @@ def test_audio(docs, nothing, texts):
     stored = audio.saved(audio.store(docs), "media")
     for r in stored.collect():
         tag, rate, payload = audio.unwav(bytes(r.media))
-        kind, to, sound = audio.unwav(bytes(r.pcm))
+        kind, to, sound = audio.unwav(audio.wav(audio.lengthen(bytes(r.pcm)).tobytes(), 1, audio.RESAMPLED, 16))
         flat = [int(audio.MULAW[x]) for x in payload]
         want = [y for a, b in zip(flat, [*flat[1:], flat[-1]], strict=True) for y in (a, (a + b) >> 1)]
         assert (tag, rate, kind, to) == (7, 8000, 1, 16000) and np.frombuffer(sound, "<i2").tolist() == want
     with pytest.raises(Exception, match="not the sound"):
-        audio.read(stored.withColumn("pcm", F.lit(bytearray(audio.wav(b"", 1, 16000, 16))))).collect()
+        audio.read(stored.withColumn("pcm", F.lit(bytearray(audio.shorten(np.zeros(0, np.int16)))))).collect()
+
+
+def test_shortened_sound():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 3, 501):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert audio.lengthen(audio.shorten(x)).tolist() == x.tolist()
+    smooth = audio.resample(rng.integers(-30000, 30000, 99).astype(np.int16), 8000, 16000)
+    assert not np.frombuffer(audio.shorten(smooth), "<i2", 99, 4 + 198).any()
 
 
 def brute_feature(payload):
