@@ -7,7 +7,7 @@ and the root of the Merkle tree over its chunk hashes. Reading back opens every
 name, joins recipes to chunk checks, checks Merkle roots, and composes each document's CRC-32 from those of
 its chunks, so that no id moves again.
 
-Files, Parquet below the store's folder: ``kind=chunk`` (key, data: zlib or raw ids, copies) and ``manifest``
+Files, Parquet below the store's folder: ``kind=chunk`` (key, n, data: zstd or raw ids, copies) and ``manifest``
 (doc_id, start, n_tokens, root, recipe), whose files, read in the order of their names, hold the documents in
 ascending doc_id order. Reading raises an error if a chunk, a recipe or a Merkle root does not fit.
 
@@ -172,7 +172,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", key:
                     recipe.append(name + struct.pack("<I", end - last))
                     if name not in held:
                         held.add(name)
-                        small = zlib.compress(raw, 1)
+                        small = pa.compress(raw, codec="zstd", asbytes=True)
                         names.append(name), data.append(b"z" + small if len(small) < len(raw) else b"r" + raw)
                         kinds.append("chunk"), docs.append(None), sizes.append(end - last)
                     last = end
@@ -248,13 +248,13 @@ def chunk_checks(df: DataFrame, wide: bool) -> DataFrame:
     def run(batches):
         for batch in pieces(batches, "data"):
             ok, crcs = [], []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = zlib.decompress(data[1:]) if data[:1] == b"z" else data[1:]
+            for name, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = pa.decompress(data[1:], decompressed_size=n * (4 if wide else 2), codec="zstd", asbytes=True) if data[:1] == b"z" else data[1:]
                 ok.append(hashlib.blake2b(raw, digest_size=16).digest() == name)
                 crcs.append(zlib.crc32(raw if wide else np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_()), pa.array(crcs, pa.int64())], names=["key", "ok", "crc"])
 
-    return df.select("key", "data").mapInArrow(run, "key binary, ok boolean, crc bigint")
+    return df.select("key", "n", "data").mapInArrow(run, "key binary, ok boolean, crc bigint")
 
 
 def read(spark, folder: str, wide: bool = False) -> DataFrame:
