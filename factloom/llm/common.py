@@ -13,14 +13,26 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time; a longer document is handled alone.
 CHUNK_BYTES = 1 << 21
+#: Bytes of a batch on its way to a Python worker.
+ARROW_BYTES = 8 << 20
 #: Folders that the running operators have written, a list for each of them.
 _open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, for this session, unless they are smaller already: the JVM holds a batch
+    while it grows, and so does the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -35,7 +35,7 @@ from .common import exists, pieces, ragged, remove, shared_folder, whole_number
 
 #: Ids that the rolling hash sees; mean and most ids of a chunk.
 WINDOW, MEAN, MOST = 16, 512, 4096
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 # Fixed value: the pattern of the public lower-casing word vocabulary, for lower-case Latin texts.
 LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^\s{LATIN_LETTERS}{LATIN_NUMBERS}]+")
