@@ -44,13 +44,52 @@ def indian(value: Column, digits: int = 2) -> Column:
     return F.when(value.isNull(), None).when((value < 0) & rounded.rlike("[1-9]"), F.concat(F.lit("-"), out)).otherwise(out)
 
 
+def _number(value: Column, digits: int) -> Column:
+    """Grouped, with ``digits`` decimals at most."""
+    shown = indian(value, digits)
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "") if digits else shown
+
+
 def tonnes(value: Column) -> Column:
+    """In the unit that the sector prints: MT from a million on, lakh t from a hundred thousand on."""
     size = F.abs(value)
-    return F.when(size >= 1e6, F.concat(F.round(value / 1e6, 2).cast("string"), F.lit(" MT"))).when(size >= 1e5, F.concat(F.round(value / 1e5, 2).cast("string"), F.lit(" lakh t"))).otherwise(F.concat(F.round(value, 2).cast("string"), F.lit(" t")))
+    said = lambda scale, digits, unit: F.concat(_number(value / scale, digits), F.lit(f" {unit}"))
+    return F.when(size >= 1e6, said(1e6, 2, "MT")).when(size >= 1e5, said(1e5, 2, "lakh t")).otherwise(said(1.0, 2, "t"))
+
+
+def tick(value: Column) -> Column:
+    """A short label on an axis, without its unit."""
+    size, out = F.abs(value), None
+    for least, digits, unit in ((1e7, 1, " cr"), (1e6, 0, "M"), (1e5, 0, " L"), (1e3, 0, "k")):
+        label = F.concat(_number(value / least, digits), F.lit(unit))
+        out = F.when(size >= least, label) if out is None else out.when(size >= least, label)
+    return out.otherwise(_number(value, 0))
+
+
+def shown(value: Column, unit: Column) -> Column:
+    """A value in whichever unit it is stored in."""
+    money = lambda scale, name: F.concat(F.lit("\u20b9"), _number(value / scale, 2), F.lit(name))
+    rupees = F.when(F.abs(value) >= 1e7, money(1e7, " crore")).when(F.abs(value) >= 1e5, money(1e5, " lakh")).otherwise(money(1.0, ""))
+    return (
+        F.when(unit == "t", tonnes(value)).when(unit == "t/yr", F.concat(tonnes(value), F.lit("/yr"))).when(unit == "fraction", F.concat(_number(value * 100, 2), F.lit("%")))
+        .when(unit == "inr", rupees).otherwise(F.concat(_number(value, 2), F.lit(" "), unit))
+    )
+
+
+def percent(fraction: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_number(fraction * 100, digits).cast("string"), F.lit("%"))
 
 
 def bytes_size(n: Column) -> Column:
-    return F.when(n >= 1 << 30, F.concat(F.round(n / (1 << 30), 1).cast("string"), F.lit(" GB"))).when(n >= 1 << 20, F.concat(F.round(n / (1 << 20), 1).cast("string"), F.lit(" MB"))).when(n >= 1 << 10, F.concat(F.round(n / (1 << 10), 1).cast("string"), F.lit(" kB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    whole = F.concat(F.round(n / 1024, 0).cast("long").cast("string"), F.lit(" KB"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, whole).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MB")))
+
+
+def duration(seconds: Column) -> Column:
+    """A span in words: 47 s, 4 min, 2 h, 3 d."""
+    s = F.greatest(F.lit(0.0), F.round(seconds.cast("double"), 0))
+    said = lambda per, unit: F.concat(F.round(s / per, 0).cast("long").cast("string"), F.lit(f" {unit}"))
+    return F.when(s < 60, said(1, "s")).when(s < 3600, said(60, "min")).when(s < 86400, said(3600, "h")).otherwise(said(86400, "d"))
 
 
 def humanize(key: Column) -> Column:

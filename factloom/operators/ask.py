@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,42 @@ def answer(spark: SparkSession, question: str, facts: DataFrame, evidence: DataF
     return s.kind, search.search(evidence, question, limit=10 if s.kind == "discovery" else 6)
 
 
-def suggestions(facts: DataFrame, scope: Scope, limit: int = 4) -> list[str]:
-    """Questions that the corpus can answer, from a few rows of top-k reads."""
-    out = [f"What was {r.metric} of {r.entity_id} in {r.period_label}?" for r in fact_ops.answerable(facts, scope, limit).collect()]
-    return out + [f"Compare {r.metric} across entities" for r in fact_ops.comparable_metrics(facts, scope).limit(limit).collect()]
+def degrade(spark: SparkSession, question: str, facts: DataFrame, evidence: DataFrame, scope: Scope, model: Callable[[list, list], str] | None = None) -> tuple[str, object]:
+    """A prose answer as far as it can be had: prose whose numbers are supported, else passages, else figures, else out_of_corpus."""
+    s = slots(spark.createDataFrame([(question,)], "question string")).first()  # one question
+    passages = search.search(evidence, question, limit=6)
+    figures = fact_ops.query(facts, scope, entity=s.entity, metric=s.metric, limit=12) if s.entity and s.metric else facts.where(F.lit(False))
+    found, known = passages.collect(), figures.collect()  # 6 and 12 rows at most
+    if model is not None and (found or known):
+        try:
+            prose = model(found, known)
+        except (ConnectionError, TimeoutError):
+            prose = None
+        if prose is not None:
+            said = spark.createDataFrame([(prose, [r.value for r in known], [r.snippet for r in found])], "prose string, figures array<double>, snippets array<string>")
+            named = F.flatten(F.transform("snippets", text.numbers))
+            kept = said.select(text.verified(F.col("prose"), F.concat("figures", F.array_compact(named))).alias("prose")).first()
+            return "prose", kept.prose
+    if found:
+        return "passages", passages
+    return ("figures", figures) if known else ("out_of_corpus", None)
+
+
+def suggestions(facts: DataFrame, scope: Scope, terms: DataFrame | None = None, prose: bool = False, limit: int = 5) -> DataFrame:
+    """place, question, kind: what the corpus can answer, from its most answerable figure, its most comparable metric, and the first of
+    ``terms`` (term, document_count, score); with ``prose``, questions for a model too."""
+    fact_ops.bounded(limit, most=12)
+    label = F.lower(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for m in names.METRICS for x in (m.key, m.label)]), F.col("metric")), F.replace("metric", F.lit("_"), F.lit(" "))))
+    who = F.coalesce(names.code_of(F.col("entity_id")), F.upper("entity_id"))
+    top = fact_ops.answerable(facts, scope, 1).select(F.concat_ws(" ", who, label).alias("what"), "period_label")
+    row = lambda df, place, kind, *words: df.select(F.lit(place).alias("place"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("question"), F.lit(kind).alias("kind"))
+    out = row(top, 1, "exact_figure", F.col("what"), " ", F.col("period_label"))
+    most = fact_ops.comparable_metrics(facts, scope).orderBy(F.desc("entities"), "metric").limit(1)
+    out = out.unionByName(row(most, 2, "comparison", "compare ", label, " across subsidiaries"))
+    if terms is not None:
+        first = terms.orderBy(F.desc("document_count"), F.desc("score"), "term").limit(1)
+        out = out.unionByName(row(first, 3, "discovery", "documents mentioning ", F.col("term")))
+    if prose:
+        out = out.unionByName(row(top, 4, "narrative", "explain ", F.col("what"), " in ", F.col("period_label")))
+        out = out.unionByName(row(top, 5, "draft", "draft a reply to a parliamentary question on ", F.col("what"), " ", F.col("period_label")))
+    return out.orderBy("place").limit(limit)

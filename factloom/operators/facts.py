@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scope import Scope, scoped
@@ -33,7 +33,7 @@ def series(facts: DataFrame, metric: str, scope: Scope, unit: str | None = None)
     rows = scoped(facts, scope).where((F.col("metric") == metric) & (F.col("status") == "validated") & F.col("fiscal_year").isNotNull() & (F.datediff("period_end", "period_start") >= YEAR_DAYS))
     if unit is not None:
         rows = rows.where(F.col("unit") == unit)
-    return rows.groupBy("entity_id", "fiscal_year", "unit").agg(F.max("value").alias("value"), F.count("*").alias("fact_count")).orderBy("fiscal_year", "entity_id")
+    return rows.groupBy("entity_id", "fiscal_year", "unit").agg(F.max("value").alias("value"), F.count("*").alias("fact_count"))
 
 
 def radar(facts: DataFrame, scope: Scope, spread: float = MATERIAL_SPREAD) -> DataFrame:
@@ -61,7 +61,7 @@ def answerable(facts: DataFrame, scope: Scope, limit: int = 12) -> DataFrame:
 
 def comparable_metrics(facts: DataFrame, scope: Scope, minimum: int = 2) -> DataFrame:
     rows = scoped(facts, scope).where(active() & F.col("fiscal_year").isNotNull()).groupBy("metric").agg(F.countDistinct("entity_id").alias("entities"))
-    return rows.where(F.col("entities") >= minimum).orderBy(F.desc("entities"), "metric")
+    return rows.where(F.col("entities") >= minimum)
 
 
 def facets(facts: DataFrame) -> DataFrame:
@@ -70,6 +70,19 @@ def facets(facts: DataFrame) -> DataFrame:
     return facts.where(active()).groupBy("document_id").agg(*lists)
 
 
+def bounded(limit: int, least: int = 1, most: int = 2000) -> int:
+    """A limit that a caller may ask for."""
+    if not least <= limit <= most:
+        raise ValueError(f"limit {limit} is not between {least} and {most}")
+    return limit
+
+
+def point(rows: DataFrame, key: str, value: str, scope: Scope | None = None, owner: str = "entity_id") -> DataFrame:
+    """The row of a key, if the scope may see it."""
+    found = rows.where(F.col(key) == value)
+    return found if scope is None else scoped(found, scope, owner)
+
+
 def query(facts: DataFrame, scope: Scope, entity: str | None = None, metric: str | None = None, fiscal_year: str | None = None, document: str | None = None, status: str | None = None, include_inactive: bool = False, limit: int | None = 200) -> DataFrame:
     rows = scoped(facts, scope)
     for column, value in (("entity_id", entity), ("metric", metric), ("fiscal_year", fiscal_year), ("document_id", document), ("status", status)):
@@ -82,7 +95,7 @@ def query(facts: DataFrame, scope: Scope, entity: str | None = None, metric: str
 
 
 def by_ids(facts: DataFrame, ids: list[str], scope: Scope) -> DataFrame:
-    return scoped(facts, scope).where(F.col("fact_id").isin(ids)).orderBy("value", "fact_id")
+    return scoped(facts, scope).where(F.col("fact_id").isin(ids))
 
 
 def document_totals(documents: DataFrame) -> DataFrame:
@@ -107,6 +120,23 @@ def conflict_members(groups: DataFrame, facts: DataFrame) -> DataFrame:
     return members.join(facts.select("fact_id", "value", "document_id", "status"), "fact_id")
 
 
+def open_conflicts(conflicts: DataFrame, facts: DataFrame, scope: Scope) -> DataFrame:
+    """Conflicts in scope that nobody has resolved, with the width they are ranked by (of the high end's size; null for 0) and
+    their members by value. The first ones are ``orderBy(desc("width"), desc("detected_at"))`` under a limit."""
+    mine = scoped(conflicts, scope).where("resolved_fact_id is null")
+    width = (F.col("value_high") - F.col("value_low")) / F.nullif(F.abs("value_high"), F.lit(0.0))
+    members = mine.select("conflict_id", F.explode("fact_ids").alias("fact_id")).join(scoped(facts, scope).select("fact_id", "value", "status", "document_id"), "fact_id")
+    listed = members.groupBy("conflict_id").agg(F.array_sort(F.collect_list(F.struct("value", "fact_id", "status", "document_id"))).alias("members"))
+    return mine.withColumn("width", width).join(listed, "conflict_id", "left")
+
+
+def years(points: DataFrame, year: str | None = None) -> DataFrame:
+    """What a chart of a series shows: the points of one year, the latest by default, each with its rank by value."""
+    latest = points.agg(F.max("fiscal_year").alias("_latest"))  # one row
+    shown = points.join(F.broadcast(latest), F.col("fiscal_year") == (F.col("_latest") if year is None else F.lit(year))).drop("_latest")
+    return shown.withColumn("position", F.row_number().over(Window.partitionBy("fiscal_year").orderBy("value", "entity_id", "unit")))
+
+
 def dumbbell(groups: DataFrame, facts: DataFrame) -> DataFrame:
     """Where a member stands between the conflict's ends, from 6 to 94."""
     keys = ["entity_id", "metric", "unit", "period_label"]

@@ -8,7 +8,7 @@ from joins with its row, its column and its table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, periods, units
@@ -28,6 +28,10 @@ def cells(evidence: DataFrame) -> DataFrame:
     return evidence.where(F.col("row_idx").isNotNull() & F.col("col_idx").isNotNull()).withColumn("table_id", F.coalesce("table_id", F.lit("t?"))).withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumn("number", parse_number(F.col("text")))
 
 
+def parse_confidence(method: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), method), F.lit(0.5))
+
+
 def _mostly_words(filled, numeric):
     return numeric <= F.floor(filled / 2)
 
@@ -106,7 +110,7 @@ def extract(evidence: DataFrame, page_lines: DataFrame | None = None, refused: D
         (F.col("number") * F.col("factor")).alias("value"), "unit", "dimension", F.col("number").alias("raw_value"), "raw_unit",
         F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), F.col("period.label").alias("period_label"), F.col("period.fiscal_year").alias("fiscal_year"),
         "document_id", "table_id", "page", F.concat(F.lit("r"), "row_idx", F.lit("c"), "col_idx").alias("cell_ref"), F.substring(F.concat_ws(" | ", "row_label", "text"), 1, 1000).alias("snippet"), "extraction_method",
-        F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("extraction_method")), F.lit(0.5)).alias("conf_parse"),
+        parse_confidence(F.col("extraction_method")).alias("conf_parse"), F.lit(None).cast("double").alias("conf_ocr"),
         F.col("ambiguous").alias("unit_ambiguous"), F.when(review, "needs_review").otherwise("extracted").alias("status"),
     )
     return facts, skips

@@ -33,9 +33,17 @@ def corpus_summary(entries: DataFrame) -> DataFrame:
     return each.groupBy("company").agg(F.sum("n").alias("documents"), F.sum("b").alias("bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("suffix", "n")))).alias("suffixes"))
 
 
+def pipeline_health(documents: DataFrame, queue: DataFrame, states: list[str]) -> DataFrame:
+    """One row: documents by state, the queue's reading (one row, see ``jobs.stats``), and what needs someone's attention."""
+    counts = [F.count_if(F.col("state") == s).alias(f"documents_{s}") for s in states]
+    both = documents.agg(*counts).crossJoin(queue)  # rows of one
+    needs = sum((F.col(f"documents_{s}") for s in ("failed", "quarantined") if s in states), F.lit(0)) + F.col("dead") + F.col("failed")
+    return both.withColumn("needs_attention", needs)
+
+
 def skip_report(skips: DataFrame, actionable: list[str], samples: int = 5) -> DataFrame:
-    """``skips``: reason, sample. Counts, a few samples of 120 characters, and whether someone can act on it, most first."""
+    """``skips``: reason, sample. Counts, a few samples of 120 characters, and whether someone can act on it."""
     # the least sample of each of a few hash classes: a bounded list, whatever a reason's count
     part = skips.withColumn("sample", F.substring("sample", 1, 120)).groupBy("reason", F.pmod(F.xxhash64("sample"), F.lit(samples)).alias("_c")).agg(F.count("*").alias("n"), F.min("sample").alias("s"))
     out = part.groupBy("reason").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("s")).alias("samples"))
-    return out.withColumn("actionable", F.col("reason").isin(*actionable)).orderBy(F.desc("n"), "reason")
+    return out.withColumn("actionable", F.col("reason").isin(*actionable))

@@ -16,8 +16,9 @@ def legal(before: str, after: str) -> bool:
 
 
 def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
-    """New jobs whose key is not known yet, finished ones included; one of each key."""
-    return new.dropDuplicates(["idempotency_key"]).join(jobs.select("idempotency_key"), "idempotency_key", "left_anti")
+    """New jobs whose key is not known yet, finished ones included; one of each key, that of the least id."""
+    first = new.groupBy("idempotency_key").agg(F.min_by(F.struct(*[c for c in new.columns if c != "idempotency_key"]), "job_id").alias("_j"))
+    return first.select("_j.*", "idempotency_key").select(*new.columns).join(jobs.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
 def claimable(jobs: DataFrame, now: str, limit: int) -> DataFrame:

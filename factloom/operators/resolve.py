@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import locator
 from ..scope import Scope, scoped
-from .facts import active, radar
+from .facts import MATERIAL_SPREAD, active
 
 
 def resolve(requests: DataFrame, facts: DataFrame, scope: Scope, open_conflicts: DataFrame | None = None) -> DataFrame:
@@ -17,19 +18,26 @@ def resolve(requests: DataFrame, facts: DataFrame, scope: Scope, open_conflicts:
     """
     keys = ["entity_id", "metric", "period_label"]
     rows = scoped(facts, scope).join(requests.select(*keys).distinct(), keys, "left_semi")
-    conflicts = radar(rows, scope) if open_conflicts is None else open_conflicts
-    disputed = conflicts.select(*keys).distinct().withColumn("disputed", F.lit(True))
     live, sure = active(), F.col("status") == "validated"
-    pick = F.struct("period_start", "fact_id")
-    groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("any"), F.count_if(live).alias("live"), F.countDistinct(F.when(live, F.col("unit"))).alias("units"), F.bool_or(F.when(live, F.col("unit_ambiguous"))).alias("ambiguous"),
-        F.count_if(sure).alias("validated"), F.countDistinct(F.when(sure, F.round("value", 6))).alias("values"),
-        F.min_by(F.struct("fact_id", "value", "unit", "document_id"), F.when(sure, pick)).alias("f"),
+    pick = F.when(sure, F.struct("period_start", "fact_id"))
+    of = lambda test, c: F.when(test, c)
+    # by unit first, as conflicts are: what a request needs follows from its few units
+    units = rows.groupBy(*keys, "unit").agg(
+        F.count("*").alias("any"), F.count_if(live).alias("live"), F.bool_or(of(live, F.col("unit_ambiguous"))).alias("ambiguous"), F.min(of(live, F.col("value"))).alias("low"), F.max(of(live, F.col("value"))).alias("high"),
+        F.count_if(sure).alias("validated"), F.min(of(sure, F.round("value", 6))).alias("least"), F.max(of(sure, F.round("value", 6))).alias("most"),
+        F.min(pick).alias("pick"), F.min_by(F.struct("fact_id", "value", "unit", "document_id"), pick).alias("f"),
     )
-    out = requests.join(groups, keys, "left").join(disputed, keys, "left")
+    wide = (F.col("high") - F.col("low")) / F.nullif(F.greatest(F.abs("high"), F.abs("low")), F.lit(0.0))
+    groups = units.groupBy(*keys).agg(
+        F.sum("any").alias("any"), F.sum("live").alias("live"), F.count_if(F.col("live") > 0).alias("units"), F.bool_or("ambiguous").alias("ambiguous"), F.sum("validated").alias("validated"),
+        (F.min("least") < F.max("most")).alias("several"), F.coalesce(F.bool_or((F.col("low") < F.col("high")) & (wide >= MATERIAL_SPREAD)), F.lit(False)).alias("disputed"), F.min_by("f", "pick").alias("f"),
+    )
+    out = requests.join(groups if open_conflicts is None else groups.drop("disputed"), keys, "left")
+    if open_conflicts is not None:
+        out = out.join(scoped(open_conflicts, scope).select(*keys).distinct().withColumn("disputed", F.lit(True)), keys, "left")
     reason = (
         F.when(F.coalesce("any", F.lit(0)) == 0, "out_of_corpus").when(F.col("live") == 0, "no_validated_fact").when(F.col("disputed"), "open_conflict")
-        .when((F.col("units") > 1) | F.col("ambiguous"), "ambiguous_unit").when(F.col("validated") == 0, "no_validated_fact").when(F.col("values") > 1, "open_conflict")
+        .when((F.col("units") > 1) | F.col("ambiguous"), "ambiguous_unit").when(F.col("validated") == 0, "no_validated_fact").when(F.col("several"), "open_conflict")
     )
     out = out.withColumn("reason", reason)
     found = lambda c: F.when(F.col("reason").isNull(), F.col(f"f.{c}")).alias(c)
@@ -50,9 +58,16 @@ def diff(manifest: DataFrame, facts: DataFrame, scope: Scope) -> DataFrame:
     return now.select(*keys, "was", F.col("value").alias("now"), "reason", F.when(same, "same").otherwise("changed").alias("change"))
 
 
-def sources(manifest: DataFrame) -> DataFrame:
-    """Distinct source documents of a manifest, with how many figures each has."""
-    return manifest.where("state = 'pinned'").groupBy("document_id").agg(F.count("*").alias("figures"), F.min("fact_id").alias("first_fact"))
+def sources(manifest: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Distinct source documents of a manifest, with how many figures each has; with ``facts`` (that have page, table and cell),
+    also where each figure stands."""
+    pinned = manifest.where("state = 'pinned'")
+    counted = [F.count("*").alias("figures"), F.min("fact_id").alias("first_fact")]
+    if facts is None:
+        return pinned.groupBy("document_id").agg(*counted)
+    place = locator(F.col("document_id"), F.col("document_version"), F.col("page"), F.col("table_id"), F.col("cell_ref"))
+    told = pinned.join(facts.select("fact_id", place.alias("locator")), "fact_id", "left")
+    return told.groupBy("document_id").agg(*counted, F.array_join(F.sort_array(F.collect_set("locator")), "; ").alias("locators"))
 
 
 def dangling(manifest: DataFrame, facts: DataFrame) -> DataFrame:

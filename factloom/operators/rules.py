@@ -68,6 +68,12 @@ def growth_check(rows: DataFrame) -> DataFrame:
     return rows.withColumn("expected", expected).withColumn("tolerance", tolerance).withColumn("agrees", agrees)
 
 
+def block_agreement(rows: DataFrame, block: list[str]) -> DataFrame:
+    """Of each block's printed growths: how many could be checked, how many agree, and their share."""
+    checked = growth_check(rows).groupBy(*block).agg(F.count("agrees").alias("checked"), F.count_if("agrees").alias("agreed"))
+    return checked.withColumn("share", F.col("agreed") / F.nullif(F.col("checked"), F.lit(0)))
+
+
 def assertions(facts: DataFrame) -> DataFrame:
     """Rows that break the model's constraints, one for each: an empty result is a clean table."""
     unit = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) > 1), F.lit(False))

@@ -1,7 +1,7 @@
 """Lexical search over evidence: quoted phrases, OR and NOT; a cover-density-like rank of our own; marked snippets.
 
-A query is a disjunction of conjunctions of terms and phrases, each maybe negated. Words match by a light
-English stem. The rank is the sum over matched words of 1 / (1 + the gap to the next matched word).
+A query is a disjunction of conjunctions of terms and phrases, each maybe negated; single words without content
+do not count. Words match by a light English stem. The rank is the sum over matched words of 1 / (1 + the gap to the next matched word).
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .topics import ENGLISH
+
+
+STOPWORDS = frozenset(ENGLISH)
+
 
 @dataclass(frozen=True)
 class Term:
@@ -26,8 +31,9 @@ def parse(query: str) -> list[list[Term]]:
         if word.lower() == "or" and not negated:
             out.append([])
             continue
-        words = tuple(stem(w) for w in re.findall(r"[a-z0-9]+", (phrase or word).lower()))
-        if words:
+        plain = re.findall(r"[a-z0-9]+", (phrase or word).lower())
+        words = tuple(stem(w) for w in plain)
+        if words and not (len(plain) == 1 and plain[0] in STOPWORDS):
             out[-1].append(Term(words, bool(negated)))
     return [a for a in out if a]
 
@@ -61,25 +67,55 @@ def matches(query: str, words: Column) -> Column:
     return any_
 
 
-def search(evidence: DataFrame, query: str, text: str = "text", order: tuple[str, ...] = ("document_id", "page"), limit: int | None = 20) -> DataFrame:
-    """Matching rows with rank and snippet, best first."""
+def hint(query: str, text: Column) -> Column:
+    """What a text must hold to match, cheap to test: a piece of each wanted word of an alternative."""
+    any_ = F.lit(False)
+    for terms in parse(query):
+        pieces = sorted({w.removesuffix("y") if len(w) > 3 else w for t in terms if not t.negated for w in t.words})
+        all_ = F.lit(True)
+        for piece in pieces:
+            all_ = all_ & F.contains(F.lower(text), F.lit(piece))
+        any_ = any_ | all_
+    return any_
+
+
+def ranked(evidence: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """Matching rows with their rank."""
     wanted = sorted({w for a in parse(query) for t in a if not t.negated for w in t.words})
     if not wanted:
-        return evidence.where(F.lit(False)).withColumn("rank", F.lit(0.0)).withColumn("snippet", F.lit(""))
-    rows = evidence.withColumn("_w", stems(F.col(text))).where(matches(query, F.col("_w")))
+        return evidence.where(F.lit(False)).withColumn("rank", F.lit(0.0))
+    rows = evidence.where(hint(query, F.col(text))).withColumn("_w", stems(F.col(text))).where(matches(query, F.col("_w")))
     places = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(*wanted), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("_p", places)
     gaps = F.zip_with(F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))), F.slice("_p", F.lit(1), F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: 1.0 / (a - b))
-    rank = F.round(1.0 + F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b), 6)
-    rows = rows.withColumn("rank", rank).withColumn("snippet", snippet(F.col(text), wanted)).drop("_w", "_p")
-    rows = rows.orderBy(F.desc("rank"), *order)
-    return rows if limit is None else rows.limit(limit)
+    return rows.withColumn("rank", F.round(1.0 + F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b), 6)).drop("_w", "_p")
+
+
+def search(evidence: DataFrame, query: str, text: str = "text", order: tuple[str, ...] = ("document_id", "page"), limit: int | None = 20) -> DataFrame:
+    """Matching rows with rank and snippet, best first."""
+    wanted = sorted({w for a in parse(query) for t in a if not t.negated for w in t.words})
+    rows = ranked(evidence, query, text).orderBy(F.desc("rank"), *order)
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.withColumn("snippet", snippet(F.col(text), wanted) if wanted else F.lit(""))
 
 
-def snippet(text: Column, wanted: list[str], most: int = 28) -> Column:
-    """Up to ``most`` words from a little before the first hit, hits between [[ and ]]."""
+def snippet(text: Column, wanted: list[str], most: int = 28, least: int = 8, fragments: int = 2) -> Column:
+    """Up to ``fragments`` pieces of ``least`` to ``most`` words, each from a little before a hit that no earlier one has, joined by
+    dots; hits between [[ and ]]."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     pattern = r"(?i)\b((?:" + "|".join(map(re.escape, wanted)) + r")(?:y|ies|ing|ed|es|s|e)?)\b"
-    first = F.aggregate(F.transform(words, lambda w, i: F.when(w.rlike(pattern), i)), F.lit(None).cast("int"), lambda a, i: F.coalesce(a, i))
-    part = F.slice(words, F.greatest(F.coalesce(first, F.lit(0)) - 4, F.lit(0)) + 1, F.lit(most))
-    return F.regexp_replace(F.array_join(part, " "), pattern, "[[$1]]")
+    hits = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(pattern), i)), lambda i: i.isNotNull())
+
+    def pick(a, i):
+        # a piece ends a few words after the last hit that it can hold
+        start = F.greatest(F.least(i - 4, F.size(words) - least), F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)), F.lit(0))
+        last = F.array_max(F.filter(hits, lambda j: (j >= i) & (j < start + most)))
+        end = F.least(F.size(words), start + most, F.greatest(last + 5, start + least))
+        new = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+        return F.when((F.size(a) < fragments) & (i >= F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0))), F.array_append(a, new)).otherwise(a)
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = F.aggregate(hits, none, pick)
+    spans = F.when(F.size(spans) == 0, F.array(F.struct(F.lit(0).alias("start"), F.lit(most).alias("end")))).otherwise(spans)
+    pieces = F.transform(spans, lambda s: F.array_join(F.slice(words, s["start"] + 1, s["end"] - s["start"]), " "))
+    return F.regexp_replace(F.array_join(pieces, " ... "), pattern, "[[$1]]")

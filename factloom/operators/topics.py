@@ -23,24 +23,50 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda t: (F.length(t) >= 4) & ~t.isin(*STOPWORDS))
 
 
+def counted(words: Column) -> Column:
+    """Distinct words with their number, as (term, occurrences): sorted, then cut where the word changes."""
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda s, at: F.transform(at, lambda b, j: F.struct(F.get(s, b).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - b).cast("long").alias("occurrences")))
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    return let(F.array_sort(words), lambda s: let(starts(s), lambda at: runs(s, at)))
+
+
 def term_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("occurrences"))
+    """key, term, occurrences, most (of the document's terms); a document is a row."""
+    rows = docs.select(F.col(key), counted(tokens(F.col(text))).alias("_t"))
+    rows = rows.withColumn("most", F.array_max(F.transform("_t", lambda t: t["occurrences"])))
+    return rows.select(key, "most", F.inline("_t")).select(key, "term", "occurrences", "most")
 
 
-def tfidf(docs: DataFrame, text: str = "text", key: str = "doc_id", top: int = TOP) -> DataFrame:
-    """Best terms of each document; the largest count is taken before rare terms go."""
-    counts = term_counts(docs, text, key)
-    total = docs.agg(F.count("*").alias("n"))  # one row
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    most = Window.partitionBy(key)
-    rows = counts.withColumn("most", F.max("occurrences").over(most)).where(F.col("occurrences") >= MIN_OCCURRENCES).join(frequency, "term").crossJoin(F.broadcast(total))
+def _scored(counts: DataFrame, frequency: DataFrame, total: Column, key: str, top: int) -> DataFrame:
+    rows = counts.where(F.col("occurrences") >= MIN_OCCURRENCES).join(frequency, "term")
     tf = (1 + F.log("occurrences")) / (1 + F.log("most"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    idf = F.log((1 + total) / (1 + F.col("df"))) + 1
     rows = rows.select(key, "term", "occurrences", F.round(tf * idf, 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def tfidf(docs: DataFrame, text: str = "text", key: str = "doc_id", top: int = TOP) -> DataFrame:
+    """Best terms of each document; the largest count is taken before rare terms go. Only the terms' frequencies, the join with them
+    and the ranking move rows."""
+    counts = term_counts(docs, text, key)
+    total = docs.agg(F.count("*").alias("n"))  # one row
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+    return _scored(counts, frequency, F.col("n"), key, top)
+
+
+def tfidf_of_new(new: DataFrame, phrases: DataFrame, text: str = "text", key: str = "doc_id", top: int = TOP) -> DataFrame:
+    """Terms of ``new`` documents against the stored phrases of the others: an approximation between two full passes. Each new
+    document counts itself once, also when it was stored before."""
+    others = phrases.join(new.select(key).distinct(), key, "left_anti")
+    counts = term_counts(new, text, key)
+    total = others.agg((F.countDistinct(key) + 1).alias("n"))  # one row
+    known = others.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    frequency = counts.select("term").distinct().join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + 1).alias("df"))
+    return _scored(counts, frequency.crossJoin(F.broadcast(total)), F.col("n"), key, top)
+
+
 def cloud(phrases: DataFrame, documents: DataFrame, limit: int = 120, **filters: str) -> DataFrame:
     """Terms by the number of documents that have them."""
     rows = documents
@@ -58,9 +84,11 @@ def cloud_sizes(terms: DataFrame, sizes: int = 5) -> DataFrame:
     return terms.crossJoin(F.broadcast(span)).select("term", "document_count", F.least(F.lit(sizes - 1), F.floor(ratio * sizes)).cast("int").alias("size"))
 
 
-def prevalence(phrases: DataFrame, documents: DataFrame, term: str, by: str = "source") -> DataFrame:
-    return phrases.where(F.col("term") == term).join(documents.where(F.col(by).isNotNull()).select("doc_id", by), "doc_id").groupBy(by).agg(F.countDistinct("doc_id").alias("documents")).orderBy(by)
+def prevalence(phrases: DataFrame, documents: DataFrame, term: str, by: str = "fiscal_year") -> DataFrame:
+    """Documents that have a term, by fiscal year."""
+    rows = documents.where(F.col(by).isNotNull()).select("doc_id", by)
+    return phrases.where(F.col("term") == term).join(rows, "doc_id").groupBy(by).agg(F.countDistinct("doc_id").alias("documents"))
 
 
 def documents_for(phrases: DataFrame, documents: DataFrame, term: str) -> DataFrame:
-    return phrases.where(F.col("term") == term).join(documents.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source", "occurrences", "score").orderBy(F.desc("score"), "doc_id")
+    return phrases.where(F.col("term") == term).join(documents.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "term", "lang", "source", "occurrences", "score")

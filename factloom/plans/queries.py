@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names, periods, units
 from ..functions import text as t
 from ..functions.periods import fiscal_label_of, fiscal_span_of, fiscal_start_of
 from ..operators import facts as o
-from ..operators import integrity, jobs, resolve, rules, search, state, topics
+from ..operators import accounts, ask, evidence, integrity, jobs, reports, resolve, rules, search, state, topics
 from ..scope import Scope
+from ..sources import corpus
 from . import driver
-from .driver import EVIDENCE, FACTS, JOBS, REGISTRY, table
+from .driver import CONFLICTS, EVIDENCE, FACTS, GRANTS, JOBS, PAPERS, REGISTRY, REPORTS, SPANS, STATED, USERS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +34,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _listed(names, rows) -> str:
+    value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({i}, " + ", ".join(map(value, r)) + ")" for i, r in enumerate(rows)) + f") v(i, {', '.join(names)})"
+
+
 def _joined(column: str, name: str):
     return F.array_join(column, ",").alias(name)
 
@@ -104,18 +111,60 @@ def documents_by_state(spark, d):
     return o.zero_filled(driver.registry(spark, d), "state", ["received", "ready", "failed", "quarantined"])
 
 
-@query(f"WITH {EVIDENCE} SELECT count(*) AS evidence FROM evidence JOIN documents USING (doc_id) WHERE lang = 'en'")
+SOME_SOURCES = Scope.of("src1", "src3", "src4")
+IN_SOURCES = "owner_entity_id IN ('src1', 'src3', 'src4')"
+LAID_OUT = f"WITH {EVIDENCE}, {SPANS}, {REGISTRY}, {PAPERS}"
+
+
+@query(f"{LAID_OUT} SELECT count(*) AS evidence FROM spans JOIN papers USING (document_id) WHERE {IN_SOURCES}")
 def evidence_count(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return docs.agg(F.sum(F.size(F.split("text", "\n"))).alias("evidence"))
+    return evidence.count(driver.spans(spark, d), driver.papers(spark, d), SOME_SOURCES)
 
 
-@query(f"""WITH {FACTS}, {RADAR.format(and_='')}, {REGISTRY}, tallies AS ({TALLIES.format(of='facts')}), docs AS (SELECT count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages FROM registry), conflicts AS (SELECT count(*) AS open_conflicts FROM radar)
-SELECT * FROM tallies, docs, conflicts""")
+@query(f"""WITH {FACTS}, {RADAR.format(and_='')}, {REGISTRY}, {EVIDENCE}, {SPANS}, {PAPERS}, tallies AS ({TALLIES.format(of='facts')}), docs AS (SELECT count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages FROM registry), open_ AS (SELECT count(*) AS open_conflicts FROM radar),
+held AS (SELECT count(*) AS evidence FROM spans JOIN papers USING (document_id)) SELECT * FROM tallies, docs, open_, held""")
 def dashboard(spark, d):
     facts = driver.facts(spark, d)
     one = o.tallies(facts, ALL).crossJoin(o.document_totals(driver.registry(spark, d)))  # rows of one
-    return one.crossJoin(o.radar(facts, ALL).agg(F.count("*").alias("open_conflicts")))
+    one = one.crossJoin(o.radar(facts, ALL).agg(F.count("*").alias("open_conflicts")))
+    return one.crossJoin(evidence.count(driver.spans(spark, d), driver.papers(spark, d), ALL))
+
+
+@query(f"""WITH {JOBS}, {REGISTRY}, docs AS (SELECT count(*) FILTER (state = 'ready') AS documents_ready, count(*) FILTER (state = 'failed') AS documents_failed, count(*) FILTER (state = 'received') AS documents_received, count(*) FILTER (state = 'quarantined') AS documents_quarantined FROM registry),
+q AS (SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'claimed') AS claimed, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'dead') AS dead,
+greatest(0, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - min(CAST(floor(epoch(available_at)) AS BIGINT)) FILTER (state = 'pending')) AS oldest_wait FROM jobs) SELECT *, documents_failed + documents_quarantined + dead + failed AS needs_attention FROM docs, q""")
+def pipeline_health(spark, d):
+    queue = jobs.stats(driver.jobs(spark, d), NOW).drop("next_lease")
+    return integrity.pipeline_health(driver.registry(spark, d), queue, ["ready", "failed", "received", "quarantined"])
+
+
+@query(f"WITH {REPORTS} SELECT s.state, count(report_id) AS n FROM (VALUES ('draft'), ('in_review'), ('approved'), ('published'), ('withdrawn')) s(state) LEFT JOIN reports r ON s.state = r.state GROUP BY 1")
+def reports_by_state(spark, d):
+    return o.zero_filled(driver.reports(spark, d), "state", [*reports.STATES, "withdrawn"])
+
+
+@query(f"WITH {USERS} SELECT count(*) AS admins FROM users WHERE is_active AND role = 'admin'")
+def active_admins(spark, d):
+    return accounts.active_admins(driver.users(spark, d))
+
+
+@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def audit_counts(spark, d):
+    return accounts.audit_counts(table(spark, d, "events").select(F.col("event_type").alias("action")))
+
+
+OUTCOMES = f"{REGISTRY}, outcomes AS (SELECT 'doc_' || doc_id AS document_id, lang AS doc_class, state, CAST(doc_id * 31 % 400 AS BIGINT) - 40 AS f, page_count AS pages FROM registry), out_ AS (SELECT *, greatest(f, 0) AS facts FROM outcomes), skips AS (SELECT 'r' || (event_id * 7 % 29) || event_type AS reason FROM events)"
+
+
+@query(f"""WITH {OUTCOMES} SELECT 'total' AS section, unnest(['documents', 'facts', 'pages', 'with_facts']) AS name, unnest([count(*), CAST(sum(facts) AS BIGINT), CAST(sum(pages) AS BIGINT), count(*) FILTER (facts > 0)]) AS n FROM out_
+UNION ALL SELECT 'class', doc_class, count(*) FROM out_ GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM out_ GROUP BY 2
+UNION ALL (SELECT 'skip', reason, count(*) AS n FROM skips GROUP BY 2 ORDER BY n DESC, reason LIMIT 12) UNION ALL (SELECT 'best', document_id, facts FROM out_ ORDER BY facts DESC, document_id LIMIT 10)""")
+def ingest_summary(spark, d):
+    rows = driver.registry(spark, d)
+    facts = F.greatest(F.col("doc_id") * 31 % 400 - 40, F.lit(0)).cast("long")
+    outcomes = rows.select(F.concat(F.lit("doc_"), "doc_id").alias("document_id"), F.col("lang").alias("doc_class"), "state", facts.alias("facts"), F.col("page_count").alias("pages"))
+    skips = table(spark, d, "events").select(F.concat(F.lit("r"), F.col("event_id") * 7 % 29, "event_type").alias("reason"))
+    return corpus.run_summary(outcomes, skips)
 
 
 @query(f"WITH {JOBS} SELECT s.state, count(job_id) AS n FROM (VALUES ('pending'), ('claimed'), ('succeeded'), ('failed'), ('dead'), ('paused')) s(state) LEFT JOIN jobs j ON s.state = j.state GROUP BY 1")
@@ -141,10 +190,14 @@ def corpus_summary(spark, d):
     return integrity.corpus_summary(docs).select("company", "documents", "bytes", F.coalesce(F.col("suffixes")[".pdf"], F.lit(0)).alias("pdf"), F.coalesce(F.col("suffixes")[".xlsx"], F.lit(0)).alias("xlsx"))
 
 
-@query("SELECT event_type AS reason, count(*) AS n, event_type IN ('error', 'click') AS actionable FROM events GROUP BY 1")
+@query("""SELECT reason, CAST(sum(n) AS BIGINT) AS n, reason IN ('error', 'click') AS actionable, bool_and(n > 0) AS counted FROM (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1) GROUP BY 1""")
 def skip_report(spark, d):
     skips = table(spark, d, "events").select(F.col("event_type").alias("reason"), F.col("props").alias("sample"))
-    return integrity.skip_report(skips, ["error", "click"]).select("reason", "n", "actionable")
+    report = integrity.skip_report(skips, ["error", "click"])
+    seen = skips.select("reason", F.substring("sample", 1, 120).alias("sample")).distinct()
+    # five samples at most, each of them one of the reason's
+    said = report.select("reason", F.explode("samples").alias("sample")).join(seen, ["reason", "sample"]).groupBy("reason").agg(F.count("*").alias("found"))
+    return report.join(said, "reason").select("reason", "n", "actionable", ((F.col("found") == F.size("samples")) & (F.size("samples") <= 5)).alias("counted"))
 
 
 # ---- scans
@@ -180,15 +233,43 @@ def find_by_hash(spark, d):
     return docs.join(F.broadcast(wanted), F.lower("content_hash") == F.col("h"), "left_semi")
 
 
-@query(f"WITH {EVIDENCE} SELECT doc_id, page, line_no, text FROM evidence WHERE doc_id < 50 AND page = 1")
+@query(f"""{LAID_OUT} SELECT s.document_id, page, evidence_id, row_number() OVER (PARTITION BY s.document_id, page ORDER BY bbox_y0 NULLS LAST, bbox_x0 NULLS LAST, evidence_id) AS position FROM spans s JOIN papers p ON s.document_id = p.document_id WHERE page = 1 AND {IN_SOURCES}""")
 def page_evidence(spark, d):
-    return driver.evidence(spark, d).where("doc_id < 50 and page = 1").select("doc_id", "page", "line_no", "text")
+    return evidence.by_page(driver.spans(spark, d), driver.papers(spark, d), SOME_SOURCES, page=1).select("document_id", "page", "evidence_id", "position")
+
+
+@query(f"""WITH {EVIDENCE}, {SPANS} SELECT document_id, document_version, evidence_id, row_number() OVER (PARTITION BY document_id, document_version ORDER BY page NULLS LAST, table_id NULLS LAST, row_idx NULLS LAST, col_idx NULLS LAST, bbox_y0 NULLS LAST, bbox_x0 NULLS LAST, evidence_id) AS position FROM spans WHERE kind = 'table_cell'""")
+def document_cells(spark, d):
+    return evidence.by_document(driver.spans(spark, d), kinds=("table_cell",)).select("document_id", "document_version", "evidence_id", "position")
 
 
-@query(f"WITH {EVIDENCE} SELECT doc_id, page, md5(string_agg(text, '|' ORDER BY line_no)) AS lines, count(*) AS n FROM evidence GROUP BY 1, 2")
+@query(f"""WITH {EVIDENCE}, {SPANS} SELECT document_id, page, md5(string_agg(text, '|' ORDER BY bbox_y0 NULLS LAST, evidence_id)) AS lines, count(*) AS n FROM spans WHERE kind = 'line' GROUP BY 1, 2""")
 def page_lines(spark, d):
-    rows = driver.evidence(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("c"), F.count("*").alias("n"))
-    return rows.select("doc_id", "page", F.md5(F.array_join(F.transform("c", lambda x: x.text), "|")).alias("lines"), "n")
+    rows = evidence.page_lines(driver.spans(spark, d))
+    return rows.select("document_id", "page", F.md5(F.array_join("lines", "|")).alias("lines"), F.size("lines").cast("long").alias("n"))
+
+
+@query(f"""WITH {FACTS}, {RADAR.format(and_='')}, {CONFLICTS} SELECT c.conflict_id, any_value(c.entity_id) AS entity_id, (any_value(value_high) - any_value(value_low)) / nullif(abs(any_value(value_high)), 0) AS width, string_agg(f.fact_id, ',' ORDER BY f.value, f.fact_id) AS members
+FROM (SELECT *, unnest(fact_ids) AS id FROM conflicts WHERE resolved_fact_id IS NULL {IN_SOME}) c JOIN facts f ON c.id = f.fact_id GROUP BY 1""")
+def open_conflicts(spark, d):
+    facts = driver.facts(spark, d)
+    rows = o.open_conflicts(driver.conflicts(o.radar(facts, ALL)), facts, SOME)
+    return rows.select("conflict_id", "entity_id", "width", F.array_join(F.transform("members", lambda m: m["fact_id"]), ",").alias("members"))
+
+
+@query(f"WITH {FACTS}, points AS ({SERIES.format(and_='')}) SELECT entity_id, fiscal_year, unit, value, fact_count, row_number() OVER (ORDER BY value, entity_id, unit) AS position FROM points WHERE fiscal_year = (SELECT max(fiscal_year) FROM points)")
+def series_latest(spark, d):
+    return o.years(o.series(driver.facts(spark, d), "1-URGENT", ALL))
+
+
+@query(f"WITH {REPORTS} SELECT report_id, entity_id, state FROM reports WHERE state = 'in_review' {IN_SOME} ORDER BY generated_at DESC, report_id LIMIT 50 OFFSET 5")
+def reports_list(spark, d):
+    return reports.listed(driver.reports(spark, d), SOME, state="in_review", limit=50, offset=5).select("report_id", "entity_id", "state")
+
+
+@query(f"WITH {JOBS} SELECT job_id, state, priority FROM jobs WHERE job_id = 'job_77'")
+def job_by_id(spark, d):
+    return o.point(driver.jobs(spark, d), "job_id", "job_77").select("job_id", "state", "priority")
 
 
 @query(f"""WITH {FACTS} SELECT fact_id, least(conf_ocr, conf_parse, conf_answer) AS confidence,
@@ -217,74 +298,180 @@ def audit_recent(spark, d):
 # ---- states
 
 
-def _states(df):
-    return df.groupBy("status").agg(F.count("*").alias("n"), F.min("fact_id").alias("first_fact"), F.max("fact_id").alias("last_fact"))
-
-
-STATES = "SELECT status, count(*) AS n, min(fact_id) AS first_fact, max(fact_id) AS last_fact FROM changed GROUP BY 1"
 LOW = "least(conf_ocr, conf_parse, conf_answer)"
+FACT_STATE = ["fact_id", "status", "value", "review_state", "notes"]
 
 
-def _changed(case: str, joins: str = "", also: str = "") -> str:
-    return f"WITH {FACTS}{also}, changed AS (SELECT f.fact_id, CASE {case} ELSE f.status END AS status FROM facts f {joins}) {STATES}"
+def _changed(joins: str = "", also: str = "", of: str = "", **case: str) -> str:
+    """Every fact with its state afterwards: a CASE for each column that changes."""
+    columns = ", ".join(f"CASE {case[c]} ELSE f.{c} END AS {c}" if c in case else f"f.{c}" for c in FACT_STATE)
+    return f"WITH {FACTS}, {STATED}{also} SELECT {columns} FROM stated f {joins} {of}"
 
 
-@query(_changed(f"WHEN status = 'extracted' AND {LOW} < 0.8 THEN 'needs_review'"))
+@query(_changed(status=f"WHEN f.status = 'extracted' AND {LOW} < 0.8 THEN 'needs_review'"))
 def flag_low(spark, d):
-    return _states(state.flag_low(driver.facts(spark, d)))
+    return state.flag_low(driver.stated(spark, d)).select(*FACT_STATE)
 
 
-@query(_changed(f"WHEN status = 'extracted' AND {LOW} >= 0.8 AND NOT unit_ambiguous THEN 'validated'"))
+@query(_changed(status=f"WHEN f.status = 'extracted' AND {LOW} >= 0.8 AND NOT unit_ambiguous THEN 'validated'"))
 def promote_high(spark, d):
-    return _states(state.promote_high(driver.facts(spark, d)))
+    return state.promote_high(driver.stated(spark, d)).select(*FACT_STATE)
 
 
-@query(_changed("WHEN r.old IS NOT NULL AND f.status NOT IN ('rejected', 'superseded') THEN 'superseded'", "LEFT JOIN (SELECT DISTINCT 'doc_' || (doc_id % 10) AS old FROM documents) r ON f.document_id = r.old"))
+@query(_changed("LEFT JOIN (SELECT DISTINCT 'doc_' || (doc_id % 10) AS old FROM documents) r ON f.document_id = r.old", status="WHEN r.old IS NOT NULL AND f.status NOT IN ('rejected', 'superseded') THEN 'superseded'"))
 def supersede(spark, d):
     revisions = table(spark, d, "documents").select(F.concat(F.lit("new_"), "doc_id").alias("document_id"), F.concat(F.lit("doc_"), F.col("doc_id") % 10).alias("supersedes"))
-    return _states(state.supersede(driver.facts(spark, d), revisions))
+    return state.supersede(driver.stated(spark, d), revisions).select(*FACT_STATE)
+
 
+REVIEWED = "LEFT JOIN (SELECT l_orderkey AS lk, arg_max(l_linenumber % 3, l_linenumber * 1000000 + l_partkey) AS dk, arg_max(l_extendedprice, l_linenumber * 1000000 + l_partkey) AS corrected, 'line ' || max(l_linenumber) AS note FROM lineitem WHERE l_quantity > 25 GROUP BY 1) l ON f.k = l.lk AND f.status IN ('extracted', 'needs_review')"
 
-@query(_changed("WHEN f.status = 'extracted' AND l.k % 3 = 0 THEN 'validated' WHEN f.status = 'extracted' AND l.k % 3 = 1 THEN 'validated' WHEN f.status = 'extracted' AND l.k % 3 = 2 THEN 'rejected'", "LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) l ON f.fact_id = 'fact_' || l.k"))
+
+@query(_changed(REVIEWED, status="WHEN dk IN (0, 1) THEN 'validated' WHEN dk = 2 THEN 'rejected'", value="WHEN dk = 1 THEN corrected", review_state="dk WHEN 0 THEN 'approved' WHEN 1 THEN 'corrected' WHEN 2 THEN 'rejected'", notes="WHEN dk IS NOT NULL THEN concat_ws(' | ', f.notes, note)"))
 def review_decisions(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45")
-    k = F.col("l_orderkey")
-    decisions = rows.select(F.concat(F.lit("fact_"), k).alias("fact_id"), F.col("l_linenumber").alias("seq"), F.when(k % 3 == 0, "validate").when(k % 3 == 1, "correct").otherwise("reject").alias("decision"), F.lit(1.0).alias("corrected_value"))
-    return _states(state.apply_decisions(driver.facts(spark, d), decisions))
+    n = F.col("l_linenumber")
+    what = F.when(n % 3 == 0, "validate").when(n % 3 == 1, "correct").otherwise("reject")
+    rows = table(spark, d, "lineitem").where("l_quantity > 25")
+    decisions = rows.select(F.concat(F.lit("fact_"), "l_orderkey").alias("fact_id"), (n * 1000000 + F.col("l_partkey")).alias("seq"), what.alias("decision"), F.col("l_extendedprice").alias("corrected_value"), F.concat(F.lit("line "), n).alias("note"))
+    return state.apply_decisions(driver.stated(spark, d), decisions).select(*FACT_STATE)
 
 
-@query(_changed("WHEN f.status IN ('extracted', 'needs_review') AND n.k IS NOT NULL THEN 'needs_review'", "LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_discount > 0.09) n ON f.fact_id = 'fact_' || n.k"))
+@query(_changed("LEFT JOIN (SELECT l_orderkey AS nk, string_agg(DISTINCT 'flag ' || l_returnflag, ' | ' ORDER BY 'flag ' || l_returnflag) AS note FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) n ON f.k = n.nk AND f.status IN ('extracted', 'needs_review')", status="WHEN note IS NOT NULL THEN 'needs_review'", notes="WHEN note IS NOT NULL THEN concat_ws(' | ', f.notes, note)"))
 def flag_for_review(spark, d):
-    flagged = table(spark, d, "lineitem").where("l_discount > 0.09").select(F.concat(F.lit("fact_"), "l_orderkey").alias("fact_id"), F.concat(F.lit("discount "), "l_discount").alias("note"))
-    return _states(state.flag_for_review(driver.facts(spark, d), flagged))
+    flagged = table(spark, d, "lineitem").where("l_discount > 0.05").select(F.concat(F.lit("fact_"), "l_orderkey").alias("fact_id"), F.concat(F.lit("flag "), "l_returnflag").alias("note"))
+    return state.flag_for_review(driver.stated(spark, d), flagged).select(*FACT_STATE)
 
 
-@query(_changed("WHEN m.id IS NOT NULL AND f.status NOT IN ('rejected', 'superseded') THEN 'conflicted'", "LEFT JOIN (SELECT DISTINCT unnest(fact_ids) AS id FROM radar) m ON f.fact_id = m.id", ", " + RADAR.format(and_="")))
+@query(_changed("LEFT JOIN (SELECT DISTINCT unnest(fact_ids) AS id FROM radar) m ON f.fact_id = m.id", ", " + RADAR.format(and_="").replace("FROM facts", "FROM stated"), status="WHEN m.id IS NOT NULL AND f.status NOT IN ('rejected', 'superseded') THEN 'conflicted' WHEN m.id IS NULL AND f.status = 'conflicted' THEN 'extracted'"))
 def reconcile(spark, d):
-    facts = driver.facts(spark, d)
-    return _states(state.reconcile(facts, o.radar(facts, ALL), ALL))
+    facts = driver.stated(spark, d)
+    return state.reconcile(facts, o.radar(facts, ALL), ALL).select(*FACT_STATE)
 
 
-@query(_changed("WHEN w.won THEN 'validated' WHEN NOT w.won THEN 'rejected'", "LEFT JOIN (SELECT unnest(fact_ids) AS id, unnest(fact_ids) = fact_ids[1] AS won FROM radar) w ON f.fact_id = w.id", ", " + RADAR.format(and_=IN_SOME)))
+# choices: the widest open conflicts want their lowest, or a stranger; resolved ones and those out of scope are left alone
+CHOSEN = f"""choices AS (SELECT conflict_id, CASE WHEN hash_ % 4 = 0 THEN 'fact_0' ELSE fact_ids[1] END AS winner, 'note ' || entity_id AS note, 'u1' AS actor FROM (SELECT *, length(entity_id) + length(metric) + length(fact_ids[1]) AS hash_ FROM conflicts)),
+won AS (SELECT c.conflict_id, c.winner, c.note, f.fact_ids FROM choices c JOIN conflicts f USING (conflict_id) WHERE f.resolved_fact_id IS NULL AND list_contains(f.fact_ids, c.winner) {IN_SOME})"""
+
+
+def _resolution(spark, d):
+    facts = driver.stated(spark, d)
+    conflicts = driver.conflicts(o.radar(driver.facts(spark, d), ALL))
+    first = F.get("fact_ids", F.lit(0))
+    size = F.length("entity_id") + F.length("metric") + F.length(first)
+    choices = conflicts.select("conflict_id", F.when(size % 4 == 0, "fact_0").otherwise(first).alias("winner"), F.concat(F.lit("note "), "entity_id").alias("note"), F.lit("u1").alias("actor"), F.lit(1).alias("seq"))
+    return state.resolve_conflicts(facts, conflicts, choices, SOME)
+
+
+@query(_changed("LEFT JOIN (SELECT unnest(fact_ids) AS id, unnest(fact_ids) = winner AS won FROM won) w ON f.fact_id = w.id", f", {RADAR.format(and_='')}, {CONFLICTS}, {CHOSEN}", status="WHEN w.won THEN 'validated' WHEN NOT w.won THEN 'rejected'", review_state="WHEN w.won THEN 'approved' WHEN NOT w.won THEN 'rejected'"))
 def resolve_conflicts(spark, d):
-    facts = driver.facts(spark, d)
-    return _states(state.resolve_conflict(facts, o.radar(facts, SOME).select("fact_ids", F.get("fact_ids", F.lit(0)).alias("winner"))))
+    return _resolution(spark, d)[0].select(*FACT_STATE)
+
+
+@query(f"WITH {FACTS}, {RADAR.format(and_='')}, {CONFLICTS}, {CHOSEN} SELECT conflict_id, coalesce(w.winner, c.resolved_fact_id) AS resolved_fact_id, coalesce(w.note, c.resolution_note) AS resolution_note, CASE WHEN w.winner IS NOT NULL THEN 'u1' END AS resolved_by FROM conflicts c LEFT JOIN won w USING (conflict_id)")
+def resolved_conflicts(spark, d):
+    return _resolution(spark, d)[1].select("conflict_id", "resolved_fact_id", "resolution_note", "resolved_by")
+
+
+TORN = "gone AS (SELECT DISTINCT 'doc_' || (doc_id % 30) AS document_id, CAST(doc_id % 2 + 1 AS INTEGER) AS document_version FROM documents), doomed AS (SELECT fact_id FROM stated JOIN gone USING (document_id, document_version))"
+
+
+def _without(spark, d):
+    conflicts = driver.conflicts(o.radar(driver.facts(spark, d), ALL))
+    gone = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id") % 30).alias("document_id"), (F.col("doc_id") % 2 + 1).cast("int").alias("document_version"))
+    return state.delete_documents(driver.stated(spark, d), conflicts, gone)
+
+
+@query(f"WITH {FACTS}, {STATED}, {TORN} SELECT fact_id, status FROM stated WHERE fact_id NOT IN (SELECT fact_id FROM doomed)")
+def delete_facts(spark, d):
+    return _without(spark, d)[0].select("fact_id", "status")
+
+
+@query(f"WITH {FACTS}, {STATED}, {RADAR.format(and_='')}, {CONFLICTS}, {TORN} SELECT conflict_id, len(fact_ids) AS members FROM conflicts WHERE conflict_id NOT IN (SELECT conflict_id FROM (SELECT conflict_id, unnest(list_append(fact_ids, resolved_fact_id)) AS id FROM conflicts) JOIN doomed ON id = fact_id)")
+def delete_conflicts(spark, d):
+    return _without(spark, d)[1].select("conflict_id", F.size("fact_ids").cast("long").alias("members"))
+
+
+OLD = f"old AS (SELECT DISTINCT {KEYS} FROM facts WHERE fact_id LIKE '%5')"
 
 
-@query(f"""WITH {FACTS}, {RADAR.format(and_='')}, old AS (SELECT DISTINCT {KEYS} FROM facts WHERE fact_id LIKE '%5')
-SELECT (SELECT count(*) FROM old WHERE NOT EXISTS (SELECT 1 FROM radar r WHERE r.entity_id = old.entity_id AND r.metric = old.metric AND r.unit = old.unit AND r.period_label = old.period_label)) AS stale, (SELECT count(*) FROM radar r JOIN old USING ({KEYS})) AS kept, (SELECT count(*) FROM radar) AS open""")
+def _old(facts):
+    return facts.where("fact_id like '%5'").select(*KEYS.split(", ")).distinct().withColumn("conflict_id", F.concat(F.lit("old_"), F.concat_ws("_", *KEYS.split(", ")))).withColumn("detected_at", F.lit(NOW))
+
+
+@query(f"""WITH {FACTS}, {RADAR.format(and_='')}, {OLD} SELECT {KEYS}, CASE WHEN o.o IS NOT NULL THEN 'old_' || concat_ws('_', {KEYS}) ELSE 'cfl_' || substr(sha256(concat_ws('|', {KEYS})), 1, 16) END AS conflict_id, CASE WHEN o.o IS NOT NULL THEN '{NOW}' END AS detected_at, o.o IS NULL AS is_new, value_low, value_high, array_to_string(fact_ids, ',') AS members
+FROM radar LEFT JOIN (SELECT *, 1 AS o FROM old) o USING ({KEYS})""")
 def conflict_upsert(spark, d):
     facts = driver.facts(spark, d)
-    groups = o.radar(facts, ALL)
-    old = facts.where("fact_id like '%5'").select(*KEYS.split(", ")).distinct().withColumn("conflict_id", F.lit("cfl_old")).withColumn("detected_at", F.lit(NOW))
-    up = state.upsert_conflicts(groups, old).agg(F.count_if(~F.col("is_new")).alias("kept"), F.count("*").alias("open"))
-    return state.stale_conflicts(old, groups, ALL).agg(F.count("*").alias("stale")).crossJoin(up)  # rows of one
+    rows = state.upsert_conflicts(o.radar(facts, ALL), _old(facts))
+    return rows.select(*KEYS.split(", "), "conflict_id", "detected_at", "is_new", "value_low", "value_high", F.array_join("fact_ids", ",").alias("members"))
+
+
+@query(f"WITH {FACTS}, {RADAR.format(and_='')}, {OLD} SELECT {KEYS} FROM old WHERE NOT EXISTS (SELECT 1 FROM radar r WHERE r.entity_id = old.entity_id AND r.metric = old.metric AND r.unit = old.unit AND r.period_label = old.period_label) {IN_SOME}")
+def stale_conflicts(spark, d):
+    facts = driver.facts(spark, d)
+    return state.stale_conflicts(_old(facts), o.radar(facts, ALL), SOME).select(*KEYS.split(", "))
 
 
-@query("SELECT count(*) AS fresh FROM (SELECT lower(sha256(text)) AS h FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT lower(sha256(text)) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT min(doc_id) AS document_id, lower(sha256(text)) AS content_hash FROM documents WHERE lower(sha256(text)) NOT IN (SELECT lower(sha256(text)) FROM documents JOIN labels USING (doc_id)) GROUP BY 2")
 def register_documents(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.upper(F.sha2("text", 256)).alias("content_hash"), F.col("source").alias("publisher_entity_id"))
-    return state.register(docs.where("document_id % 2 = 1"), docs.where("document_id % 2 = 0")).agg(F.count("*").alias("fresh"))
+    known = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").withColumn("content_hash", F.lower("content_hash"))
+    return state.register(docs, known).select("document_id", F.lower("content_hash").alias("content_hash"))
+
+
+@query(f"WITH {REGISTRY}, {PAPERS}, v AS (SELECT 'doc_' || (event_id % 150) AS document_id, max(event_type) AS doc_class, CASE WHEN min(event_id) % 2 = 0 THEN 'ent' || min(event_id) END AS p FROM events GROUP BY 1) SELECT document_id, v.doc_class, p AS publisher_entity_id, CASE WHEN doc_id % 2 = 0 THEN owner_entity_id ELSE p END AS owner_entity_id FROM papers LEFT JOIN v USING (document_id)")
+def set_fields(spark, d):
+    none = F.lit(None).cast("string")
+    docs = driver.papers(spark, d).withColumn("owner_entity_id", F.when(F.col("doc_id") % 2 == 0, F.col("owner_entity_id"))).withColumns({"doc_class": none, "publisher_entity_id": none})
+    first = F.min("event_id")
+    values = table(spark, d, "events").groupBy(F.concat(F.lit("doc_"), F.col("event_id") % 150).alias("document_id")).agg(F.max("event_type").alias("doc_class"), F.when(first % 2 == 0, F.concat(F.lit("ent"), first)).alias("publisher_entity_id"))
+    return state.set_fields(docs, values).select("document_id", "doc_class", "publisher_entity_id", "owner_entity_id")
+
+
+@query("SELECT 'doc_' || (event_id % 150) AS document_id, event_type AS stage, arg_max(event_id, (ts, event_id)) AS done, arg_max(event_id + 5, (ts, event_id)) AS total FROM events GROUP BY 1, 2")
+def set_progress(spark, d):
+    counters = table(spark, d, "events").select(F.concat(F.lit("doc_"), F.col("event_id") % 150).alias("document_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("done"), (F.col("event_id") + 5).alias("total"), F.col("ts").alias("at"))
+    docs = counters.select("document_id").distinct()
+    return state.set_progress(docs, counters).select("document_id", F.explode("progress").alias("stage", "c")).select("document_id", "stage", "c.done", "c.total")
+
+
+@query(f"WITH {FACTS} SELECT document_id, min(fiscal_year) AS fiscal_year FROM (SELECT entity_id || '/' || document_id || '/' || period_label AS document_id, fiscal_year, status FROM facts) WHERE status NOT IN ('rejected', 'superseded') AND fiscal_year IS NOT NULL GROUP BY 1 HAVING count(DISTINCT fiscal_year) = 1")
+def inferred_years(spark, d):
+    return state.inferred_years(driver.facts(spark, d).withColumn("document_id", F.concat_ws("/", "entity_id", "document_id", "period_label")))
+
+
+# ---- accounts
+
+
+@query(f"WITH {USERS}, {GRANTS}, seen AS (SELECT entity_id, user_id FROM grants WHERE entity_id <> '*' UNION SELECT e.entity_id, g.user_id FROM (SELECT DISTINCT entity_id FROM grants WHERE entity_id <> '*') e, grants g WHERE g.entity_id = '*') SELECT entity_id, user_id, username FROM seen JOIN users USING (user_id) WHERE is_active")
+def users_with_entity(spark, d):
+    return accounts.users_with(driver.users(spark, d), driver.grants(spark, d)).select("entity_id", "user_id", "username")
+
+
+LOGINS = "ev AS (SELECT user_id AS u, event_id AS seq, ts AS told, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'unlock' WHEN event_type = 'signup' THEN 'success' ELSE 'failure' END AS kind FROM events), runs AS (SELECT *, sum(CASE WHEN kind <> 'failure' THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY seq) AS run FROM ev), g AS (SELECT u, run, count(*) FILTER (kind = 'failure') AS n, max(told) FILTER (kind = 'failure') AS fell FROM runs GROUP BY 1, 2), lastrun AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY u ORDER BY run DESC) = 1)"
+
+
+@query(f"""WITH {USERS}, {LOGINS} SELECT user_id, CAST(CASE WHEN run > 0 THEN 0 ELSE failed_login_count END + coalesce(n, 0) AS INTEGER) AS failed_login_count, strftime(CASE WHEN CASE WHEN run > 0 THEN 0 ELSE failed_login_count END + coalesce(n, 0) >= 5 AND fell IS NOT NULL THEN fell + INTERVAL 15 MINUTE WHEN run > 0 THEN NULL ELSE locked_until END, '%Y-%m-%d %H:%M:%S') AS locked_until,
+strftime((SELECT max(told) FROM ev WHERE ev.u = user_id AND kind = 'success'), '%Y-%m-%d %H:%M:%S') AS last_login_at FROM users LEFT JOIN lastrun ON u = user_id""")
+def login_locks(spark, d):
+    kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), "unlock").when(F.col("event_type") == "signup", "success").otherwise("failure")
+    events = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"))
+    rows = accounts.logins(driver.users(spark, d), events)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("user_id", "failed_login_count", stamp("locked_until"), stamp("last_login_at"))
+
+
+REGRANTS = "ch AS (SELECT o_custkey AS user_id, CASE WHEN o_orderkey % 40 = 7 THEN NULL ELSE n_name END AS entity_id, o_orderkey AS seq, CASE WHEN o_orderkey % 40 IN (7, 8) THEN 'replace' WHEN o_orderkey % 3 = 0 THEN 'revoke' ELSE 'grant' END AS kind FROM orders JOIN nation ON n_nationkey = o_orderkey % 25), rep AS (SELECT user_id, max(seq) AS since FROM ch WHERE kind = 'replace' GROUP BY 1), alllog AS (SELECT user_id, entity_id, -1 AS seq, 'grant' AS kind FROM grants UNION ALL SELECT * FROM ch)"
+
+
+@query(f"WITH {GRANTS}, {REGRANTS} SELECT user_id, entity_id FROM (SELECT l.user_id, l.entity_id, arg_max(kind, seq) AS kind FROM alllog l LEFT JOIN rep ON l.user_id = rep.user_id WHERE (since IS NULL OR seq >= since) AND entity_id IS NOT NULL GROUP BY 1, 2) WHERE kind <> 'revoke'")
+def scope_grants(spark, d):
+    k = F.col("o_orderkey")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("_n"), "n_name")
+    kind = F.when((k % 40).isin(7, 8), "replace").when(k % 3 == 0, "revoke").otherwise("grant")
+    rows = table(spark, d, "orders").withColumn("_n", k % 25).join(F.broadcast(nations), "_n")
+    changes = rows.select(F.col("o_custkey").alias("user_id"), F.when(k % 40 != 7, F.col("n_name")).alias("entity_id"), k.alias("seq"), kind.alias("kind"))
+    return accounts.regrant(driver.grants(spark, d), changes)
 
 
 @query("SELECT l_orderkey, l_returnflag, count(*) AS n FROM (SELECT * FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_shipdate >= TIMESTAMP '2000-01-01' AND m.l_orderkey = l.l_orderkey AND m.l_returnflag = l.l_returnflag) UNION ALL SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01') GROUP BY 1, 2")
@@ -337,11 +524,19 @@ def rules_yearly(spark, d):
 GROWTH = "l_extendedprice / 1000 AS this, l_quantity * 2 AS last, l_tax * 1000 AS printed"
 
 
-@query(f"""WITH x AS (SELECT l_orderkey, {GROWTH} FROM lineitem), y AS (SELECT *, 100 * (0.05 / abs(nullif(last, 0)) + 0.05 * abs(this) / (nullif(last, 0) * nullif(last, 0))) + 0.6 AS tol, (this - last) / nullif(last, 0) * 100 AS exp FROM x)
-SELECT count(*) AS n, count(*) FILTER (tol <= 12 AND abs(printed - exp) <= tol) AS agreed, count(*) FILTER (tol <= 12) AS checked FROM y""")
+CHECKED = f"x AS (SELECT l_orderkey, l_linenumber, l_suppkey, {GROWTH} FROM lineitem), y AS (SELECT *, 100 * (0.05 / abs(nullif(last, 0)) + 0.05 * abs(this) / (nullif(last, 0) * nullif(last, 0))) + 0.6 AS tol, (this - last) / nullif(last, 0) * 100 AS exp FROM x), z AS (SELECT *, CASE WHEN tol <= 12 THEN abs(printed - exp) <= tol END AS agrees FROM y)"
+
+
+@query(f"WITH {CHECKED} SELECT l_orderkey, l_linenumber, exp AS expected, agrees FROM z")
 def growth_check(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", *GROWTH.split(", "))
-    return rules.growth_check(rows).agg(F.count("*").alias("n"), F.count_if("agrees").alias("agreed"), F.count("agrees").alias("checked"))
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *GROWTH.split(", "))
+    return rules.growth_check(rows).select("l_orderkey", "l_linenumber", "expected", "agrees")
+
+
+@query(f"WITH {CHECKED} SELECT l_suppkey, count(agrees) AS checked, count(*) FILTER (agrees) AS agreed, round(count(*) FILTER (agrees) / nullif(count(agrees), 0)::DOUBLE, 9) AS share FROM z GROUP BY 1")
+def block_agreement(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey", *GROWTH.split(", "))
+    return rules.block_agreement(rows, ["l_suppkey"]).withColumn("share", F.round("share", 9))
 
 
 @query(f"WITH {FACTS} SELECT fact_id, CASE WHEN CAST(fact_id[6:] AS BIGINT) % 400 = 0 THEN 'period_order' ELSE 'confidence_range' END AS broken FROM facts WHERE CAST(fact_id[6:] AS BIGINT) % 400 IN (0, 1)")
@@ -396,6 +591,41 @@ def dangling_pins(spark, d):
     return resolve.dangling(pins, driver.facts(spark, d).where("status <> 'rejected'"))
 
 
+MOVED = """m AS (SELECT 'rep_' || o_custkey AS report_id, arg_min(['in_review', 'approved', 'draft', 'published'][CAST(o_orderkey % 4 + 1 AS INTEGER)], o_orderkey) AS target, arg_min(['viewer', 'officer', 'reviewer', 'approver', 'admin', 'approver'][CAST(o_orderkey // 4 % 6 + 1 AS INTEGER)], o_orderkey) AS role, arg_min('u' || (o_orderkey % 7), o_orderkey) AS actor FROM orders GROUP BY 1),
+need AS (SELECT * FROM (VALUES ('draft', 'in_review', 1), ('in_review', 'draft', 2), ('in_review', 'approved', 3), ('approved', 'in_review', 3), ('approved', 'published', 3)) v(state, target, rank_)), ranks AS (SELECT * FROM (VALUES ('viewer', 0), ('officer', 1), ('reviewer', 2), ('approver', 3), ('admin', 4)) v(role, r)),
+tried AS (SELECT p.*, m.target, m.actor, CASE WHEN m.target IS NULL THEN NULL WHEN need.rank_ IS NULL THEN 'illegal' WHEN m.target IN ('approved', 'published') AND NOT complete THEN 'incomplete' WHEN ranks.r < need.rank_ THEN 'role' WHEN m.target = 'approved' AND m.actor = author THEN 'own' END AS refusal
+FROM reports p LEFT JOIN m USING (report_id) LEFT JOIN need ON need.state = p.state AND need.target = m.target LEFT JOIN ranks ON ranks.role = m.role)"""
+
+
+@query(f"WITH {REPORTS}, {MOVED} SELECT report_id, CASE WHEN target IS NOT NULL AND refusal IS NULL THEN target ELSE state END AS state, refusal, CASE WHEN target IS NULL OR refusal IS NOT NULL OR target = 'published' THEN approved_by WHEN target = 'approved' THEN actor END AS approved_by FROM tried")
+def report_moves(spark, d):
+    return reports.move(driver.reports(spark, d), driver.moves(spark, d)).select("report_id", "state", "refusal", "approved_by")
+
+
+@query(f"WITH {FACTS}, {RADAR.format(and_='')}, {REQUESTS}, {RESOLVED} SELECT entity_id, metric, period_label, metric <> '9-NONE' AS required, reason, CASE WHEN reason IS NULL THEN f END AS fact_id, CASE WHEN reason IS NULL THEN v END AS value, bool_and(metric = '9-NONE' OR reason IS NULL) OVER (PARTITION BY entity_id) AS complete FROM resolved")
+def report_reproduce(spark, d):
+    """A report for each entity is stored, and its figures come from what was stored alone."""
+    fields = _requests(spark, d).withColumns({"required": F.col("metric") != "9-NONE", "position": F.lit(0)})
+    pinned = resolve.pin(fields, driver.facts(spark, d), ALL).withColumn("report_key", F.col("entity_id"))
+    stored = reports.create(pinned, "u1", NOW, "by-entity")
+    whole = reports.reproduce(stored).join(stored.select("report_id", "complete"), "report_id")
+    return whole.select("entity_id", "metric", "period_label", "required", "reason", "fact_id", "value", "complete")
+
+
+@query("SELECT o_custkey AS report_id, o_orderkey AS title, CASE o_orderkey % 3 WHEN 0 THEN 'It was ' || o_orderkey || '.' WHEN 1 THEN 'So it ended.' ELSE 'In 1999 it rose.' END AS text, o_orderkey % 3 = 1 AS flagged FROM orders")
+def report_narrative(spark, d):
+    rows = table(spark, d, "orders")
+    prose = rows.select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("title"), F.expr("case o_orderkey % 3 when 0 then concat('It was ', o_orderkey, '.') when 1 then concat('It was ', o_orderkey, '.5. So it ended.') else 'In 1999 it rose.' end").alias("text"))
+    return reports.narrated(prose, rows.select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").cast("double").alias("value")))
+
+
+@query(f"""WITH {FACTS}, top AS (SELECT upper(entity_id) || ' ' || lower(metric) AS what, period_label, count(*) AS n, entity_id, metric FROM facts WHERE status = 'validated' GROUP BY entity_id, metric, period_label, fiscal_year ORDER BY n DESC, entity_id, metric, period_label LIMIT 1),
+most AS (SELECT metric, count(DISTINCT entity_id) AS e FROM facts WHERE status NOT IN ('rejected', 'superseded') AND fiscal_year IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_id) >= 2 ORDER BY e DESC, metric LIMIT 1)
+SELECT 1 AS place, what || ' ' || period_label AS question, 'exact_figure' AS kind FROM top UNION ALL SELECT 2, 'compare ' || lower(metric) || ' across subsidiaries', 'comparison' FROM most UNION ALL SELECT 4, 'explain ' || what || ' in ' || period_label, 'narrative' FROM top UNION ALL SELECT 5, 'draft a reply to a parliamentary question on ' || what || ' ' || period_label, 'draft' FROM top""")
+def suggestions(spark, d):
+    return ask.suggestions(driver.facts(spark, d), ALL, prose=True)
+
+
 # ---- topics and search
 
 
@@ -417,9 +647,20 @@ def document_frequency(spark, d):
     return topics.term_counts(table(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
-@query(f"WITH {TFIDF} SELECT doc_id, term, occurrences, round(score, 4) AS score FROM phrases WHERE rank <= 5")
+@query(f"WITH {TFIDF} SELECT doc_id, term, occurrences, score FROM phrases")
 def tfidf(spark, d):
-    return topics.tfidf(table(spark, d, "documents")).where("rank <= 5").select("doc_id", "term", "occurrences", F.round("score", 4).alias("score"))
+    return topics.tfidf(table(spark, d, "documents")).select("doc_id", "term", "occurrences", "score")
+
+
+NEWER = f"""{TERMS}, old AS (SELECT * FROM (SELECT c.doc_id, c.term, occurrences, round((1 + ln(occurrences)) / (1 + ln(most)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1), 6) AS score FROM counts c JOIN (SELECT term, count(*) AS df FROM counts GROUP BY 1) USING (term) JOIN (SELECT doc_id, max(occurrences) AS most FROM counts GROUP BY 1) USING (doc_id), (SELECT count(*) AS n FROM documents) WHERE occurrences >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 60),
+new AS (SELECT doc_id FROM documents WHERE lang = 'fr'), others AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)), known AS (SELECT term, count(DISTINCT doc_id) AS df FROM others GROUP BY 1), size_ AS (SELECT count(DISTINCT doc_id) + 1 AS n FROM others),
+again AS (SELECT c.doc_id, c.term, occurrences, round((1 + ln(occurrences)) / (1 + ln(most)) * (ln((1 + n) / (2 + coalesce(df, 0))::DOUBLE) + 1), 6) AS score FROM counts c JOIN new USING (doc_id) LEFT JOIN known USING (term) JOIN (SELECT doc_id, max(occurrences) AS most FROM counts GROUP BY 1) USING (doc_id), size_ WHERE occurrences >= 2)"""
+
+
+@query(f"WITH {NEWER} SELECT doc_id, term, occurrences, score FROM again QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 60")
+def tfidf_of_new(spark, d):
+    docs = table(spark, d, "documents")
+    return topics.tfidf_of_new(docs.where("lang = 'fr'"), topics.tfidf(docs)).select("doc_id", "term", "occurrences", "score")
 
 
 @query(f"WITH {TFIDF} SELECT term, count(DISTINCT doc_id) AS document_count, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM phrases JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY 1 ORDER BY document_count DESC, max(score) DESC, term LIMIT 40")
@@ -435,18 +676,24 @@ def cloud_sizes(spark, d):
     return topics.cloud_sizes(topics.cloud(topics.tfidf(docs), docs, 30))
 
 
-@query(f"WITH {TFIDF} SELECT source, count(DISTINCT doc_id) AS documents FROM phrases JOIN documents USING (doc_id) WHERE term LIKE 'then%' GROUP BY 1")
+TOP_TERM = "top AS (SELECT term FROM phrases GROUP BY 1 ORDER BY count(DISTINCT doc_id) DESC, max(score) DESC, term LIMIT 1)"
+
+
+def _top_term(phrases, docs):
+    return topics.cloud(phrases, docs, 1).first().term  # one row
+
+
+@query(f"WITH {TFIDF}, {REGISTRY}, {PAPERS}, {TOP_TERM} SELECT fiscal_year, count(DISTINCT doc_id) AS documents FROM phrases JOIN top USING (term) JOIN papers USING (doc_id) WHERE fiscal_year IS NOT NULL GROUP BY 1")
 def prevalence(spark, d):
-    docs = table(spark, d, "documents")
-    return topics.prevalence(topics.tfidf(docs).withColumn("term", F.substring("term", 1, 4)), docs, "then")
+    phrases = topics.tfidf(table(spark, d, "documents"))
+    return topics.prevalence(phrases, driver.papers(spark, d), _top_term(phrases, table(spark, d, "documents")))
 
 
-@query(f"WITH {TFIDF} SELECT doc_id, lang, source, occurrences, round(score, 4) AS score FROM phrases JOIN documents USING (doc_id) WHERE term LIKE 'tion%' OR term LIKE 'then%'")
+@query(f"WITH {TFIDF}, {TOP_TERM} SELECT doc_id, term, lang, source, occurrences, score FROM phrases JOIN top USING (term) JOIN documents USING (doc_id)")
 def term_documents(spark, d):
     docs = table(spark, d, "documents")
-    phrases = topics.tfidf(docs).withColumn("term", F.substring("term", 1, 4))
-    both = topics.documents_for(phrases, docs, "tion").unionByName(topics.documents_for(phrases, docs, "then"))
-    return both.withColumn("score", F.round("score", 4))
+    phrases = topics.tfidf(docs)
+    return topics.documents_for(phrases, docs, _top_term(phrases, docs))
 
 
 @query(f"WITH {TFIDF} SELECT count(DISTINCT term) AS terms FROM phrases")
@@ -454,18 +701,42 @@ def count_terms(spark, d):
     return topics.tfidf(table(spark, d, "documents")).agg(F.countDistinct("term").alias("terms"))
 
 
-@query(rf"""WITH {EVIDENCE}, w AS (SELECT doc_id, line_no, ' ' || array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: CASE WHEN x LIKE '%ss' THEN x ELSE regexp_replace(regexp_replace(x, '^(.{{3,}})ies$', '\1y'), '^(.{{3,}}?)(?:ing|ed|es|s|e)$', '\1') END), ' ') || ' ' AS s FROM evidence)
-SELECT doc_id, line_no FROM w WHERE s LIKE '% licens %' AND s NOT LIKE '% apach %' OR s LIKE '% and the %'""")
+STEMS = r"list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: CASE WHEN x LIKE '%ss' THEN x ELSE regexp_replace(regexp_replace(x, '^(.{3,})ies$', '\1y'), '^(.{3,}?)(?:ing|ed|es|s|e)$', '\1') END)"
+
+
+@query(f"WITH {EVIDENCE}, w AS (SELECT doc_id, line_no, ' ' || array_to_string({STEMS}, ' ') || ' ' AS s FROM evidence) SELECT doc_id, line_no FROM w WHERE s LIKE '% licens %' AND s NOT LIKE '% apach %' OR s LIKE '% and the %'")
 def search_match(spark, d):
+    wanted = 'license -apache or "and the"'
     lines = driver.evidence(spark, d)
-    words = lines.withColumn("w", search.stems(F.col("text")))
-    return words.where(search.matches('license -apache or "and the"', F.col("w"))).select("doc_id", "line_no")
+    return lines.where(search.hint(wanted, F.col("text"))).where(search.matches(wanted, search.stems(F.col("text")))).select("doc_id", "line_no")
 
 
-@query()
+@query(f"""WITH {EVIDENCE}, w AS (SELECT doc_id AS document_id, page, line_no, {STEMS} AS w FROM evidence), m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('of', 'the', 'licens')) AS p FROM w WHERE ' ' || array_to_string(w, ' ') || ' ' LIKE '% of the %' OR list_contains(w, 'licens') AND NOT list_contains(w, 'apach'))
+SELECT document_id, page, line_no, round(1 + coalesce(list_sum(list_transform(range(1, len(p)), lambda i: 1.0::DOUBLE / (p[i + 1] - p[i]))), 0), 6) AS rank FROM m ORDER BY rank DESC, document_id, page, line_no LIMIT 50""")
 def search_ranked(spark, d):
     lines = driver.evidence(spark, d).select(F.col("doc_id").alias("document_id"), "page", "line_no", "text")
-    return search.search(lines, '"of the" or license -apache', order=("document_id", "page", "line_no"), limit=50).drop("text")
+    return search.search(lines, '"of the" or license -apache', order=("document_id", "page", "line_no"), limit=50).drop("text", "snippet")
+
+
+@query()
+def search_snippets(spark, d):
+    lines = driver.evidence(spark, d).select(F.col("doc_id").alias("document_id"), "page", "line_no", "text")
+    return search.search(lines, '"of the" or license -apache', order=("document_id", "page", "line_no"), limit=50)
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'not_finite' WHEN 1 THEN 'unknown_unit' WHEN 2 THEN 'overflow' END AS fault, CASE WHEN o_orderkey % 5 > 2 THEN o_totalprice * 1e5 END AS value FROM orders")
+def finite_quantities(spark, d):
+    k = F.col("o_orderkey") % 5
+    value = F.when(k == 0, F.when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(float("inf"))).when(k == 2, 1e306).otherwise(F.col("o_totalprice"))
+    rows = table(spark, d, "orders").select("o_orderkey", value.alias("v"), F.when(k == 1, "wibbles").otherwise("lakh tonnes").alias("u"))
+    return units.normalize(rows, "v", "u").select("o_orderkey", "fault", "value")
+
+
+@query("""SELECT o_orderkey, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN CAST(round(s / 60.0) AS BIGINT) || ' min' WHEN s < 86400 THEN CAST(round(s / 3600.0) AS BIGINT) || ' h' ELSE CAST(round(s / 86400.0) AS BIGINT) || ' d' END AS waited,
+CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN CAST(round(s / 1024.0) AS BIGINT) || ' KB' ELSE printf('%.1f', s / 1048576.0) || ' MB' END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_custkey % 2000003 AS BIGINT) AS s FROM orders)""")
+def display_forms(spark, d):
+    s = (F.col("o_orderkey") * F.col("o_custkey") % 2000003).cast("long")
+    return table(spark, d, "orders").select("o_orderkey", t.duration(s).alias("waited"), t.bytes_size(s).alias("size"))
 
 
 # ---- scalar functions
@@ -537,10 +808,23 @@ def verify_numbers(spark, d):
 # ---- integrity, links, queue
 
 
-@query("SELECT content_hash FROM (SELECT DISTINCT lower(sha256(text)) AS content_hash FROM documents WHERE doc_id % 3 = 0 EXCEPT SELECT lower(sha256(text)) FROM documents WHERE doc_id % 3 = 1)")
+@query("SELECT DISTINCT lower(sha256(text)) AS content_hash FROM documents WHERE lower(sha256(text)) NOT IN (SELECT lower(sha256(text)) FROM documents JOIN labels USING (doc_id))")
 def missing_blobs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return integrity.missing_blobs(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"))
+    docs = table(spark, d, "documents").select("doc_id", F.upper(F.sha2("text", 256)).alias("content_hash"))
+    return integrity.missing_blobs(docs, docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("SELECT DISTINCT lower(sha256(html)) AS content_hash FROM pages WHERE lower(sha256(html)) NOT IN (SELECT lower(sha256(text)) FROM documents)")
+def orphan_blobs(spark, d):
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"))
+    blobs = table(spark, d, "pages").select(F.sha2("html", 256).alias("content_hash")).unionByName(docs)
+    return integrity.orphan_blobs(docs, blobs)
+
+
+@query("SELECT sha256(html) AS content_hash FROM pages WHERE page_id % 3 = 0")
+def altered_blobs(spark, d):
+    content = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    return integrity.altered_blobs(table(spark, d, "pages").select(F.sha2("html", 256).alias("content_hash"), content.cast("binary").alias("content")))
 
 
 @query("SELECT path, CASE WHEN k % 5 = 0 THEN 'missing' WHEN k % 5 = 1 THEN 'changed' ELSE 'ok' END AS state FROM (SELECT source || '/' || doc_id AS path, doc_id AS k FROM documents)")
@@ -555,16 +839,37 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(t.links(F.col("html"))).alias("links"), F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text,
+CASE WHEN regexp_matches(h, '\.(co|gov|nic|org|ac|net|com)\.[a-z]{2}$') THEN regexp_extract(h, '([^.]+\.[^.]+\.[^.]+)$', 1) ELSE regexp_extract(h, '([^.]+\.[^.]+)$', 1) END AS site FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h FROM pages)""")
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", t.strip_html(F.col("html")).alias("text"), t.site(F.col("url")).alias("site"))
 
 
-@query(r"""SELECT page_id, CASE WHEN lower(url) ~ '(^|[^a-z0-9])(fr|french)([^a-z0-9]|$)' THEN 'fr' WHEN lower(url) ~ '(^|[^a-z0-9])en([^a-z0-9]|$)' THEN 'en' ELSE 'other' END AS company FROM (SELECT page_id, replace(url, '%20', ' ') AS url FROM pages)""")
+FILED = [(form, e.entity_id if e.entity_id not in corpus.ELSEWHERE else None, e.name) for e in names.ENTITIES for form in (e.code, e.name, *e.aliases)]
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 4 OR id IS NULL THEN 'cil' ELSE id END AS company, CASE WHEN page_id % 5 = 4 OR id IS NULL THEN 'Coal India Limited' ELSE name END AS organisation FROM pages JOIN {_listed(["form", "id", "name"], FILED)} ON page_id % {len(FILED)} = i")
 def route_pages(spark, d):
-    url = F.lower(F.replace(F.col("url"), F.lit("%20"), F.lit(" ")))
-    test = lambda alias: url.rlike(rf"(^|[^a-z0-9])({alias})([^a-z0-9]|$)")
-    return table(spark, d, "pages").select("page_id", F.when(test("fr|french"), "fr").when(test("en"), "en").otherwise("other").alias("company"))
+    """Every spelling of every company in a file's name or its title, as links write them."""
+    k = F.col("page_id")
+    form = F.get(F.array(*[F.lit(f) for f, *_ in FILED]), (k % len(FILED)).cast("int"))
+    coded = F.when(k % 3 == 0, F.replace(form, F.lit(" "), F.lit("%20"))).otherwise(F.replace(form, F.lit(" "), F.lit("_")))
+    url = F.concat(F.lit("https://h.in/mcl/papers/"), F.when(k % 5 < 2, F.concat(coded, F.lit("-Annual.pdf?x=wcl"))).otherwise("a-paper.pdf"))
+    title = F.when(k % 5 == 4, "A report").otherwise(F.concat(F.lit("Annual report, "), F.when(k % 5 > 1, form).otherwise("of a company")))
+    filed = corpus.company(url, title, F.lit("cil"))
+    return table(spark, d, "pages").select("page_id", filed.alias("company"), corpus.organisation(filed, F.lit("?")).alias("organisation"))
+
+
+@query("""WITH files AS (SELECT source AS company, 'f' || doc_id || '.pdf' AS filename, n_chars AS length, lower(sha256(text)) AS h, doc_id FROM documents), known AS (SELECT 'f' || doc_id || '.pdf' AS filename, CASE quality WHEN 1 THEN 'ready' ELSE 'failed' END AS state, lower(sha256(text)) AS h FROM documents JOIN labels USING (doc_id)),
+picked AS (SELECT * FROM files ORDER BY length, company, filename LIMIT 250), firsts AS (SELECT h, arg_min(filename, (length, company, filename)) AS f FROM picked GROUP BY 1)
+SELECT company, filename, length, CASE WHEN doc_id % 3 <> 0 THEN 'http://x/' || doc_id END AS source_url, CASE WHEN k.state = 'ready' THEN 'already_ready' WHEN k.state IS NOT NULL THEN 'run_again' WHEN p.h IN (SELECT h FROM known) OR firsts.f <> p.filename THEN 'duplicate' ELSE 'register' END AS action FROM picked p LEFT JOIN known k USING (filename) JOIN firsts ON firsts.h = p.h""")
+def corpus_queue(spark, d):
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("filename")
+    files = docs.select(F.col("source").alias("company"), name, F.col("n_chars").alias("length"), F.upper(F.sha2("text", 256)).alias("content_hash"))
+    manifest = docs.where("doc_id % 3 <> 0").select(F.col("source").alias("company"), name, F.concat(F.lit("http://x/"), "doc_id").alias("url"))
+    known = docs.join(table(spark, d, "labels"), "doc_id").select(name, F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("state"), F.sha2("text", 256).alias("content_hash"))
+    return corpus.to_ingest(files, manifest, known)
 
 
 @query(f"WITH {JOBS} SELECT job_id, attempts + 1 AS attempts FROM jobs WHERE state = 'pending' AND available_at <= TIMESTAMP '{NOW}' ORDER BY priority DESC, available_at, job_id LIMIT 25")
@@ -582,10 +887,10 @@ def queue_prune(spark, d):
     return jobs.prune(driver.jobs(spark, d), NOW, 5).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {JOBS} SELECT count(DISTINCT idempotency_key) AS fresh FROM jobs WHERE state = 'pending' AND idempotency_key NOT IN (SELECT idempotency_key FROM jobs WHERE state <> 'pending')")
+@query(f"WITH {JOBS} SELECT idempotency_key, min(job_id) AS job_id FROM jobs WHERE state = 'pending' AND idempotency_key NOT IN (SELECT idempotency_key FROM jobs WHERE state <> 'pending') GROUP BY 1")
 def queue_enqueue(spark, d):
     rows = driver.jobs(spark, d)
-    return jobs.enqueue(rows.where("state <> 'pending'"), rows.where("state = 'pending'")).agg(F.count("*").alias("fresh"))
+    return jobs.enqueue(rows.where("state <> 'pending'"), rows.where("state = 'pending'")).select("idempotency_key", "job_id")
 
 
 @query(f"WITH {JOBS} SELECT document_id, min(queue) AS failed_stage FROM jobs WHERE state = 'dead' GROUP BY 1")
@@ -596,49 +901,87 @@ def queue_failures(spark, d):
 # ---- vocabularies: strings made from keys, their readings as a list of values
 
 
-def _listed(names, rows) -> str:
-    value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join(f"({i}, " + ", ".join(map(value, r)) + ")" for i, r in enumerate(rows)) + f") v(i, {', '.join(names)})"
+def _picked(spark, d, strings, name):
+    """Each string in turn, by the order's number: all of them on any table of a few thousand orders."""
+    pick = F.get(F.array(*map(F.lit, strings)), (F.col("l_orderkey") % len(strings)).cast("int"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", pick.alias(name))
 
 
-def _picked(spark, d, strings, name):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.get(F.array(*map(F.lit, strings)), (F.col("l_orderkey") % len(strings)).cast("int")).alias(name))
+def _unit_strings() -> list[tuple]:
+    """Every unit, alone, with every scale, and by period where it has a rate; every abbreviation; some that are refused."""
+    out = [(u, units.CANONICAL[kind], f) for u, (kind, f) in units.SHORT.items()]
+    for kind, of in units.BASES.items():
+        out += [(u.upper(), units.CANONICAL[kind], f) for u, f in of.items()]
+    tonne = units.BASES["mass"]["tonnes"]
+    out += [(f"Figures in {scale} tonnes", "t", f * tonne) for scale, f in units.SCALES.items() if scale not in units.FILLERS]
+    out += [(f"{u} per {per}", f"{units.CANONICAL[kind]}/yr", units.BASES[kind][u] * n) for kind, u in (("mass", "tonnes"), ("volume", "cum")) for per, n in units.PER_YEAR.items() if per not in ("a", "d")]
+    return [*out, *((u, None, None) for u in ("wibbles", "tonnes/hectare", "Figs in Miil Te", "Rs per year", "crore", "()")), ("(Rs. in Crore)", "inr", 1e7), ("M.Cum", "m3", 1e6), ("Depth in m", "m", 1.0), ("M³", "m3", 1.0)]
 
 
-UNIT_STRINGS = [("lakh tonnes", "t", 1e5), ("Rs crore", "inr", 1e7), ("M.Cum", "m3", 1e6), ("TPD", "t/yr", 365.0), ("wibbles", None, None), ("MT", "t", 1e6), ("%", "fraction", 0.01), ("Figs in Mill Te", "t", 1e6), ("tonnes per month", "t/yr", 12.0), ("tonnes/hectare", None, None)]
-PERIOD_STRINGS = [("FY2024-25", "FY2024-25", "FY2024-25"), ("Q3 2023-24", "Q3 FY2023-24", "FY2023-24"), ("APR'23 - AUG'23", "Apr 2023 - Aug 2023", "FY2023-24"), ("2024", "2024", None), ("as on 31.03.2025", "as on 2025-03-31", "FY2024-25"), ("AUG'23 - APR'23", None, None), ("Mar 2024", "Mar 2024", "FY2023-24"), ("Apr 2024 to Sep 2024", "H1 FY2024-25", "FY2024-25")]
-ENTITY_STRINGS = [("S.E.C.L.", "secl"), ("Mahanadi Coalfeilds Limited", "mcl"), ("Coal India Ltd", "cil"), ("Atlantis Coal Corp", None), ("Bharat Coking Coal", "bccl"), ("NLC India", "nlcil")]
-METRIC_STRINGS = [("Production (Million Tonnes)", "coal_production"), ("Total despatch", "coal_offtake"), ("OB removal during the year", "overburden_removal"), ("production cost", None), ("Turnover", "revenue")]
+def _period_strings() -> list[tuple]:
+    """Years, halves, quarters, months and days of many years in the ways they are printed; some that are refused."""
+    out, months = [], periods.MONTHS
+    for y in range(1972, 2032):
+        fiscal, two = f"FY{y}-{(y + 1) % 100:02d}", f"{y % 100:02d}-{(y + 1) % 100:02d}"
+        out += [(fiscal, fiscal, fiscal), (f"{y}-{y + 1}", fiscal, fiscal), (f"F.Y. {two}", fiscal, fiscal), (f"FY{y + 1}", fiscal, fiscal), (f"Q{y % 4 + 1} {two}", f"Q{y % 4 + 1} {fiscal}", fiscal), (f"h{y % 2 + 1} FY {y}–{(y + 1) % 100:02d}", f"H{y % 2 + 1} {fiscal}", fiscal), (str(y), str(y), None)]
+        m = y % 12 + 1
+        label, of = f"{months[m - 1][:3].title()} {y}", f"FY{y - (m < 4)}-{(y - (m < 4) + 1) % 100:02d}"
+        out += [(f"{months[m - 1]} {y}", label, of), (f"{months[m - 1][:3].upper()}'{y % 100:02d}", label, of), (f"as on 28.{m:02d}.{y}", f"as on {y}-{m:02d}-28", of)]
+        out += [(f"Apr {y} to Mar {y + 1}", fiscal, fiscal), (f"APR'{y % 100:02d} - AUG'{y % 100:02d}", f"Apr {y} - Aug {y}", fiscal), (f"Aug {y} - Apr {y}", None, None), (f"{y}-{y + 3}", None, None)]
+    return out
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, unit, CAST(round(l_quantity * factor, 6) AS DOUBLE) AS value FROM lineitem JOIN {_listed(['raw', 'unit', 'factor'], UNIT_STRINGS)} ON l_orderkey % {len(UNIT_STRINGS)} = i")
-def normalize_units(spark, d):
-    from ..functions import units
+def _metric_strings() -> list[tuple]:
+    aliases = {a: next(n.key for n in names.METRICS if a in n.aliases) for m in names.METRICS for a in m.aliases if a.replace(" ", "").isalnum()}
+    return [x for a, key in aliases.items() for x in ((a.upper(), key), (f"Total {a} (Rs) during the year", key))] + [("production cost", None), ("off-take of all", None), ("about geological reserves here", "geological_reserves")]
 
-    rows = _picked(spark, d, [s for s, *_ in UNIT_STRINGS], "raw_unit")
-    return units.normalize(rows, "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "unit", F.round("value", 6).alias("value"))
 
+UNIT_STRINGS, PERIOD_STRINGS, METRIC_STRINGS = _unit_strings(), _period_strings(), _metric_strings()
+ENTITY_STRINGS = [x for e in names.ENTITIES for form in (e.code, e.name, *e.aliases) for x in ((form, e.entity_id), (f"The {form.upper()} Ltd.", e.entity_id))] + [("S.E.C.L.", "secl"), ("Mahanadi Coalfeilds Limited", "mcl"), ("Atlantis Coal Corp", None)]
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, label, fiscal_year FROM lineitem JOIN {_listed(['raw', 'label', 'fiscal_year'], PERIOD_STRINGS)} ON l_orderkey % {len(PERIOD_STRINGS)} = i")
-def normalize_periods(spark, d):
-    from ..functions import periods
 
+@query(f"SELECT l_orderkey, l_linenumber, unit, CAST(l_quantity * factor AS DOUBLE) AS value FROM lineitem JOIN {_listed(['raw', 'unit', 'factor'], UNIT_STRINGS)} ON l_orderkey % {len(UNIT_STRINGS)} = i")
+def normalize_units(spark, d):
+    return units.normalize(_picked(spark, d, [s for s, *_ in UNIT_STRINGS], "raw_unit"), "l_quantity").select("l_orderkey", "l_linenumber", "unit", "value")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, label, fiscal_year FROM lineitem JOIN {_listed(['raw', 'label', 'fiscal_year'], PERIOD_STRINGS)} ON l_orderkey % {len(PERIOD_STRINGS)} = i")
+def normalize_periods(spark, d):
     rows = _picked(spark, d, [s for s, *_ in PERIOD_STRINGS], "raw")
-    return rows.join(periods.lookup(rows, "raw"), "raw", "left").select("l_orderkey", "l_linenumber", "l_partkey", "label", "fiscal_year")
+    return rows.join(periods.lookup(rows, "raw"), "raw", "left").select("l_orderkey", "l_linenumber", "label", "fiscal_year")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, id AS entity_id FROM lineitem JOIN {_listed(['raw', 'id'], ENTITY_STRINGS)} ON l_orderkey % {len(ENTITY_STRINGS)} = i")
+def resolve_entities(spark, d):
+    rows = _picked(spark, d, [s for s, _ in ENTITY_STRINGS], "raw")
+    return rows.join(names.lookup(rows, "raw"), "raw", "left").select("l_orderkey", "l_linenumber", F.col("id").alias("entity_id"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, id AS metric FROM lineitem JOIN {_listed(['raw', 'id'], METRIC_STRINGS)} ON l_orderkey % {len(METRIC_STRINGS)} = i")
+def resolve_metrics(spark, d):
+    return _picked(spark, d, [s for s, _ in METRIC_STRINGS], "raw").select("l_orderkey", "l_linenumber", names.metric(F.col("raw")).alias("metric"))
+
+
+def _questions() -> list[tuple]:
+    """Questions on every organisation and every metric's label; the first metric with a phrase inside is the one they name."""
+    named = lambda label: next((m.key for m in names.METRICS if any(p in label for p in m.phrases)), None)
+    labels = [m.label.lower() for m in names.METRICS]
+    kind = lambda label: "exact_figure" if named(label) else "discovery"
+    figures = [(f"What was {e.code} {label} in FY2023-24?", e.entity_id, named(label), "FY2023-24", kind(label)) for e in names.ENTITIES for label in labels[::3]]
+    return figures + [(f"Why did {label} fall", None, named(label), None, "narrative") for label in labels]
+
+
+QUESTIONS = _questions()
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, e.id AS entity_id, m.id AS metric FROM lineitem JOIN {_listed(['raw', 'id'], ENTITY_STRINGS).replace(' v(', ' e(')} ON l_orderkey % {len(ENTITY_STRINGS)} = e.i JOIN {_listed(['raw', 'id'], METRIC_STRINGS).replace(' v(', ' m(')} ON l_orderkey % {len(METRIC_STRINGS)} = m.i")
-def resolve_names(spark, d):
-    from ..functions import names
+@query(f"SELECT event_id, entity, metric, period, kind FROM events JOIN {_listed(['q', 'entity', 'metric', 'period', 'kind'], QUESTIONS)} ON event_id % {len(QUESTIONS)} = i")
+def question_slots(spark, d):
+    k = (F.col("event_id") % len(QUESTIONS)).cast("int")
+    asked = table(spark, d, "events").select("event_id", F.get(F.array(*[F.lit(x[0]) for x in QUESTIONS]), k).alias("question"))
+    return ask.slots(asked).select("event_id", "entity", "metric", "period", "kind")
 
-    rows = _picked(spark, d, [s for s, _ in ENTITY_STRINGS], "e").withColumn("m", _array_pick([s for s, _ in METRIC_STRINGS]))
-    entity = names.lookup(rows, "e").select(F.col("raw").alias("e"), F.col("id").alias("entity_id"))
-    metric = names.lookup(rows, "m", "metric").select(F.col("raw").alias("m"), F.col("id").alias("metric"))
-    return rows.join(entity, "e", "left").join(metric, "m", "left").select("l_orderkey", "l_linenumber", "l_partkey", "entity_id", "metric")
 
 
-def _array_pick(strings):
-    return F.get(F.array(*map(F.lit, strings)), (F.col("l_orderkey") % len(strings)).cast("int"))
 
 
 @query("SELECT 'doc_' || doc_id AS document_id, CASE c WHEN 1 THEN 'secl' ELSE 'mcl' END AS entity_id, CASE y WHEN 1 THEN 'FY2023-24' ELSE 'FY2024-25' END AS fiscal_year, (doc_id + c * 10 + y) * 1000000.0::DOUBLE AS value FROM documents, (VALUES (1), (2)) a(c), (VALUES (1), (2)) b(y)")

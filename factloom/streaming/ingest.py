@@ -13,28 +13,42 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import facts as fact_ops
 from ..operators import grid, rules, state, statement
 from ..scope import Scope
+from ..shared import saved
 
 
 def read_tables(evidence: DataFrame) -> DataFrame:
-    """Facts as read off the tables that no statement reader takes."""
+    """Facts as read off the tables: by the statement reader those that it takes, by the general one the others."""
     facts, _ = grid.extract(evidence, refused=statement.statements(evidence))
-    return facts.withColumn("conf_ocr", F.lit(None).cast("double")).withColumn("conf_answer", F.lit(None).cast("double")).withColumn("notes", F.lit(None).cast("string"))
+    stated = statement.facts(statement.read(evidence), evidence)
+    return facts.unionByName(stated).withColumn("conf_answer", F.lit(None).cast("double")).withColumn("notes", F.lit(None).cast("string"))
 
 
-def judge(facts: DataFrame, buckets: int = 64) -> DataFrame:
-    """States set by confidence and rules; with the bucket of the document. Keep ``facts`` before: each rule reads them."""
-    found = rules.run(facts, facts).select("fact_id", F.col("rule").alias("note"))
+def judge(facts: DataFrame, history: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """States set by confidence and rules; with the bucket of the document. ``history``: stored facts, which the yearly swing also
+    looks at. Keep ``facts`` before: each rule reads them."""
+    columns = ["fact_id", "entity_id", "metric", "unit", "value", "status", "fiscal_year", "period_start"]
+    past = facts.select(*columns) if history is None else facts.select(*columns).unionByName(history.select(*columns))
+    found = saved(rules.run(facts, past).select("fact_id", F.col("rule").alias("note")), "ingest-findings")
     out = state.promote_high(state.flag_for_review(state.flag_low(facts), found))
     return out.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
 
 
+def stored(spark: SparkSession, out: str, without: DataFrame) -> DataFrame | None:
+    """Validated facts of other documents than those of ``without``, if any are stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(out).where("status = 'validated'").join(without.select("document_id").distinct(), "document_id", "left_anti")
+
+
 def ingest(spark: SparkSession, source: str, schema, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Read evidence files as they arrive and keep the facts of each document at ``out``."""
 
     def batch(evidence: DataFrame, number: int) -> None:
         kept = evidence.persist()
         facts = read_tables(kept).persist()
-        state.write_partitions(judge(facts), out, ["bucket", "document_id"])
+        judged = saved(judge(facts, stored(spark, out, kept)), "ingest-facts")
+        state.write_partitions(judged, out, ["bucket", "document_id"])
         facts.unpersist()
         kept.unpersist()
 

@@ -91,6 +91,8 @@ def test_lookups(spark):
     df = spark.createDataFrame([(2.0, "MT"), (3.0, "zzz"), (4.0, None)], "raw_value double, raw_unit string")
     got = {r.raw_unit: (r.value, r.unit, r.unit_ambiguous) for r in units.normalize(df).collect()}
     assert got == {"MT": (2e6, "t", True), "zzz": (None, None, None), None: (None, None, None)}
+    odd = units.normalize(spark.createDataFrame([(float("nan"), "t"), (float("-inf"), "t"), (1e305, "MT"), (1.0, None), (2.0, "t")], "raw_value double, raw_unit string"))
+    assert sorted((r.fault or "", r.value or 0.0) for r in odd.collect()) == [("", 2.0), ("not_finite", 0.0), ("not_finite", 0.0), ("overflow", 0.0), ("unknown_unit", 0.0)]
     labels = spark.createDataFrame([("FY2024-25",), ("x",)], "p string")
     assert {r.raw: r.label for r in periods.lookup(labels, "p").collect()} == {"FY2024-25": "FY2024-25", "x": None}
     assert {r.raw: r.id for r in names.lookup(labels, "p").collect()} == {"FY2024-25": None, "x": None}
@@ -110,7 +112,11 @@ def test_numbers(spark):
 
 def test_display(spark):
     assert column(spark, ["coal_stock"], text.humanize) == ["Coal stock"] and column(spark, ["secl", "long_name"], text.entity_label) == ["SECL", "Long name"]
-    assert column(spark, [193e6, 250000.0, 12.0], text.tonnes, "double") == ["193.0 MT", "2.5 lakh t", "12.0 t"]
+    assert column(spark, [193e6, 250000.0, 12.0, -1.5e6, 1234.567], text.tonnes, "double") == ["193 MT", "2.5 lakh t", "12 t", "-1.5 MT", "1,234.57 t"]
+    assert column(spark, [2.5e7, 3.4e6, 2e5, 4200.0, 12.0], text.tick, "double") == ["2.5 cr", "3M", "2 L", "4k", "12"]
+    assert column(spark, [2.5e7, 3.4e5, 12.5], lambda c: text.shown(c, F.lit("inr")), "double") == ["\u20b92.5 crore", "\u20b93.4 lakh", "\u20b912.5"]
+    assert column(spark, [2e6], lambda c: text.shown(c, F.lit("t/yr")), "double") == ["2 MT/yr"] and column(spark, [0.4567], lambda c: text.shown(c, F.lit("fraction")), "double") == ["45.67%"] and column(spark, [1500.0], lambda c: text.shown(c, F.lit("m3")), "double") == ["1,500 m3"]
+    assert column(spark, [0.256], text.percent, "double") == ["26%"] and column(spark, [500, 2048, 3 << 20], text.bytes_size, "long") == ["500 B", "2 KB", "3.0 MB"] and column(spark, [47, 240, 7200, 259200, -3], text.duration, "long") == ["47 s", "4 min", "2 h", "3 d", "0 s"]
     assert column(spark, [datetime(2025, 3, 31, 20, 0)], text.india_stamp, "timestamp") == ["2025-04-01T01:30:00+05:30"]
     assert column(spark, ["A cat sat."], lambda c: text.fill("<{{x}}>", x=c)) == ["<A cat sat.>"]
 
