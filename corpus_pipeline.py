@@ -1,11 +1,23 @@
-"""The corpus pipeline: each stage is one operator; what it returns is written as Parquet and read as the next one's docs."""
+"""The corpus pipeline: each stage is one operator; what it returns is written as Parquet and read as the next one's docs.
+
+Each stage sees what its predecessor kept, decides on every row of it, and its decision takes effect: rows go, or
+their texts are masked. What a stage has written besides its result is removed when that is stored, and a stage's
+result when the next one's is.
+
+Defined results: null texts, empty ones and those without a letter go in the first stage. Rows with a null id are
+never near copies of others, but are judged by their texts in every other stage; of rows with one id one stays after
+the second stage. Ties between copies go to the smallest id. Texts are taken whole, however long. Equal rows are one
+document with one id, or stay beside each other with null ids. Other columns go through unchanged, whatever their
+names, up to the last stage, which returns doc_id, ids, decoded. An empty table of documents or of benchmark items
+gives an empty result, or removes nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe, decontaminate, langid, neardup, secrets
-from factloom.llm.common import saved, table
+from factloom.llm.common import remove, table, tidy
 from factloom.llm.queries import vocabulary
 
 
@@ -40,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, folder = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = tidy(stage)(spark, docs, sf_dir)  # stored, and what else the stage has written removed
+        if folder is not None:
+            remove(spark, folder)
+        folder = docs.folder
     return docs
