@@ -48,7 +48,9 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     if _open:
         _open[-1].append(path)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:

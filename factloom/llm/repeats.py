@@ -11,12 +11,14 @@ anchors only, and each window of the corpus lies in one U.
    the tree of common-prefix intervals, and those of LENGTH bytes or more whose left extensions differ are
    the maximal repeat groups, each with all of its occurrences. A U's start counts as differing.
    Anchors with very many classes (a common line in many contexts) are not put into one task: the hashes of
-   their classes' windows are counted instead, pre-aggregated.
-3. Occurrences of repeated classes give each document's spans, merged and cut out.
+   their classes' windows are counted instead, pre-aggregated. Both ways find the same windows, so the results
+   do not depend on which is taken.
+3. ``remove`` merges what repeats cover in each document and cuts it out; ``groups`` returns the repeat groups
+   themselves, each with all of its occurrences in the corpus.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows repeat each
 other, so both lose what they share; null and repeated ids are told apart by their texts' hashes; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; keys that are no integers are refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, is_small, pieces, ragged, saved, text_bytes
+from .common import flat, is_small, pieces, ragged, saved, text_bytes, tidy, whole_number
 from .neardup import _BYTE, _power, mix
 
 LENGTH, KGRAM = 200, 32
@@ -240,8 +242,8 @@ def _by_suffix_array(strings: DataFrame, length: int) -> DataFrame:
     return strings.repartition("a").sortWithinPartitions("a", "u").mapInArrow(run, "a bigint, u bigint, spans array<struct<s:int,e:int>>")
 
 
-def _by_windows(strings: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many classes: windows are counted by hash, wherever they stand."""
+def _window_rows(strings: DataFrame, length: int) -> DataFrame:
+    """a, u, s, h: place and hash of every window of the strings, saved."""
 
     def run(batches):
         for batch in pieces(batches, "s"):
@@ -252,25 +254,89 @@ def _by_windows(strings: DataFrame, length: int) -> DataFrame:
             h = Hashes(data).of(starts, starts + length).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array((starts - np.repeat(offsets[:-1], counts)).astype(np.int32)), pa.array(h)], names=["a", "u", "s", "h"])
 
-    windows = saved(strings.dropDuplicates(["a", "u"]).mapInArrow(run, "a bigint, u bigint, s int, h bigint"), "repeat-windows")
+    return saved(strings.dropDuplicates(["a", "u"]).mapInArrow(run, "a bigint, u bigint, s int, h bigint"), "repeat-windows")
+
+
+def _by_windows(strings: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many classes: windows are counted by hash, wherever they stand."""
+    windows = _window_rows(strings, length)
     twice = windows.groupBy("a", "h").count().where("count > 1").select("a", "h")
     hit = windows.join(twice, ["a", "h"])
     return hit.groupBy("a", "u").agg(F.sort_array(F.collect_list(F.struct("s", (F.col("s") + length).cast("int").alias("e")))).alias("spans"))
 
 
-def spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """doc, th, spans: what each text repeats, as unmerged (start, end) in bytes."""
-    source = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text_bytes(text)).alias("th"), text_bytes(text).alias("bytes"))
+def _source(df: DataFrame, text: str, key: str) -> DataFrame:
+    whole_number(df, key)
+    return df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text_bytes(text)).alias("th"), text_bytes(text).alias("bytes"))
+
+
+def _classes(source: DataFrame, length: int) -> DataFrame:
+    """a, u, n (occurrences), one place, classes (of the anchor) for every class whose anchor stands twice or more, saved."""
     # by anchor, so that its classes meet; rows of a class were put together within each chunk
     rows = _anchor_rows(source, length, once=True).groupBy("a", "u").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "th", "start", "size")).alias("at"))
     rows = saved(rows, "repeat-classes")
     of_anchor = rows.groupBy("a").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).where("total > 1")
-    classes = saved(rows.join(of_anchor, "a").select("a", "u", "n", "at.*", "classes"), "repeat-shared")
+    return saved(rows.join(of_anchor, "a").select("a", "u", "n", "at.*", "classes"), "repeat-shared")
+
+
+def _strings_of(source: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, u, s, n, classes of some classes, saved."""
+    found = _strings(source, classes.select("a", "u", "doc", "th", "start", "size"))
+    return saved(found.join(classes.select("a", "u", "n", "classes"), ["a", "u"]), "repeat-strings")
+
+
+def _maximal(strings: DataFrame, length: int) -> DataFrame:
+    """a, g (number of the group), length, u, at: the maximal repeat groups among an anchor's strings, one suffix array an anchor."""
+
+    def run(batches):
+        held: list[tuple[int, int, bytes]] = []
+
+        def out():
+            rows = [(held[0][0], g, n, held[i][1], at) for g, (n, where) in enumerate(maximal_repeats([s for _, _, s in held], length)) for i, at in where]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["a", "g", "length", "u", "at"])
+
+        for batch in batches:
+            for a, u, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and a != held[0][0]:
+                    yield out()
+                    held = []
+                if not held or u != held[-1][1]:
+                    held.append((a, u, s))
+        if held:
+            yield out()
+
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    return strings.select("a", "u", "s").repartition("a").sortWithinPartitions("a", "u").mapInArrow(run, "a bigint, g bigint, length int, u bigint, at int")
+
+
+@tidy
+def groups(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """anchor, g, length, key, start: the repeat groups with a row for every occurrence in the corpus, in bytes. A repeat that is longer
+    than an anchor's string comes as the groups of its anchors; windows of anchors with very many classes are groups of ``length``."""
+    source = _source(df, text, key)
+    classes = _classes(source, length)
+    strings = _strings_of(source, classes.where("classes > 1"))
+    some = saved(_maximal(strings.where(F.col("classes") <= GROUP_CLASSES), length), "repeat-groups")
+    windows = _window_rows(strings.where(F.col("classes") > GROUP_CLASSES).select("a", "u", "s"), length)
+    many = windows.select("a", F.col("h").alias("g"), F.lit(length).alias("length"), "u", F.col("s").alias("at"))
+    # copies of a whole string, unless a group of the same length has them already
+    copies = classes.where("n > 1").where(F.col("classes") <= GROUP_CLASSES).select("a", F.col("u").alias("g"), F.col("size").alias("length"), "u", F.lit(0).alias("at"))
+    copies = copies.join(some.select("a", "u", "length", "at"), ["a", "u", "length", "at"], "left_anti").select("a", "g", "length", "u", "at")
+    alone = many.groupBy("a", "g").agg(F.count("*").alias("c")).join(many, ["a", "g"]).join(classes.select("a", "u", "n"), ["a", "u"]).where("c > 1 or n > 1").select("a", "g", "length", "u", "at")
+    found = some.unionByName(copies).unionByName(alone)
+    places = _anchor_rows(source, length, once=False).select("a", "u", "doc", "start")
+    rows = places.join(found, ["a", "u"])
+    return rows.select(F.col("a").alias("anchor"), "g", "length", F.nullif("doc", F.lit(_NO_ID)).alias(key), (F.col("start") + F.col("at")).alias("start"))
+
+
+def spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """doc, th, spans: what each text repeats, as unmerged (start, end) in bytes."""
+    source = _source(df, text, key)
+    classes = _classes(source, length)
     whole = classes.where("n > 1").select("a", "u", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
-    # groups in which a class of one may be part of another
+    # anchors in which a class of one may be part of another
     open_ = classes.where("n = 1 and classes > 1").select("a").distinct()
-    wanted = classes.where("classes > 1").join(open_, "a", "left_semi")
-    strings = saved(_strings(source, wanted.select("a", "u", "doc", "th", "start", "size")).join(wanted.select("a", "u", "n", "classes"), ["a", "u"]), "repeat-strings")
+    strings = _strings_of(source, classes.where("classes > 1").join(open_, "a", "left_semi"))
     some = _by_suffix_array(strings.where(F.col("classes") <= GROUP_CLASSES).select("a", "u", "s"), length)
     many = _by_windows(strings.where(F.col("classes") > GROUP_CLASSES).select("a", "u", "s"), length)
     single = strings.where("n = 1").select("a", "u").distinct()

@@ -391,6 +391,25 @@ def test_repeats_with_hot_anchors(docs, texts, monkeypatch):
     assert Counter(map(tuple, repeats.remove(docs, digest=True).collect())) == Counter(brute_repeats(texts, 200))
 
 
+@pytest.mark.parametrize("most", [repeats.GROUP_CLASSES, 1])
+def test_repeat_groups(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_CLASSES", most)
+    rows = [(n, t) for n, (_, t) in enumerate(texts)]
+    data = {i: (t or "").encode() for i, t in rows}
+    found = {}
+    for r in repeats.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault((r.anchor, r.g, r.length), set()).add((r.doc_id, r.start))
+    covered = {i: set() for i in data}
+    for (_, _, length), places in found.items():
+        i, start = next(iter(places))
+        string = data[i][start : start + length]
+        every = {(j, m.start()) for j, b in data.items() for m in re.finditer(b"(?=" + re.escape(string) + b")", b)}
+        assert length >= 200 and len(places) > 1 and places == every
+        for j, at in places:
+            covered[j] |= set(range(at, at + length))
+    assert found and {i: len(c) for i, c in covered.items()} == {i: gone for i, _, gone, _, _ in brute_repeats(rows, 200)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_spans_of_strings(seed):
     rng = random.Random(seed)
