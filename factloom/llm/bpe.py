@@ -27,6 +27,8 @@ from .common import pieces, ragged
 
 #: Words with more bytes than this are merged with a heap.
 LONG_WORD = 256
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 1 << 20
 #: Words that a worker keeps encoded.
 CACHE_WORDS = 300_000
 # Fixed value: the pattern of public byte-level BPE vocabularies that splits a text into words.
@@ -254,7 +256,7 @@ def _run(df: DataFrame, vocabulary: str, text: str, key: str, full: bool) -> Dat
 
     def run(batches):
         bpe = encoder(vocabulary)
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", STEP_BYTES):
             ids, counts = bpe.encode(batch.column(1).to_pylist())
             decoded = bpe.decode(ids, counts)
             edges = np.append(0, np.cumsum(counts))

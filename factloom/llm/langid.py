@@ -30,8 +30,8 @@ TRAIN_PER_LANGUAGE = 300
 AMBIGUOUS_GAP = 0.08
 #: ``keep_identified`` lets an ambiguous document go if its score is under this.
 LEAST_SCORE = 0.4
-#: Documents whose features a worker holds at a time: DIMS numbers each.
-STEP_ROWS = 512
+#: Documents whose features a worker holds at a time, DIMS numbers each, and bytes of their texts.
+STEP_ROWS, STEP_BYTES = 512, 1 << 19
 
 _BYTES = "__langid_bytes"
 _FOLD = np.full(256, 32, np.uint8)
@@ -150,7 +150,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     chosen = chosen.distinct()  # equal rows are chosen together
 
     def featurize(batches):
-        for batch in pieces(batches, "bytes", rows=STEP_ROWS):
+        for batch in pieces(batches, "bytes", STEP_BYTES, STEP_ROWS):
             x = features(*flat(batch.column(1))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -179,7 +179,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", columns: lis
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
-        for batch in pieces(batches, _BYTES, rows=STEP_ROWS):
+        for batch in pieces(batches, _BYTES, STEP_BYTES, STEP_ROWS):
             at = len(columns)
             best, score, gap, differ = decode(m, features(*flat(batch.column(at))))
             has = batch.column(at + 1).to_numpy(zero_copy_only=False).astype(bool)

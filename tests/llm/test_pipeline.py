@@ -28,7 +28,8 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
 
 def test_pipeline_on_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, th string"
-    say = lambda n, seed: " ".join(random.Random(seed).choice(["the", "coal", "of", "mines", "and", "output", "rose"]) + str(i % 7) for i in range(n))
+    words = ["the", "coal", "of", "mines", "and", "output", "rose", "fell", "in", "a", "year"]
+    say = lambda n, seed: " ".join(random.Random(seed).choices(words, k=n))
     long = say(40000, 1)
     item = "When the seventh engine left the yard it carried eleven crates of tin and two barrels"
     rows = [(1, long, "en"), (2, long + " more words", "en"), (None, say(50, 2), "en"), (None, say(50, 2), "en"), (None, "so " + item, "en"), (7, say(60, 3), "en"), (7, say(60, 4), "en"), (8, None, "en"), (9, "", None), (10, "!!! 12", "en"), (11, say(55, 5) + " token: hunter2hunter2hunter2", "fr"), (12, say(30, 6), None)]
