@@ -30,7 +30,7 @@ LONG_WORD = 256
 #: Bytes of text that are encoded at a time.
 STEP_BYTES = 1 << 20
 #: Words that a worker keeps encoded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # Fixed value: the pattern of public byte-level BPE vocabularies that splits a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Letters and numbers among the characters up to U+017F without U+0130, which lower-cases to two.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator
@@ -121,6 +122,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = min(max(to, at + 1), batch.num_rows, at + rows if rows else batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the system: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(column: str = "text"):

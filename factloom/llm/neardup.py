@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, is_small, pieces, ragged, saved, text_bytes, tidy, whole_number
+from .common import flat, is_small, pieces, ragged, release, saved, text_bytes, tidy, whole_number
 
 BANDS, ROWS = 32, 5
 #: MinHash samples of a sketch (those of the bands come first), and bits of its parity bitmap.
@@ -315,6 +315,7 @@ def _cells(members: DataFrame, payload: DataFrame, limit: int, threshold: int) -
                 at = here
         if held:
             yield links(held)
+        release()
 
     return cells.mapInArrow(run, "a binary, b binary")
 
