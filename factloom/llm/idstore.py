@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LATIN, LATIN_LETTERS, LATIN_NUMBERS, _Numbered, byte_characters
-from .common import exists, pieces, ragged, remove, shared_folder, whole_number
+from .common import exists, pieces, ragged, remove, shared_folder, uncollected, whole_number
 
 #: Ids that the rolling hash sees; mean and most ids of a chunk.
 WINDOW, MEAN, MOST = 16, 512, 4096
@@ -156,7 +156,7 @@ def write(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", key:
     whole_number(df, key)
     folder = folder or f"{shared_folder(df.sparkSession)}/idstore-{uuid.uuid4().hex}"
 
-    def run(batches):
+    def encoded(batches):
         tokens = word_tokens(vocabulary)
         wide = max(tokens.library.get_vocab_size(), end_id + 1) > 1 << 16
         for batch in pieces(batches, "t"):
@@ -181,6 +181,10 @@ def write(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", key:
                 kinds.append("doc"), docs.append(doc), sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["kind", "key", "doc", "n", "data"])
 
+    def run(batches):
+        with uncollected():
+            yield from encoded(batches)
+
     rows = df.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "kind string, key binary, doc bigint, n bigint, data binary")
     once = rows.groupBy("kind", "key").agg(F.first("doc").alias("doc"), F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"))
     once.write.partitionBy("kind").parquet(f"{folder}/once")
