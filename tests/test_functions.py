@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from factloom.functions import names, periods, text, units
 
 
+# Readings that are required of these strings, here and below; the queries draw others from every vocabulary entry.
 @pytest.mark.parametrize(
     ("value", "raw", "expected", "unit"),
     [(3.2, "lakh tonnes", 3.2e5, "t"), (1234.5, "Rs crore", 1.2345e10, "inr"), (2.5, "M.Cum", 2.5e6, "m3"), (9.8, "TPD", 9.8 * 365, "t/yr"), (193, "Figs in Mill Te", 193e6, "t"), (45, "%", 0.45, "fraction"), (1, "kcal/kg", 1, "kcal/kg"), (2, "tonnes per month", 24, "t/yr"), (7, "Depth in m", 7, "m"), (5, "Mm³", 5e6, "m3"), (1, "km²", 100, "ha")],
