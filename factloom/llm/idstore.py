@@ -24,6 +24,8 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from .common import exists, pieces, ragged, remove, shared_folder, uncollected,
 WINDOW, MEAN, MOST = 16, 512, 4096
 CACHE_WORDS = 600_000
 
-# Fixed value: the pattern of the public lower-casing word vocabulary, for lower-case Latin texts.
-LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^\s{LATIN_LETTERS}{LATIN_NUMBERS}]+")
+# Fixed value: the pattern of the public lower-casing word vocabulary, for lower-case Latin texts; letters, the commonest, first.
+LOWER_WORDS = re.compile(rf"[{LATIN_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_NUMBERS}]|[^\s{LATIN_LETTERS}{LATIN_NUMBERS}]+")
 
 
 class WordTokens:
@@ -68,7 +70,7 @@ class WordTokens:
         merge, latin = self.library.model.tokenize, self.latin
         got = [merge(w if w.isascii() else w.translate(latin)) for w in new]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.array([t.id for x in got for t in x], np.int64)
+        flat = np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64, int(sizes.sum()))
         total, words = self.filled + len(flat), len(self.seen)
         if total > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(total, np.int64))
@@ -86,13 +88,13 @@ class WordTokens:
         for t, text in enumerate(texts):
             if LATIN.fullmatch(text) and not any(s in text for s in self.special):
                 words = LOWER_WORDS.findall(text.lower())
-                index += map(number, words)
+                index.append(np.fromiter(map(number, words), np.int32, len(words)))
                 counts.append(len(words))
             else:
                 whole[t] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
                 counts.append(0)
         self._learn()
-        index = np.array(index, np.int64)
+        index = np.concatenate(index) if index else np.zeros(0, np.int32)
         sizes = self.size[index]
         ids = self.ids[ragged(self.where[index], sizes)]
         edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
