@@ -80,9 +80,11 @@ def percent(fraction: Column, digits: int = 0) -> Column:
     return F.concat(F.format_number(fraction * 100, digits).cast("string"), F.lit("%"))
 
 
-def bytes_size(n: Column) -> Column:
+def bytes_size(n: Column, to_even: bool = False) -> Column:
+    """500 B, 2 KB, 3.0 MB. Halves go up; ``to_even``: those of tenths of a megabyte go to the even tenth, as printf has them."""
     whole = F.concat(F.round(n / 1024, 0).cast("long").cast("string"), F.lit(" KB"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, whole).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MB")))
+    tenths = (F.bround if to_even else F.round)(n / (1 << 20), 1)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, whole).otherwise(F.concat(F.format_string("%.1f", tenths), F.lit(" MB")))
 
 
 def duration(seconds: Column) -> Column:
